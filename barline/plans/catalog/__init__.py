@@ -1,6 +1,6 @@
 """Registered queries, one module per operator family."""
 
-from barline.plans.catalog import evaluation, joins, ops, scalars, windows  # noqa: F401
+from barline.plans.catalog import evaluation, joins, ops, scalars, streams, windows  # noqa: F401
 from barline.plans.catalog.base import ORACLES, QUERIES
 from barline.plans.catalog.evaluation import flagship
 
