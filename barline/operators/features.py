@@ -215,6 +215,10 @@ def register_feature(feature: Feature) -> None:
     _REGISTRY[feature.name] = feature
 
 
+def unregister_feature(name: str) -> None:
+    _REGISTRY.pop(name, None)
+
+
 def register_helper(name: str, build: Callable[[Frames], Column], halo: int, after: tuple[str, ...] = ()) -> None:
     """Add an intermediate column features can name in ``after``."""
     _HELPERS[name] = (build, halo, after)

@@ -129,8 +129,8 @@ def problems_of(node: Any, at: str = "when") -> list[str]:
             if bad:
                 out.append(f"{at}.regime.{axis}: {bad}")
     else:
-        for name, top in (("utc_hour_in", 23), ("dow_in", 6)):
-            bad = [v for v in body.get(name) or [] if not isinstance(v, int) or not 0 <= v <= top]
+        for name, low, top in (("utc_hour_in", 0, 23), ("dow_in", 0, 6), ("dom_in", 1, 31)):
+            bad = [v for v in body.get(name) or [] if not isinstance(v, int) or not low <= v <= top]
             if bad:
                 out.append(f"{at}.time.{name}: {bad}")
     return out
@@ -258,6 +258,8 @@ def rule_column(rule: Rule, frames: Frames | None = None, ts: str = "ts", regime
                 cond = cond & utc_hour(ts).isin(list(node["time"]["utc_hour_in"]))
             if node["time"].get("dow_in") is not None:
                 cond = cond & utc_dow(ts).isin(list(node["time"]["dow_in"]))
+            if node["time"].get("dom_in") is not None:
+                cond = cond & F.dayofmonth(F.timestamp_millis(ts)).isin(list(node["time"]["dom_in"]))
             return F.coalesce(cond, F.lit(False))
         raise RuleError(f"unhandled node: {node!r}")
 

@@ -13,6 +13,7 @@ from barline.plans.catalog.base import HOURLY_CTE, R, events_ms, hourly, hourly_
 from barline.plans.catalog.joins import EVENT_COLS, LABELS_CTE, daily_labels
 from barline.plans.catalog.scalars import cdf_sql
 from barline.plans.catalog.windows import TRADES_CTE, order_trades
+from barline.session import materialize
 
 KEY = ["instrument_id"]
 
@@ -330,6 +331,7 @@ def evl_08(spark, sf):
 )
 def evl_09(spark, sf):
     lab = labels.forward_labels(hourly_ix(spark, sf), KEY, 1, 4).select("instrument_id", "pos", "close", "fwd_bps")
+    lab = materialize(lab, "labels")
     fires = lab.filter(F.col("close") > 80).select("instrument_id", "pos")
     out = resample.permutation_test(fires, lab, KEY, KEY, 12, iterations=100)
     return rounded(rounded(out, "observed_ev_bps", "null_mean", "null_std", digits=3), "p_value")

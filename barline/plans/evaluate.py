@@ -14,7 +14,7 @@ from barline.operators import asof, features, resample, rules, splits, stats
 from barline.operators.labels import trades_per_year
 from barline.operators.series import HOUR_MS, Frames, blocks, core_rows, index_rows
 from barline.operators.verdict import Thresholds, decide, run_config, score
-from barline.session import run_dir
+from barline.session import materialize
 
 Segmented = list[tuple[str, Column, Column, Column]]
 
@@ -75,16 +75,6 @@ class Evaluation:
     verdicts: DataFrame
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write a table that several branches read to the shared run folder and read it back.
-
-    Cuts the lineage, so a lost executor re-reads files instead of the whole history.
-    """
-    path = run_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def prepare_bars(
     bars: DataFrame,
     keys: Sequence[str],

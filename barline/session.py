@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", app: str = "barline", shuffle_partitions: int = 8) -> SparkSession:
@@ -40,3 +40,14 @@ def checkpoint_root(spark: SparkSession) -> str:
 def run_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder for one run under the checkpoint root."""
     return f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write a table that several branches read to the shared run folder and read it back.
+
+    Without it each branch repeats the whole history of ``df``, and nested branches
+    multiply. It also cuts the lineage: a lost executor re-reads files.
+    """
+    path = run_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
