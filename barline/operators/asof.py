@@ -3,62 +3,86 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barline.operators.bars import pivot_mean
 from barline.operators.series import DAY_MS, HOUR_MS, running, time_bucket
 
 
-def asof_join(
+@dataclass(frozen=True)
+class Side:
+    """A right side of an as-of join: its frame, the columns it gives and what orders
+    rows of equal time (default: nothing)."""
+
+    df: DataFrame
+    columns: Sequence[str]
+    tiebreak: str | None = None
+
+
+def asof_join_many(
     left: DataFrame,
-    right: DataFrame,
+    sides: Sequence[Side],
     keys: Sequence[str],
-    columns: Sequence[str],
     ts: str = "ts",
-    tiebreak: str | None = None,
     bucket_ms: int = 24 * HOUR_MS,
 ) -> DataFrame:
-    """Backward as-of join: the last right row with right.ts <= left.ts, per key.
+    """Backward as-of join of several right sides at once: for each the last row with
+    right.ts <= left.ts, per key.
 
-    The last right row wins even when its value is NULL. Both sides are merged into
-    one series and the last right row is carried forward by ``running``, so a hot
-    key is cut into time buckets. ``tiebreak`` orders right rows of equal ts.
+    The last right row wins even when its value is NULL. All sides are merged into one
+    series and the last row of each side is carried forward by one ``running`` pass, so
+    a hot key is cut into time buckets and the left side is shuffled once however many
+    sides there are.
     """
     keys = list(keys)
     kept = [c for c in left.columns if c not in keys and c != ts]
-    tie = F.col(tiebreak).cast("bigint") if tiebreak else F.lit(0).cast("bigint")
-    rows_l = left.select(
-        *keys,
-        F.col(ts).alias("_ts"),
-        F.lit(1).alias("_side"),
-        F.lit(0).cast("bigint").alias("_tie"),
-        F.struct(F.lit(True).alias("_present"), *kept).alias("_left"),
-        F.lit(None).cast(right.select(F.struct(*columns)).schema[0].dataType).alias("_right"),
-    )
-    rows_r = right.select(
-        *keys,
-        F.col(ts).alias("_ts"),
-        F.lit(0).alias("_side"),
-        tie.alias("_tie"),
-        F.lit(None).cast(rows_l.schema["_left"].dataType).alias("_left"),
-        F.struct(*columns).alias("_right"),
+    payload = F.struct(F.lit(True).alias("_present"), *kept).alias("_left")
+    rows = left.select(
+        *keys, F.col(ts).alias("_ts"), F.lit(1).alias("_side"), F.lit(0).cast("bigint").alias("_tie"), payload
     )
+    for i, side in enumerate(sides):
+        tie = F.col(side.tiebreak).cast("bigint") if side.tiebreak else F.lit(0).cast("bigint")
+        rows = rows.unionByName(
+            side.df.select(
+                *keys,
+                F.col(ts).alias("_ts"),
+                F.lit(0).alias("_side"),
+                tie.alias("_tie"),
+                F.struct(*side.columns).alias(f"_right{i}"),
+            ),
+            allowMissingColumns=True,
+        )
     merged = running(
-        rows_l.unionByName(rows_r),
+        rows,
         keys,
         ["_ts", "_side", "_tie"],
         time_bucket("_ts", bucket_ms),
-        {"_hit": ("last", F.col("_right"))},
+        {f"_hit{i}": ("last", F.col(f"_right{i}")) for i in range(len(sides))},
     )
     return merged.filter(F.col("_left").isNotNull()).select(
         *keys,
         F.col("_ts").alias(ts),
         *[F.col(f"_left.{c}").alias(c) for c in kept],
-        *[F.col(f"_hit.{c}").alias(c) for c in columns],
+        *[F.col(f"_hit{i}.{c}").alias(c) for i, side in enumerate(sides) for c in side.columns],
     )
 
 
+def asof_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    columns: Sequence[str],
+    ts: str = "ts",
+    tiebreak: str | None = None,
+    bucket_ms: int = 24 * HOUR_MS,
+) -> DataFrame:
+    """``asof_join_many`` with one right side."""
+    return asof_join_many(left, [Side(right, columns, tiebreak)], keys, ts, bucket_ms)
+
+
 def fill_daily(
     bars: DataFrame,
     labels: DataFrame,
@@ -154,20 +178,20 @@ def merge_slow_series(
     """
     # Ratio types kept and the column each becomes.
     ratio_columns = {"top_trader_position": "ls_top_trader_position", "all_account": "ls_all_account"}
-    out = bars
+    sides, absent = [], []
     if funding is not None:
-        out = asof_join(out, funding.withColumnRenamed("rate", "funding_rate"), keys, ["funding_rate"])
+        sides.append(Side(funding.withColumnRenamed("rate", "funding_rate"), ["funding_rate"]))
     else:
-        out = out.withColumn("funding_rate", F.lit(None).cast("double"))
+        absent.append("funding_rate")
     if open_interest is not None:
-        out = asof_join(out, open_interest, keys, ["oi_base"])
+        sides.append(Side(open_interest, ["oi_base"]))
     else:
-        out = out.withColumn("oi_base", F.lit(None).cast("double"))
+        absent.append("oi_base")
     if ratios is not None:
-        from barline.operators.bars import pivot_mean
-
         wide = pivot_mean(ratios, [*keys, "ts"], "ratio_type", "ls_ratio", ratio_columns)
-        out = asof_join(out, wide, keys, list(ratio_columns.values()))
+        sides.append(Side(wide, list(ratio_columns.values())))
     else:
-        out = out.withColumns({c: F.lit(None).cast("double") for c in ratio_columns.values()})
+        absent += list(ratio_columns.values())
+    out = asof_join_many(bars, sides, keys) if sides else bars
+    out = out.withColumns({c: F.lit(None).cast("double") for c in absent})
     return left_fill_zero(out, liquidations_hourly, [*keys, "ts"], "liq_notional_1h")

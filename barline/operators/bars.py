@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barline.functions.scalar import floor_to
 from barline.operators.series import HOUR_MS
@@ -16,6 +17,17 @@ FIVE_MIN_MS = 300_000
 CONTRACT_FACE_VALUE = {"BTC-USDT-SWAP": 0.01, "ETH-USDT-SWAP": 0.1}
 
 
+def tick_order(ticks: DataFrame, ts: str, tiebreak: str | None) -> Column:
+    """Sort key of a tick. An integer tie-break is packed with the time into one decimal,
+    a fixed-width value that keeps the aggregate hash-based; other types use a struct."""
+    if tiebreak is None:
+        return F.col(ts)
+    if isinstance(ticks.schema[tiebreak].dataType, T.LongType | T.IntegerType):
+        wide = F.lit("20000000000000000000").cast("decimal(20,0)")
+        return F.col(ts).cast("decimal(18,0)") * wide + F.col(tiebreak)
+    return F.struct(ts, tiebreak)
+
+
 def ohlcv(
     ticks: DataFrame,
     keys: Sequence[str],
@@ -30,7 +42,7 @@ def ohlcv(
     Every aggregate is combined on the map side, so a hot key costs each task one
     row per slot in the shuffle.
     """
-    order = F.struct(ts, tiebreak) if tiebreak else F.col(ts)
+    order = tick_order(ticks, ts, tiebreak)
     return (
         ticks.groupBy(*keys, floor_to(ts, interval_ms).alias("_slot"))
         .agg(

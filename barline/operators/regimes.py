@@ -115,6 +115,8 @@ def classify(
     for name in ("spread_bps", "liq_zscore", "peg_dev_bps"):
         if name not in daily.columns:
             daily = daily.withColumn(name, F.lit(0.0))
+    inputs = ["ts", "close", "high", "low", "spread_bps", "liq_zscore", "peg_dev_bps"]
+    daily = daily.select(*keys, POS, *inputs)
     rows = add_windowed(
         daily,
         keys,

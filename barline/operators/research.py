@@ -164,6 +164,7 @@ def benjamini_hochberg(tests: DataFrame, batch: Sequence[str], p: str = "p_value
     rows = with_value_piece(tests, batch, p)
     ix = index_rows(rows, batch, p, F.col("_piece"), "_rank0")
     ix = ix.join(tests.groupBy(*batch).agg(F.count(F.lit(1)).alias("_m")), batch)
+    ix = materialize(ix, "ranked_tests")
     raw = F.col(p) * F.col("_m") / (F.col("_rank0") + 1)
     rev = running(
         ix.withColumn("_rev", -F.col("_rank0")),
@@ -245,6 +246,7 @@ def signal_overlap(flags: DataFrame, rule_ids: Sequence[str]) -> DataFrame:
     fired = F.filter(F.array(*[F.when(F.col(r), F.lit(r)) for r in ids]), lambda x: x.isNotNull())
     rows = flags.select(*ids, F.explode(fired).alias("rule_a"))
     sums = rows.groupBy("rule_a").agg(F.count(F.lit(1)).alias("_na"), *[F.sum(F.col(r).cast("bigint")).alias(r) for r in ids])
+    sums = materialize(sums, "overlap")
     long = sums.unpivot(["rule_a", "_na"], ids, "rule_b", "both")
     sizes = sums.select(F.col("rule_a").alias("rule_b"), F.col("_na").alias("_nb"))
     return (

@@ -192,7 +192,7 @@ def spec_report(specs: DataFrame, spec_col: str = "signal_spec") -> DataFrame:
             T.StructField("direction", T.StringType()),
         ]
     )
-    s = F.from_json(F.col(spec_col), shape)
+    s = F.col("_spec")
     issue = (
         F.when(s.isNull() | s["when"].isNull(), "when")
         .when(s["entry"].isNull() | (F.coalesce(s["entry"]["delay_bars"], F.lit(1)) < 1), "entry")
@@ -204,7 +204,8 @@ def spec_report(specs: DataFrame, spec_col: str = "signal_spec") -> DataFrame:
         )
         .when(~F.coalesce(s["direction"], F.lit("")).isin("long", "short", "signal_sign"), "direction")
     )
-    return specs.withColumn("spec_issue", issue).withColumn("spec_ok", F.col("spec_issue").isNull())
+    parsed = specs.withColumn("_spec", F.from_json(F.col(spec_col), shape)).withColumn("spec_issue", issue)
+    return parsed.withColumn("spec_ok", F.col("spec_issue").isNull()).drop("_spec")
 
 
 # ------------------------------------------------------------------------ rule -> Column

@@ -64,6 +64,7 @@ RULE_SQL = {
 def rule_input(spark, sf):
     """Indexed hourly bars with ret_24h, event maxima and the regime struct."""
     b = add_windowed(hourly_ix(spark, sf), KEY, lambda f: {"ret_24h": features.pctchg(f, "close", 24)}, before=24)
+    b = materialize(b, "rule_bars")
     slots = asof.event_slots(events_ms(spark, sf), HOUR_MS, ["purchase", "error"], event_type="instrument_id", magnitude="value")
     start = b.groupBy(*KEY).agg(F.min("ts").alias("_start"))
     placed = b.join(start, KEY).withColumn("slot", asof.row_slot(F.col("_start"), F.col("pos"), HOUR_MS)).drop("_start")
@@ -337,8 +338,7 @@ def evl_09(spark, sf):
     return rounded(rounded(out, "observed_ev_bps", "null_mean", "null_std", digits=3), "p_value")
 
 
-DRAWS_CTE = f"""{TRADES_CTE}, rv AS (SELECT rule_id, seq, ret_net_bps AS x FROM ot WHERE o_orderkey % 10 = 0),
-rx AS (SELECT rule_id, x, CAST(row_number() OVER (PARTITION BY rule_id ORDER BY seq) - 1 AS BIGINT) AS seq FROM rv),
+DRAWS_CTE = f"""{TRADES_CTE}, rx AS (SELECT rule_id, seq, ret_net_bps AS x FROM ot),
 sz AS (SELECT rule_id, CAST(count(*) AS BIGINT) AS n FROM rx GROUP BY 1),
 st AS (SELECT rule_id, n, it, t, CASE WHEN t = 0 OR {portable_hash_sql("it", "t", 0)} < 2147483647.0 / 12 THEN t END AS s
   FROM sz, (SELECT unnest(range(60)) AS it) i, LATERAL (SELECT unnest(range(n)) AS t) tt),
@@ -349,11 +349,8 @@ dv AS (SELECT dr.rule_id, it, t, x FROM dr JOIN rx ON rx.rule_id = dr.rule_id AN
 
 
 def bootstrap_sample(spark, sf):
-    """Every tenth order of the trade stand-in as one return series per rule."""
-    from barline.operators.series import DAY_MS, index_rows, time_bucket
-
-    t = order_trades(spark, sf).filter(F.col("o_orderkey") % 10 == 0).drop("seq")
-    return index_rows(t, ["rule_id"], ["entry_ts", "o_orderkey"], time_bucket("entry_ts", 365 * DAY_MS), "seq")
+    """The trade stand-in as one return series per rule, written once for all draws."""
+    return materialize(order_trades(spark, sf).select("rule_id", "seq", "ret_net_bps"), "returns")
 
 
 @query(

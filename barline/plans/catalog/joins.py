@@ -29,7 +29,7 @@ KEY = ["instrument_id"]
 @query(
     "jn_01_asof_events",
     f"""WITH {EV_CTE}, l AS (SELECT * FROM ev WHERE instrument_id = 'purchase'), r AS (SELECT user_id, ts, event_id AS view_id,
-          CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS view_value FROM ev WHERE instrument_id = 'view')
+          CASE WHEN value >= 10 THEN value END AS view_value FROM ev WHERE instrument_id = 'view')
         SELECT l.event_id, l.user_id, l.ts, r.view_id, r.view_value FROM l ASOF LEFT JOIN r
         ON l.user_id = r.user_id AND l.ts >= r.ts""",
 )
@@ -41,17 +41,17 @@ def jn_01(spark, sf):
         "user_id",
         "ts",
         F.col("event_id").alias("view_id"),
-        F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("view_value"),
+        F.when(F.col("value") >= 10, F.col("value")).alias("view_value"),
     )
     return asof.asof_join(left, right, ["user_id"], ["view_id", "view_value"], tiebreak="view_id")
 
 
 def daily_labels(spark, sf):
-    """A label on every third day of January 2024."""
+    """A label for every weekday with events."""
     days = events_ms(spark, sf).groupBy(F.date_format(F.timestamp_millis("ts"), "yyyy-MM-dd").alias("dt")).agg(
         F.sum("value").alias("v"), F.count(F.lit(1)).alias("n")
     )
-    kept = days.filter(F.dayofmonth(F.to_date("dt")) % 3 == 0)
+    kept = days.filter(F.dayofweek(F.to_date("dt")).between(2, 6))
     return kept.select(
         "dt",
         F.when(F.col("n") % 3 == 0, "up").when(F.col("n") % 3 == 1, "down").otherwise("range").alias("trend"),
@@ -64,7 +64,7 @@ LABELS_CTE = """
 dl AS (SELECT dt, CASE n % 3 WHEN 0 THEN 'up' WHEN 1 THEN 'down' ELSE 'range' END AS trend,
   CASE n % 2 WHEN 0 THEN 'low' ELSE 'high' END AS vol, 'normal' AS liquidity FROM
   (SELECT strftime(make_timestamp(ts * 1000), '%Y-%m-%d') AS dt, count(*) AS n FROM ev GROUP BY 1)
-  WHERE CAST(right(dt, 2) AS INT) % 3 = 0)
+  WHERE dayofweek(CAST(dt AS DATE)) BETWEEN 1 AND 5)
 """
 
 
@@ -104,14 +104,14 @@ def jn_03(spark, sf):
 
 @query(
     "jn_04_left_fill_zero",
-    f"""WITH {HOURLY_CTE}, q AS (SELECT instrument_id, ts // 3600000 * 3600000 AS ts, sum(value) AS v FROM ev WHERE event_id % 5 = 0
+    f"""WITH {HOURLY_CTE}, q AS (SELECT instrument_id, ts // 3600000 * 3600000 AS ts, sum(value) AS v FROM ev WHERE value > 100
           GROUP BY 1, 2) SELECT instrument_id, ts, {R("coalesce(q.v, 0)")} AS liq_notional_1h, CAST(NULL AS DOUBLE) AS absent
         FROM hourly LEFT JOIN q USING (instrument_id, ts)""",
 )
 def jn_04(spark, sf):
     q = (
         events_ms(spark, sf)
-        .filter(F.col("event_id") % 5 == 0)
+        .filter(F.col("value") > 100)
         .groupBy("instrument_id", (F.floor(F.col("ts") / HOUR_MS) * HOUR_MS).cast("bigint").alias("ts"))
         .agg(F.sum("value").alias("liq_notional_1h"))
     )
@@ -123,7 +123,7 @@ def jn_04(spark, sf):
 @query(
     "jn_05_features_onto_bars",
     f"""WITH {HOURLY_CTE}, f AS (SELECT instrument_id, ts, close - lag(close) OVER (PARTITION BY instrument_id ORDER BY pos) AS chg_1
-          FROM hx WHERE true QUALIFY pos % 2 = 1)
+          FROM hx WHERE true QUALIFY close > 40)
         SELECT instrument_id, ts, close, {R("chg_1")} AS chg_1 FROM hourly LEFT JOIN f USING (instrument_id, ts)""",
 )
 def jn_05(spark, sf):
@@ -131,7 +131,7 @@ def jn_05(spark, sf):
 
     ix = hourly_ix(spark, sf)
     f = add_windowed(ix, KEY, lambda fr: {"chg_1": F.col("close") - fr.lag("close", 1)}, before=1)
-    half = f.filter(F.col("pos") % 2 == 1).select("instrument_id", "ts", "chg_1")
+    half = f.filter(F.col("close") > 40).select("instrument_id", "ts", "chg_1")
     return hourly(spark, sf).join(half, ["instrument_id", "ts"], "left").select(
         "instrument_id", "ts", "close", rnd("chg_1").alias("chg_1")
     )
@@ -152,8 +152,8 @@ def edges(spark, sf):
 
 
 def versions(spark, sf):
-    """Two versions per customer whose key is not a multiple of 5; the second is current."""
-    c = table(spark, sf, "customer").filter(F.col("c_custkey") % 5 != 0)
+    """Two versions per customer outside the furniture segment; the second is current."""
+    c = table(spark, sf, "customer").filter(F.col("c_mktsegment") != "FURNITURE")
     two = c.select("c_custkey", "c_acctbal", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
     return two.select(
         (F.col("c_custkey") * 2 + F.col("k")).alias("version_id"),
@@ -211,7 +211,7 @@ LEDGER_CTE = f"""
 edges AS (SELECT c_custkey AS edge_id, c_name AS title, c_mktsegment AS category, {STATES_SQL}[c_custkey % 9 + 1] AS status,
   ['A','B','C','D'][c_nationkey % 4 + 1] AS readiness_class, c_custkey * 1000 AS updated_at FROM customer),
 versions AS (SELECT c_custkey * 2 + k AS version_id, c_custkey AS edge_id, CAST(k AS BIGINT) AS is_current,
-  ((c_custkey % 7) + 1.5) * 2 AS cost_bps FROM customer, (SELECT unnest([0, 1]) AS k) WHERE c_custkey % 5 <> 0),
+  ((c_custkey % 7) + 1.5) * 2 AS cost_bps FROM customer, (SELECT unnest([0, 1]) AS k) WHERE c_mktsegment <> 'FURNITURE'),
 runs AS (SELECT o_orderkey AS run_id, o_custkey * 2 + o_orderkey % 2 AS edge_version_id,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'screen' WHEN '2-HIGH' THEN 'full' ELSE 'incremental' END AS run_kind,
   CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'running' ELSE 'failed' END AS status,
@@ -385,6 +385,8 @@ def keyed_events(spark, sf):
     )
 
 
+# stored = before the middle of the month, incoming = from half a day earlier on
+MID = 1_705_319_998_000
 KEYED_CTE = """
 ke AS (SELECT event_type || ':' || user_id || ':' || strftime(ts, '%Y-%m-%d') AS dedupe_key, event_id,
   epoch_us(ts) // 1000 AS ts, value AS magnitude FROM events)
@@ -393,27 +395,27 @@ ke AS (SELECT event_type || ':' || user_id || ':' || strftime(ts, '%Y-%m-%d') AS
 
 @query(
     "set_02_insert_new",
-    f"""WITH {KEYED_CTE} SELECT * FROM (SELECT * FROM ke WHERE event_id % 3 <> 0) n WHERE NOT EXISTS (SELECT 1 FROM ke o
-        WHERE o.event_id % 3 = 0 AND o.dedupe_key = n.dedupe_key)
+    f"""WITH {KEYED_CTE} SELECT * FROM (SELECT * FROM ke WHERE ts >= {MID - 43200000}) n WHERE NOT EXISTS (SELECT 1 FROM ke o
+        WHERE o.ts < {MID} AND o.dedupe_key = n.dedupe_key)
         QUALIFY row_number() OVER (PARTITION BY dedupe_key ORDER BY ts, event_id) = 1""",
 )
 def set_02(spark, sf):
     k = keyed_events(spark, sf)
     return upserts.insert_new(
-        k.filter(F.col("event_id") % 3 == 0), k.filter(F.col("event_id") % 3 != 0), "dedupe_key", ["ts", "event_id"]
+        k.filter(F.col("ts") < MID), k.filter(F.col("ts") >= MID - 43_200_000), "dedupe_key", ["ts", "event_id"]
     )
 
 
 @query(
     "set_02_insert_counts",
-    f"""WITH {KEYED_CTE}, w AS (SELECT CAST(count(DISTINCT dedupe_key) AS BIGINT) AS written FROM ke n WHERE event_id % 3 <> 0 AND NOT EXISTS
-          (SELECT 1 FROM ke o WHERE o.event_id % 3 = 0 AND o.dedupe_key = n.dedupe_key))
-        SELECT written, (SELECT CAST(count(*) AS BIGINT) FROM ke WHERE event_id % 3 <> 0) - written AS skipped FROM w""",
+    f"""WITH {KEYED_CTE}, w AS (SELECT CAST(count(DISTINCT dedupe_key) AS BIGINT) AS written FROM ke n WHERE ts >= {MID - 43200000} AND NOT EXISTS
+          (SELECT 1 FROM ke o WHERE o.ts < {MID} AND o.dedupe_key = n.dedupe_key))
+        SELECT written, (SELECT CAST(count(*) AS BIGINT) FROM ke WHERE ts >= {MID - 43200000}) - written AS skipped FROM w""",
 )
 def set_02_counts(spark, sf):
     k = keyed_events(spark, sf)
     return upserts.insert_counts(
-        k.filter(F.col("event_id") % 3 == 0), k.filter(F.col("event_id") % 3 != 0), "dedupe_key"
+        k.filter(F.col("ts") < MID), k.filter(F.col("ts") >= MID - 43_200_000), "dedupe_key"
     )
 
 
@@ -443,20 +445,20 @@ def set_03(spark, sf):
 @query(
     "set_04_partial_upsert",
     """WITH a AS (SELECT c_custkey AS k, c_acctbal AS oi_base, c_acctbal * 2 AS oi_usd, 1::BIGINT AS ingested_at FROM customer
-         WHERE c_custkey % 3 <> 0), b AS (SELECT c_custkey AS k, c_acctbal + 5 AS oi_base, 2::BIGINT AS ingested_at FROM customer
-         WHERE c_custkey % 2 = 0)
+         WHERE c_acctbal > 3000), b AS (SELECT c_custkey AS k, c_acctbal + 5 AS oi_base, 2::BIGINT AS ingested_at FROM customer
+         WHERE c_acctbal < 6000)
        SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NOT NULL THEN b.oi_base ELSE a.oi_base END AS oi_base, a.oi_usd,
          CASE WHEN a.k IS NOT NULL THEN a.ingested_at ELSE b.ingested_at END AS ingested_at FROM a FULL JOIN b ON a.k = b.k""",
 )
 def set_04(spark, sf):
     c = table(spark, sf, "customer")
-    a = c.filter(F.col("c_custkey") % 3 != 0).select(
+    a = c.filter(F.col("c_acctbal") > 3000).select(
         F.col("c_custkey").alias("k"),
         F.col("c_acctbal").alias("oi_base"),
         (F.col("c_acctbal") * 2).alias("oi_usd"),
         F.lit(1).cast("bigint").alias("ingested_at"),
     )
-    b = c.filter(F.col("c_custkey") % 2 == 0).select(
+    b = c.filter(F.col("c_acctbal") < 6000).select(
         F.col("c_custkey").alias("k"), (F.col("c_acctbal") + 5).alias("oi_base"), F.lit(2).cast("bigint").alias("ingested_at")
     )
     return upserts.upsert_columns(a, b, ["k"], ["oi_base"])
@@ -541,9 +543,9 @@ def agg_12(spark, sf):
         F.date_format(F.timestamp_millis("ts"), "yyyy-MM-dd").alias("dt"),
         F.col("instrument_id").alias("resource"),
         F.lit(1).cast("bigint").alias("value"),
-        "event_id",
+        "ts",
     )
-    stored = e.filter(F.col("event_id") % 2 == 0).groupBy("dt", "resource").agg(F.sum("value").alias("value"))
-    return upserts.add_counters(stored, e.filter(F.col("event_id") % 2 == 1), ["dt", "resource"], "value")
+    stored = e.filter(F.col("ts") < MID).groupBy("dt", "resource").agg(F.sum("value").alias("value"))
+    return upserts.add_counters(stored, e.filter(F.col("ts") >= MID), ["dt", "resource"], "value")
 
 

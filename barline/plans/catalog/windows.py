@@ -21,6 +21,7 @@ from barline.plans.catalog.base import (
     table,
 )
 from barline.functions.scalar import ms
+from barline.session import materialize
 from barline.sources.payloads import gap_events
 
 KEY = ["instrument_id"]
@@ -155,21 +156,20 @@ def feature_bars(spark, sf):
         .agg(F.sum("value").alias("taker_buy_volume"))
     )
     b = hourly(spark, sf).join(taker, [*KEY, "ts"], "left")
-    slow = e.filter(F.col("event_id") % 7 == 0)
-    ratios = e.filter(F.col("event_id") % 5 == 0).select(
+    ratios = e.select(
         "instrument_id",
         "ts",
         F.when(F.col("user_id") % 2 == 0, "all_account").otherwise("top_trader_position").alias("ratio_type"),
         F.col("value").alias("ls_ratio"),
     )
-    liq = e.filter(F.col("event_id") % 11 == 0).groupBy(
+    liq = e.filter(F.col("value") > 100).groupBy(
         "instrument_id", (F.floor(F.col("ts") / 3_600_000) * 3_600_000).cast("bigint").alias("ts")
     ).agg(F.sum("value").alias("liq_notional_1h"))
     return merge_slow_series(
         b.withColumn("taker_buy_volume", F.coalesce("taker_buy_volume", F.lit(0.0))),
         KEY,
-        slow.select("instrument_id", "ts", F.col("value").alias("rate")),
-        slow.select("instrument_id", "ts", (F.col("value") + 10).alias("oi_base")),
+        e.select("instrument_id", "ts", F.col("value").alias("rate")),
+        e.select("instrument_id", "ts", (F.col("value") + 10).alias("oi_base")),
         ratios,
         liq,
     )
@@ -177,10 +177,10 @@ def feature_bars(spark, sf):
 
 SLOW_CTE = HOURLY_CTE + """,
 taker AS (SELECT instrument_id, ts // 3600000 * 3600000 AS ts, sum(value) AS taker_buy_volume FROM ev WHERE user_id % 2 = 0 GROUP BY 1, 2),
-slow AS (SELECT * FROM ev WHERE event_id % 7 = 0),
+slow AS (SELECT * FROM ev),
 ls AS (SELECT instrument_id, ts, avg(value) FILTER (user_id % 2 = 0) AS ls_all_account,
-  avg(value) FILTER (user_id % 2 = 1) AS ls_top_trader_position FROM ev WHERE event_id % 5 = 0 GROUP BY 1, 2),
-liq AS (SELECT instrument_id, ts // 3600000 * 3600000 AS ts, sum(value) AS liq_notional_1h FROM ev WHERE event_id % 11 = 0 GROUP BY 1, 2),
+  avg(value) FILTER (user_id % 2 = 1) AS ls_top_trader_position FROM ev GROUP BY 1, 2),
+liq AS (SELECT instrument_id, ts // 3600000 * 3600000 AS ts, sum(value) AS liq_notional_1h FROM ev WHERE value > 100 GROUP BY 1, 2),
 fb AS (SELECT h.*, coalesce(t.taker_buy_volume, 0) AS taker_buy_volume, s.value AS funding_rate, s.value + 10 AS oi_base,
   l.ls_all_account, l.ls_top_trader_position, coalesce(q.liq_notional_1h, 0) AS liq_notional_1h
   FROM hx h LEFT JOIN taker t USING (instrument_id, ts)
@@ -239,7 +239,8 @@ def win_12(spark, sf):
     # the long windows (30 days of hours and more) are NULL on a 30-day sample on both sides
     from barline.operators.series import DAY_MS, index_rows, time_bucket
 
-    ix = index_rows(feature_bars(spark, sf), KEY, "ts", time_bucket("ts", 365 * DAY_MS))
+    bars = materialize(feature_bars(spark, sf), "feature_bars")
+    ix = index_rows(bars, KEY, "ts", time_bucket("ts", 365 * DAY_MS))
     f = ft.compute_features(ix, KEY)
     four = {"ret_24h", "oi_chg_24h", "liq_notional_24h"}
     return f.select(
@@ -382,8 +383,20 @@ def win_18_dd(spark, sf):
     return d.select("rule_id", rnd("max_dd").alias("max_dd"))
 
 
-@query("udf_03_feature_definitions")
+NAMES_SQL = ", ".join(f"'{f.name}'" for f in ft.registered())
+NON_NULL_SQL = ", ".join(f"count({f.name})" for f in ft.registered())
+
+
+@query(
+    "udf_03_feature_definitions",
+    f"""WITH r AS ({REGISTRY_SQL}) SELECT 'v1.' || unnest([{NAMES_SQL}]) AS feature_id,
+        CAST(unnest([{NON_NULL_SQL}]) AS BIGINT) AS non_null FROM r""",
+)
 def udf_03(spark, sf):
-    # definition rows with the observed bar count behind each feature
-    n = hourly(spark, sf).agg(F.count(F.lit(1))).scalar()
-    return ft.feature_definitions(spark).withColumn("bars", n)
+    # the definition table with the number of bars that have a value
+    values = win_12(spark, sf).agg(*[F.count(f.name).alias(f"v1.{f.name}") for f in ft.registered()])
+    pairs = F.array(
+        *[F.struct(F.lit(f"v1.{f.name}").alias("feature_id"), F.col(f"`v1.{f.name}`").alias("non_null")) for f in ft.registered()]
+    )
+    counts = values.select(F.explode(pairs).alias("_p")).select("_p.*")
+    return ft.feature_definitions(spark).join(counts, "feature_id").select("feature_id", "non_null")

@@ -103,16 +103,18 @@ def prepare_bars(
         with_regime = None
     for s in specs:
         rules.check_inputs(s.when, [*bars.columns, *derived], types if types and supplied else None, with_regime)
+    # the indexed bars and their features are read by several branches below
     out = index_rows(bars, keys, "ts", F.floor(F.col("ts") / F.lit(50_000 * bar_ms)).cast("bigint"))
+    out = materialize(out, "bars")
     if derived:
         missing = sorted({c for f in features.registered(derived) for c in f.base} - set(bars.columns))
         if missing:
             raise rules.MissingInput(f"base column(s) not in the bars: {missing}")
         computed = features.compute_features(out, keys, derived, size)
-        out = out.join(computed.drop("ts"), [*keys, "pos"])
+        out = materialize(out.join(computed.drop("ts"), [*keys, "pos"]), "features")
     if types:
         slots = asof.event_slots(events, bar_ms, types)
-        starts = bars.groupBy(*keys).agg(F.min("ts").alias("_start"))
+        starts = out.filter(F.col("pos") == 0).select(*keys, F.col("ts").alias("_start"))
         out = out.join(starts, keys).withColumn("slot", asof.row_slot(F.col("_start"), F.col("pos"), bar_ms))
         out = asof.attach_events(out, slots, types).drop("slot", "_start")
     if regimes is not None:
@@ -212,8 +214,8 @@ def evaluate(
 ) -> Evaluation:
     """Run the whole protocol for every (rule, series).
 
-    ``prepared`` from ``prepare_bars``. Two tables are written to the run folder: the
-    labelled bars and the trades; all statistics read those.
+    ``prepared`` from ``prepare_bars``. What several branches read is written to the run
+    folder first: labelled bars, trades, trades with folds, and the row per rule.
     """
     cfg = config or Config()
     keys = list(keys)
@@ -231,6 +233,7 @@ def evaluate(
     folded = splits.assign_test_fold(trades, group, cfg.n_folds)
     first_oos = folded.groupBy(*group).agg(F.min(F.when(F.col("fold").isNotNull(), F.col("seq"))).alias("_first"))
     full = folded.join(span.select(*group, tpy.alias("trades_per_year")), group).join(first_oos, group)
+    full = materialize(full, "folded")
 
     # out of sample = the trades from the first tested one on; all when no fold could be cut
     base = F.coalesce("_first", F.lit(0))

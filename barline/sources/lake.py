@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 from barline.functions.scalar import normalize_ms
 from barline.operators.series import DAY_MS
+from barline.operators.upserts import merge_keep_last
+from barline.session import materialize
 
 CANDLE_SCHEMA = T.StructType(
     [
@@ -84,6 +86,26 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
     writer.parquet(path)
 
 
+def merge_partitions(
+    incoming: DataFrame, path: str, keys: Sequence[str], partition_by: Sequence[str], order: Sequence[str] = ()
+) -> None:
+    """Merge rows into a partitioned table, rewriting only the partitions they touch.
+
+    The stored side is cut to those partitions by a semi join on the partition columns
+    (pruned at run time), merged with the batch (incoming wins), written to the run
+    folder and from there over the partitions. The rest of the table is not read.
+    """
+    spark = incoming.sparkSession
+    if path_exists(spark, path):
+        stored = spark.read.schema(incoming.schema).parquet(path)
+        touched = incoming.select(*partition_by).distinct()
+        stored = stored.join(touched, list(partition_by), "left_semi").select(*incoming.columns)
+    else:
+        stored = spark.createDataFrame([], incoming.schema)
+    merged = materialize(merge_keep_last(stored, incoming, keys, order), "merge")
+    write_table(merged, path, partition_by)
+
+
 def mirror(tables: dict[str, DataFrame], root: str, drop: Sequence[str] = ("_rowid",)) -> dict[str, int]:
     """Write every table under root; row counts are observed during the write."""
     counts: dict[str, int] = {}
@@ -121,12 +143,16 @@ def catalog(spark: SparkSession, root: str, prefixes: Sequence[str] = CATALOG_PR
 
 
 def dataset_hash(files: DataFrame) -> DataFrame:
-    """sha256 over the sorted (key, size) list; times and labels do not count.
+    """sha256 over the sorted (key, size) list as JSON text; times and labels do not count.
 
     The list holds one entry per file, never table rows.
     """
     listed = F.array_sort(F.collect_list(F.struct("key", "size")))
-    return files.agg(F.sha2(F.to_json(listed), 256).alias("dataset_hash"), F.count(F.lit(1)).alias("files"))
+    entry = F.transform(
+        listed, lambda f: F.concat(F.lit('{"key": "'), f["key"], F.lit('", "size": '), f["size"].cast("string"), F.lit("}"))
+    )
+    text = F.concat(F.lit("["), F.array_join(entry, ", "), F.lit("]"))
+    return files.agg(F.sha2(text, 256).alias("dataset_hash"), F.count(F.lit(1)).alias("files"))
 
 
 def content_hash(df: DataFrame) -> DataFrame:

@@ -1,3 +1,6 @@
+import hashlib
+import json
+
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
@@ -115,6 +118,9 @@ def test_manifest_hash_ignores_time_and_label(spark, tmp_path):
     df.write.parquet(f"{root}/curated/a")
     assert lake.read_dataset_hash(spark, root) == "unknown"
     one = lake.write_manifest(spark, root, "2024-01-01")
+    files = sorted((p for p in (tmp_path / "lake").rglob("*.parquet")), key=str)
+    listed = [{"key": str(p.relative_to(tmp_path / "lake")), "size": p.stat().st_size} for p in files]
+    assert one == hashlib.sha256(json.dumps(listed, sort_keys=True).encode()).hexdigest()
     two = lake.write_manifest(spark, root, "2024-01-02")
     assert one == two == lake.read_dataset_hash(spark, root)
     df.write.parquet(f"{root}/curated/b")
@@ -170,3 +176,15 @@ def test_regimes(spark):
     assert {r.k for r in regimes.history(lab, ["k"]).collect()} == {"a"}
     now = regimes.current(lab, ["k"]).collect()
     assert [(r.k, r.trend) for r in now] == [("a", "up")]
+
+
+def test_merge_touches_only_its_partitions(spark, tmp_path):
+    path = str(tmp_path / "t")
+    old = spark.createDataFrame([("p", 1, 1.0), ("p", 2, 2.0), ("q", 1, 3.0)], "part string, ts bigint, v double")
+    lake.merge_partitions(old, path, ["part", "ts"], ["part"])
+    before = {p.name for p in (tmp_path / "t" / "part=q").iterdir()}
+    new = spark.createDataFrame([("p", 2, 9.0), ("r", 5, 5.0)], "part string, ts bigint, v double")
+    lake.merge_partitions(new, path, ["part", "ts"], ["part"])
+    got = sorted(map(tuple, spark.read.schema(old.schema).parquet(path).select("part", "ts", "v").collect()))
+    assert got == [("p", 1, 1.0), ("p", 2, 9.0), ("q", 1, 3.0), ("r", 5, 5.0)]
+    assert {p.name for p in (tmp_path / "t" / "part=q").iterdir()} == before
