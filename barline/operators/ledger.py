@@ -247,39 +247,33 @@ def action_queue(edges: DataFrame, states: DataFrame, verdicts: DataFrame, issue
     rows = edges.select("edge_id", "title", "status").join(states.select("edge_id", "state"), "edge_id").join(
         v, "edge_id", "left"
     )
-    full = rows.filter(F.col("state") == "FULL_DONE")
-    ready = F.coalesce((F.col("verdict") == "ADOPT") & (F.col("status") == "TESTING"), F.lit(False))
-    none = F.lit(None)
-
-    def item(df: DataFrame, kind: str, detail: Column) -> DataFrame:
-        return df.select(
-            F.lit(kind).alias("kind"),
-            "edge_id",
-            "title",
-            detail.alias("detail"),
-            none.cast("bigint").alias("issue_id"),
-        )
-
-    approvals = item(full.filter(ready), "approval", F.lit("ADOPT: TESTING to VALIDATED awaits approval"))
-    reviews = item(
-        full.filter(~ready),
-        "review",
-        F.concat(F.lit("full run ("), F.coalesce("verdict", F.lit("no verdict")), F.lit(") awaits review")),
+    done = F.col("state") == "FULL_DONE"
+    approve = done & F.coalesce((F.col("verdict") == "ADOPT") & (F.col("status") == "TESTING"), F.lit(False))
+    detail = (
+        F.when(approve, "ADOPT: TESTING to VALIDATED awaits approval")
+        .when(done, F.concat(F.lit("full run ("), F.coalesce("verdict", F.lit("no verdict")), F.lit(") awaits review")))
+        .otherwise("screen run awaits review")
+    )
+    items = rows.filter(F.col("state").isin("FULL_DONE", "SCREEN_DONE")).select(
+        F.when(approve, "approval").otherwise("review").alias("kind"),
+        "edge_id",
+        "title",
+        detail.alias("detail"),
+        F.lit(None).cast("bigint").alias("issue_id"),
     )
-    screens = item(rows.filter(F.col("state") == "SCREEN_DONE"), "review", F.lit("screen run awaits review"))
     critical = (
         issues.filter((F.col("status") == "open") & (F.col("severity") == "critical"))
         .orderBy(F.col("detected_at").desc(), F.col("issue_id"))
         .limit(limit)
         .select(
             F.lit("dq").alias("kind"),
-            none.cast(edges.schema["edge_id"].dataType).alias("edge_id"),
+            F.lit(None).cast(edges.schema["edge_id"].dataType).alias("edge_id"),
             F.col("rule_id").alias("title"),
             F.concat("stream_id", F.lit(" (critical, "), date_key("detected_at"), F.lit(")")).alias("detail"),
             F.col("issue_id").cast("bigint").alias("issue_id"),
         )
     )
-    return approvals.unionByName(reviews).unionByName(screens).unionByName(critical)
+    return items.unionByName(critical)
 
 
 def reap_stuck(runs: DataFrame, now: Column) -> DataFrame:

@@ -307,7 +307,8 @@ def evl_07(spark, sf):
           {R("avg(CASE WHEN ev > 0 THEN 1.0 ELSE 0 END) OVER (PARTITION BY rule_id)")} AS fold_consistency FROM t""",
 )
 def evl_08(spark, sf):
-    s = splits.fold_stats(splits.assign_test_fold(order_trades(spark, sf), ["rule_id"], 5), ["rule_id"])
+    t = materialize(splits.assign_test_fold(order_trades(spark, sf), ["rule_id"], 5), "folds")
+    s = splits.fold_stats(t, ["rule_id"])
     both = s.join(splits.fold_consistency(s, ["rule_id"]), "rule_id")
     return rounded(both.select("rule_id", "fold", "ev_bps", "trades", "fold_consistency"), "ev_bps", "fold_consistency")
 
