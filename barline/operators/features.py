@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barline.operators.series import BLK, CORE, POS, Frames, blocks, core_rows
+from barline.operators.series import BLK, CORE, POS, Frames, apply_step, blocks, core_rows
 
 
 def _c(x: Column | str) -> Column:
@@ -31,12 +31,12 @@ def pctchg(f: Frames, x, w: int) -> Column:
 
 
 def z(f: Frames, x, w: int) -> Column:
-    sd = f.full(F.stddev_pop(x), x, w)
-    return F.when(sd > 0, (_c(x) - f.full(F.avg(x), x, w)) / sd)
+    sd = f.roll("std_pop", x, w)
+    return F.when(sd > 0, (_c(x) - f.roll("avg", x, w)) / sd)
 
 
 def ma_ratio(f: Frames, x, short: int, long: int) -> Column:
-    return F.try_divide(f.full(F.avg(x), x, short), f.full(F.avg(x), x, long))
+    return F.try_divide(f.roll("avg", x, short), f.roll("avg", x, long))
 
 
 def log_return(f: Frames, close) -> Column:
@@ -45,7 +45,7 @@ def log_return(f: Frames, close) -> Column:
 
 def std_of_log_return(f: Frames, log_ret: str, w: int) -> Column:
     """Realized volatility from a log-return column, population form."""
-    return f.full(F.stddev_pop(log_ret), log_ret, w)
+    return f.roll("std_pop", log_ret, w)
 
 
 def true_range(f: Frames, high, low, close) -> Column:
@@ -54,25 +54,25 @@ def true_range(f: Frames, high, low, close) -> Column:
 
 
 def atr_of(f: Frames, tr: str, w: int) -> Column:
-    return f.full(F.avg(tr), tr, w)
+    return f.roll("avg", tr, w)
 
 
 def sma_dist_pct(f: Frames, close, w: int) -> Column:
-    sma = f.full(F.avg(close), close, w)
+    sma = f.roll("avg", close, w)
     return F.try_divide(_c(close) - sma, sma) * 100.0
 
 
 def rolling_high_dist(f: Frames, high, close, w: int) -> Column:
-    top = f.full(F.max(high), high, w)
+    top = f.roll("max", high, w)
     return F.try_divide(_c(close) - top, top) * 100.0
 
 
 def rolling_ratio(f: Frames, num, den, w: int) -> Column:
-    return F.try_divide(f.full(F.sum(num), num, w), f.full(F.sum(den), den, w))
+    return F.try_divide(f.roll("sum", num, w), f.roll("sum", den, w))
 
 
 def rolling_sum(f: Frames, x, w: int) -> Column:
-    return f.full(F.sum(x), x, w)
+    return f.roll("sum", x, w)
 
 
 def pctile_expr(f: Frames, x, w: int) -> Column:
@@ -285,8 +285,8 @@ def compute_features(
     frames = Frames(keys)
     out = blocks(indexed, before=halo, size=size)
     for name in helpers:
-        out = out.withColumn(name, _HELPERS[name][0](frames))
-    out = out.withColumns({f.name: f.build(frames) for f in plain})
+        out = apply_step(out, keys, frames, lambda fr, name=name: {name: _HELPERS[name][0](fr)})
+    out = apply_step(out, keys, frames, lambda fr: {f.name: f.build(fr) for f in plain})
     keep = [*keys, POS, "ts", *[f.name for f in plain], *sorted(rank_inputs)]
     out = core_rows(out.select(*keep, BLK, CORE))
     if ranks:

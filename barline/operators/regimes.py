@@ -30,7 +30,7 @@ class Thresholds:
 
 def realized_vol(f: Frames, log_ret: str, w: int = 30, periods: int = 365) -> Column:
     """Annualised sample deviation of log returns."""
-    return f.full(F.stddev_samp(log_ret), log_ret, w) * F.sqrt(F.lit(float(periods)))
+    return f.roll("std_samp", log_ret, w) * F.sqrt(F.lit(float(periods)))
 
 
 def directional_moves(f: Frames) -> dict[str, Column]:
@@ -122,7 +122,7 @@ def classify(
         keys,
         [
             lambda f: {
-                "sma200": f.full(F.avg("close"), "close", 200),
+                "sma200": f.roll("avg", "close", 200),
                 "_lr": F.log("close") - f.lag(F.log("close"), 1),
             },
             lambda f: {"rv": realized_vol(f, "_lr")},

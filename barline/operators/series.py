@@ -101,11 +101,16 @@ def core_rows(df: DataFrame) -> DataFrame:
     return df.filter(F.col(CORE)).drop(BLK, CORE)
 
 
+#: up to this many rows Spark's own sliding frame is used; it re-reads the whole frame per row
+SHORT_FRAME = 64
+
+
 class Frames:
     """Window expressions inside a block: lag, lead and full trailing frames."""
 
     def __init__(self, keys: Sequence[str], pos: str = POS):
         self.w = W.partitionBy(*keys, BLK).orderBy(pos)
+        self.wanted: dict[str, tuple[str, str, int]] = {}
 
     def lag(self, col: Column | str, n: int) -> Column:
         return F.lag(col, n).over(self.w) if n else _cols(col)[0]
@@ -121,6 +126,97 @@ class Frames:
         frame = self.rows(n)
         return F.when(F.count(col).over(frame) == n, agg.over(frame))
 
+    def roll(self, kind: str, col: str, n: int) -> Column:
+        """sum, avg, std_pop, std_samp or max of the last n rows, NULL until n values are there.
+
+        Long frames are columns that ``add_rolling`` adds before the expression is used.
+        """
+        if n <= SHORT_FRAME:
+            return self.full(_ROLL_AGG[kind](col), col, n)
+        name = f"_roll_{kind}_{col}_{n}"
+        self.wanted[name] = (kind, col, n)
+        return F.col(name)
+
+
+_ROLL_AGG = {
+    "sum": F.sum,
+    "avg": F.avg,
+    "std_pop": F.stddev_pop,
+    "std_samp": F.stddev_samp,
+    "max": F.max,
+}
+
+
+def add_rolling(
+    blocked: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, str, int]], pos: str = POS
+) -> DataFrame:
+    """Add long trailing aggregates to a blocked frame at a constant cost per row.
+
+    Positions are cut into chunks of n rows. The last n rows are the tail of one chunk
+    and the head of the next, so the aggregate is the running value from the chunk start
+    up to the row, merged with the running value from n - 1 rows back down to the end of
+    its chunk. Running frames are incremental, nothing is subtracted, and variances merge
+    by the pairwise formula, so no digits are lost. Both runs stay in the block's task.
+    """
+    out = blocked
+    by_row = W.partitionBy(*keys, BLK).orderBy(pos)
+    for n in sorted({n for _, _, n in wanted.values()}):
+        chunk = f"_chunk_{n}"
+        out = out.withColumn(chunk, F.floor(F.col(pos) / F.lit(n)).cast("bigint"))
+        span = W.partitionBy(*keys, BLK, chunk)
+        head = span.orderBy(pos).rowsBetween(W.unboundedPreceding, 0)
+        tail = span.orderBy(F.col(pos).desc()).rowsBetween(W.unboundedPreceding, 0)
+        mine = {name: (kind, col) for name, (kind, col, m) in wanted.items() if m == n}
+        cols = sorted({c for _, c in mine.values()})
+        kinds = {c: {k for k, c2 in mine.values() if c2 == c} for c in cols}
+
+        def parts(c: str, frame, side: str) -> dict[str, Column]:
+            got = {f"_{side}n_{c}": F.count(c).over(frame)}
+            if kinds[c] & {"sum", "avg", "std_pop", "std_samp"}:
+                got[f"_{side}s_{c}"] = F.sum(c).over(frame)
+            if kinds[c] & {"std_pop", "std_samp"}:
+                got[f"_{side}v_{c}"] = F.var_pop(c).over(frame)
+            if "max" in kinds[c]:
+                got[f"_{side}x_{c}"] = F.max(c).over(frame)
+            return got
+
+        heads = {k: v for c in cols for k, v in parts(c, head, "h").items()}
+        tails = {k: v for c in cols for k, v in parts(c, tail, "t").items()}
+        out = out.withColumns(heads).withColumns(tails)
+        # a frame that is exactly one chunk is covered by its head alone
+        one = F.col(pos) % F.lit(n) == n - 1
+        out = out.withColumns({k: F.when(~one, F.lag(k, n - 1).over(by_row)) for k in tails})
+        result = {}
+        for name, (kind, c) in mine.items():
+            hn, tn = F.col(f"_hn_{c}"), F.coalesce(F.col(f"_tn_{c}"), F.lit(0))
+            ok = (hn + tn == n) & (one | F.col(f"_tn_{c}").isNotNull())
+            if kind == "max":
+                value = F.greatest(f"_hx_{c}", f"_tx_{c}")
+            else:
+                hs, ts = F.col(f"_hs_{c}"), F.coalesce(F.col(f"_ts_{c}"), F.lit(0.0))
+                if kind == "sum":
+                    value = hs + ts
+                elif kind == "avg":
+                    value = (hs + ts) / F.lit(n)
+                else:
+                    tv = F.coalesce(F.col(f"_tv_{c}"), F.lit(0.0))
+                    gap = F.when(tn > 0, hs / hn - ts / tn).otherwise(F.lit(0.0))
+                    m2 = F.col(f"_hv_{c}") * hn + tv * tn + gap * gap * hn * tn / F.lit(n)
+                    value = F.sqrt(m2 / F.lit(n if kind == "std_pop" else n - 1))
+            result[name] = F.when(ok, value)
+        out = out.withColumns(result).drop(chunk, *heads, *tails)
+    return out
+
+
+def apply_step(blocked: DataFrame, keys: Sequence[str], frames: Frames, step, pos: str = POS) -> DataFrame:
+    """Add the columns of one step to a blocked frame, long aggregates first."""
+    frames.wanted = {}
+    columns = step(frames)
+    wanted = {n: spec for n, spec in frames.wanted.items() if n not in blocked.columns}
+    if wanted:
+        blocked = add_rolling(blocked, keys, wanted, pos)
+    return blocked.withColumns(columns)
+
 
 def add_windowed(
     df: DataFrame,
@@ -140,8 +236,8 @@ def add_windowed(
     frames = Frames(keys, pos)
     out = blocks(df, before, after, size, pos)
     for step in steps:
-        out = out.withColumns(step(frames))
-    return core_rows(out)
+        out = apply_step(out, keys, frames, step, pos)
+    return core_rows(out).drop(*[c for c in out.columns if c.startswith("_roll_")])
 
 
 _LOCAL = {

@@ -262,7 +262,7 @@ def win_13(spark, sf):
         KEY,
         [
             lambda f: {
-                "sma": f.full(F.avg("close"), "close", 200),
+                "sma": f.roll("avg", "close", 200),
                 "_lr": F.log("close") - f.lag(F.log("close"), 1),
             },
             lambda f: {"rv": regimes.realized_vol(f, "_lr")},

@@ -68,6 +68,28 @@ def test_windows_do_not_depend_on_block_size(skewed, size):
     assert j.filter(bad).count() == 0 and j.count() == skewed.count()
 
 
+@pytest.mark.parametrize("size", [300, 100_000])
+@pytest.mark.parametrize("n", [65, 100])
+def test_long_frames_equal_sliding_frames(skewed, size, n):
+    ix = index_rows(skewed, ["k"], "ts", time_bucket("ts", 6 * HOUR_MS))
+    kinds = {"sum": F.sum, "avg": F.avg, "std_pop": F.stddev_pop, "std_samp": F.stddev_samp, "max": F.max}
+    # a few nulls only, so that full frames exist
+    ix = ix.withColumn("y", F.when(F.col("id") % 700 != 3, F.col("x") + 1e6))
+    got = add_windowed(
+        ix, ["k"], lambda f: {f"{k}_{c}": f.roll(k, c, n) for k in kinds for c in ("x", "y")}, before=n - 1, size=size
+    )
+    r = W.partitionBy("k").orderBy("ts").rowsBetween(-(n - 1), 0)
+    want = ix.select(
+        "id", *[F.when(F.count(c).over(r) == n, a(c).over(r)).alias(f"w_{k}_{c}") for k, a in kinds.items() for c in ("x", "y")]
+    )
+    pdf = got.join(want, "id").toPandas()
+    assert len(pdf) == skewed.count() and not any(c.startswith("_roll") for c in got.columns)
+    for k in kinds:
+        for c in ("x", "y"):
+            np.testing.assert_allclose(pdf[f"{k}_{c}"], pdf[f"w_{k}_{c}"], rtol=1e-9, atol=1e-9)
+            assert pdf[f"{k}_{c}"].notna().any()
+
+
 def test_blocks_split_a_hot_key(skewed):
     ix = index_rows(skewed, ["k"], "ts", time_bucket("ts", 6 * HOUR_MS))
     sizes = blocks(ix, before=10, size=100).groupBy("k", "_blk").count()
