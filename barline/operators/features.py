@@ -180,6 +180,25 @@ def add_ewm(
     return core_rows(parts.groupBy(*keys, BLK).applyInPandas(ewm_block, schema))
 
 
+def add_arrow(
+    df: DataFrame,
+    keys: Sequence[str],
+    functions: dict[str, Callable[[pd.DataFrame], pd.Series]],
+    halo: int,
+    size: int | None = None,
+) -> DataFrame:
+    """Add columns computed by a function over each block with its halo."""
+    parts = blocks(df, before=halo, size=size)
+    schema = T.StructType([*parts.schema.fields, *[T.StructField(o, T.DoubleType()) for o in functions]])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(POS, ignore_index=True)
+        made = {out: fn(pdf).astype(float) for out, fn in functions.items()}
+        return pdf.assign(**made)
+
+    return core_rows(parts.groupBy(*keys, BLK).applyInPandas(run, schema))
+
+
 # --------------------------------------------------------------------------- registry
 
 BARS_PER_DAY = 24
@@ -191,7 +210,9 @@ class Feature:
 
     ``build`` gives the column from block frames. A feature over another feature
     names it in ``after`` and is added in a later step. ``rank`` marks a trailing
-    percentile rank (source column, window). ``halo`` is the number of earlier rows
+    percentile rank (source column, window). ``arrow`` is the way out for what columns
+    cannot express: a function of one block (a time-ordered pandas frame of the base
+    columns, halo included) to one value per row. ``halo`` is the number of earlier rows
     the value depends on, warm-up of its inputs included.
     """
 
@@ -202,6 +223,7 @@ class Feature:
     family: str
     build: Callable[[Frames], Column] | None = None
     rank: tuple[str, int] | None = None
+    arrow: Callable[[pd.DataFrame], pd.Series] | None = None
     after: tuple[str, ...] = ()
     cadence: str = "1h"
 
@@ -287,8 +309,12 @@ def compute_features(
     for name in helpers:
         out = apply_step(out, keys, frames, lambda fr, name=name: {name: _HELPERS[name][0](fr)})
     out = apply_step(out, keys, frames, lambda fr: {f.name: f.build(fr) for f in plain})
-    keep = [*keys, POS, "ts", *[f.name for f in plain], *sorted(rank_inputs)]
+    python = [f for f in chosen if f.arrow is not None]
+    inputs = rank_inputs | {c for f in python for c in f.base}
+    keep = [*keys, POS, "ts", *[f.name for f in plain], *sorted(inputs)]
     out = core_rows(out.select(*keep, BLK, CORE))
+    if python:
+        out = add_arrow(out, keys, {f.name: f.arrow for f in python}, max(f.halo for f in python), size)
     if ranks:
         out = add_ranks(out, keys, ranks, size=None if size is None else max(size, 1))
     return out.select(*keys, POS, "ts", *[f.name for f in chosen])

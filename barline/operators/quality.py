@@ -196,17 +196,18 @@ def spikes(
 ) -> DataFrame:
     """Rows further than ``sigma`` deviations from the mean of the ``window`` rows before them."""
 
-    def cols(f):
-        frame = f.w.rowsBetween(-window, -1)
-        full = F.count(value).over(frame) == window
-        sd = F.stddev_pop(value).over(frame)
-        return {"_z": F.when(full & (sd > 0), (F.col(value) - F.avg(value).over(frame)) / sd)}
-
-    return (
-        add_windowed(indexed, keys, cols, before=window, size=size)
-        .filter(F.abs("_z") > sigma)
-        .withColumnRenamed("_z", "z")
+    rows = add_windowed(
+        indexed,
+        keys,
+        [
+            lambda f: {"_mean": f.roll("avg", value, window), "_sd": f.roll("std_pop", value, window)},
+            lambda f: {"_pm": f.lag("_mean", 1), "_ps": f.lag("_sd", 1)},
+        ],
+        before=window,
+        size=size,
     )
+    z = F.when(F.col("_ps") > 0, (F.col(value) - F.col("_pm")) / F.col("_ps"))
+    return rows.withColumn("z", z).filter(F.abs("z") > sigma).drop("_mean", "_sd", "_pm", "_ps")
 
 
 def out_of_range(df: DataFrame, column: str, low: float, high: float) -> DataFrame:

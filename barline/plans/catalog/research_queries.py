@@ -287,6 +287,23 @@ def udf_01(spark, sf):
     return out.select("instrument_id", "ts", rnd("range_vs_close").alias("range_vs_close"))
 
 
+@query(
+    "udf_01_arrow_feature",
+    f"""WITH {HOURLY_CTE} SELECT instrument_id, ts, CASE WHEN pos >= 4 THEN {R("quantile_cont(close, 0.5) OVER (PARTITION BY instrument_id ORDER BY pos ROWS 4 PRECEDING)")}
+        END AS median_5 FROM hx""",
+)
+def udf_01_arrow(spark, sf):
+    # a rolling median has no built-in frame form of constant cost
+    ft.register_feature(
+        ft.Feature("median_5", ("close",), 5, 4, "price", arrow=lambda pdf: pdf["close"].rolling(5, min_periods=5).median())
+    )
+    try:
+        out = ft.compute_features(hourly_ix(spark, sf), KEY, ["median_5"])
+    finally:
+        ft.unregister_feature("median_5")
+    return out.select("instrument_id", "ts", rnd("median_5").alias("median_5"))
+
+
 @query(
     "udf_04_custom_thresholds",
     f"""WITH v AS (SELECT o_orderkey, o_totalprice / 250000 - 0.6 AS ci_hi, (o_orderkey % 40) / 100.0 AS p, 0.4 + (o_orderkey % 7) / 10.0 AS dsr,
