@@ -231,7 +231,8 @@ def positions(
                 entry_ts, entry_px = int(row.ts), float(row.open)
         state.update((entry_ts, entry_px))
         names = [key, "entry_ts", "entry_px", "exit_ts", "exit_px", "ret_bps", "ret_net_bps"]
-        yield pd.DataFrame(closed, columns=names)
+        if closed:
+            yield pd.DataFrame(closed, columns=names)
 
     return ticks.groupBy(key).applyInPandasWithState(
         step,
@@ -256,7 +257,8 @@ def ewma(stream: DataFrame, key: str, value: str, alpha: float, row_id: str) ->
             rows.append((k[0], getattr(row, row_id), mean))
         if mean is not None:
             state.update((mean,))
-        yield pd.DataFrame(rows, columns=[key, row_id, "ewma"])
+        if rows:
+            yield pd.DataFrame(rows, columns=[key, row_id, "ewma"])
 
     return stream.groupBy(key).applyInPandasWithState(
         step, f"{key} {key_type}, {row_id} bigint, ewma double", "mean double", "append", GroupStateTimeout.NoTimeout
