@@ -16,9 +16,6 @@ from barline.operators.series import HOUR_MS, Frames, blocks, core_rows, index_r
 from barline.operators.verdict import Thresholds, decide, run_config, score
 from barline.session import materialize
 
-Segmented = list[tuple[str, Column, Column, Column]]
-
-
 @dataclass(frozen=True)
 class RuleSpec:
     """One rule version to evaluate."""
@@ -129,12 +126,24 @@ def label_name(spec: RuleSpec, bar_ms: int) -> str:
     return f"{spec.direction}_{spec.delay_bars}_{parse_horizon_bars(spec.horizon, bar_ms)}"
 
 
+def _card(spec: RuleSpec, bar_ms: int) -> Column:
+    bars = parse_horizon_bars(spec.horizon, bar_ms)
+    return F.struct(
+        F.lit(spec.rule_id).alias("rule_id"),
+        F.lit(label_name(spec, bar_ms)).alias("shape"),
+        F.lit(float(spec.cost_bps)).alias("cost_bps"),
+        F.lit(3 * bars).cast("bigint").alias("block_len"),
+        F.lit(spec.n_trials).cast("bigint").alias("n_trials"),
+    )
+
+
 def fire_and_label(
     prepared: DataFrame, keys: Sequence[str], specs: Sequence[RuleSpec], bar_ms: int = HOUR_MS, size: int | None = None
 ) -> DataFrame:
     """Every bar with the rules fired on it and one label per distinct trade shape.
 
-    Rules, lags and all forward labels share one block layout and one sort.
+    Rules, lags and all forward labels share one block layout and one sort. A fired rule
+    carries what later steps need of it, so nothing looks rules up again.
     """
     frames = Frames(keys)
     shapes = {label_name(s, bar_ms): (s.direction, s.delay_bars, parse_horizon_bars(s.horizon, bar_ms)) for s in specs}
@@ -142,7 +151,7 @@ def fire_and_label(
     after = max(d + h for _, d, h in shapes.values())
     rows = blocks(prepared, before=before, after=after, size=size)
     hits = F.filter(
-        F.array(*[F.when(rules.rule_column(s.when, frames), F.lit(s.rule_id)) for s in specs]), lambda h: h.isNotNull()
+        F.array(*[F.when(rules.rule_column(s.when, frames), _card(s, bar_ms)) for s in specs]), lambda h: h.isNotNull()
     )
     labels = {
         n: F.struct(
@@ -164,23 +173,21 @@ def long_labels(labelled: DataFrame, keys: Sequence[str], shapes: Sequence[str])
 
 def trades_of(labelled: DataFrame, keys: Sequence[str], specs: Sequence[RuleSpec], bar_ms: int = HOUR_MS) -> DataFrame:
     """Trades of every rule: the fired bars with a label, gross and net."""
-    rid = F.col("rule_id")
-    shape = cost = None
-    for s in specs:
-        lab, c = F.col(label_name(s, bar_ms)), F.lit(s.cost_bps)
-        shape = F.when(rid == s.rule_id, lab) if shape is None else shape.when(rid == s.rule_id, lab)
-        cost = F.when(rid == s.rule_id, c) if cost is None else cost.when(rid == s.rule_id, c)
-    fired = labelled.filter(F.size("hits") > 0).withColumn("rule_id", F.explode("hits"))
-    rows = fired.withColumns({"_s": shape, "_c": cost}).filter(F.col("_s.fwd_bps").isNotNull())
+    shapes = sorted({label_name(s, bar_ms) for s in specs})
+    label = F.coalesce(*[F.when(F.col("_h.shape") == n, F.col(n)) for n in shapes])
+    fired = labelled.filter(F.size("hits") > 0).withColumn("_h", F.explode("hits"))
+    rows = fired.withColumn("_s", label).filter(F.col("_s.fwd_bps").isNotNull())
     rows = rows.select(
-        "rule_id",
+        F.col("_h.rule_id").alias("rule_id"),
+        F.col("_h.block_len").alias("block_len"),
+        F.col("_h.n_trials").alias("n_trials"),
         *keys,
         "pos",
         "regime_label",
         F.col("_s.entry_ts").alias("entry_ts"),
         F.col("_s.exit_ts").alias("exit_ts"),
         F.col("_s.fwd_bps").alias("ret_bps"),
-        (F.col("_s.fwd_bps") - F.col("_c")).alias("ret_net_bps"),
+        (F.col("_s.fwd_bps") - F.col("_h.cost_bps")).alias("ret_net_bps"),
     )
     return index_rows(rows, ["rule_id", *keys], "pos", F.floor(F.col("pos") / F.lit(65_536)).cast("bigint"), "seq")
 
@@ -245,14 +252,10 @@ def evaluate(
     fold_rows = splits.fold_stats(full, group)
     consistency = splits.fold_consistency(fold_rows, group)
 
-    by_shape = F.create_map(*[x for s in specs for x in (F.lit(s.rule_id), F.lit(label_name(s, bar_ms)))])
-    block = F.create_map(
-        *[x for s in specs for x in (F.lit(s.rule_id), F.lit(3 * parse_horizon_bars(s.horizon, bar_ms)))]
-    )
     fired = (
         labelled.filter(F.size("hits") > 0)
-        .select(*keys, "pos", F.explode("hits").alias("rule_id"))
-        .withColumns({"shape": by_shape[F.col("rule_id")], "block_len": block[F.col("rule_id")]})
+        .select(*keys, "pos", F.explode("hits").alias("_h"))
+        .select(*keys, "pos", "_h.rule_id", "_h.shape", "_h.block_len")
     )
     perm = resample.permutation_test(
         fired,
@@ -264,9 +267,7 @@ def evaluate(
         cfg.seed,
     ).select(*group, F.col("p_value").alias("p_perm"))
 
-    sample = oos.withColumn("block_len", block[F.col("rule_id")]).select(
-        *group, "seq", "ret_net_bps", "block_len", "trades_per_year"
-    )
+    sample = oos.select(*group, "seq", "ret_net_bps", "block_len", "trades_per_year")
 
     def ci(name: str, statistic: resample.Statistic, seed: int) -> DataFrame:
         return resample.bootstrap_ci(
@@ -283,9 +284,8 @@ def evaluate(
     year = stats.by_label(full, group, utc_year("entry_ts").cast("string"))
     recent = stats.recent_mean(full, group, cfg.recent_years)
     worst = regime.groupBy(*group).agg(F.min("ev_bps").alias("regime_worst_ev_bps"))
-    zero_cost = trades.groupBy(*group).agg(F.avg("ret_bps").alias("gross"))
+    zero_cost = trades.groupBy(*group).agg(F.avg("ret_bps").alias("gross"), F.max("n_trials").alias("n_trials"))
 
-    trials = F.create_map(*[x for s in specs for x in (F.lit(s.rule_id), F.lit(s.n_trials))])
     root = F.sqrt("trades_per_year")
     head = (
         bundle.filter(F.col("segment") == "wf:oos")
@@ -304,7 +304,7 @@ def evaluate(
                 "sharpe_lo": F.col("sharpe_lo") * root,
                 "sharpe_hi": F.col("sharpe_hi") * root,
                 "dsr": stats.deflated_sharpe(
-                    trials[F.col("rule_id")], F.col("sr_hat"), F.col("skew"), F.col("kurt"), F.col("trades")
+                    F.col("n_trials"), F.col("sr_hat"), F.col("skew"), F.col("kurt"), F.col("trades")
                 ),
                 "corr_max_active": F.lit(None).cast("double"),
             }
