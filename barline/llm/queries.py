@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import packing
+from barline.llm import near_dup, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,3 +42,9 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     outputs = table(spark, sf, "documents").select(F.col("doc_id").alias("output_id"), F.col("text").alias("content"))
     pieces = packing.token_pieces(outputs, token_vocabulary())
     return packing.pack(pieces).withColumnRenamed("output_id", "doc_id")
+
+
+@query("op1_near_dup")
+def op1_near_dup(spark: SparkSession, sf: str) -> DataFrame:
+    edges = table(spark, sf, "documents").select(F.col("doc_id").alias("edge_id"), F.col("text").alias("hypothesis"))
+    return near_dup.near_duplicates(edges).withColumnRenamed("edge_id", "doc_id")
