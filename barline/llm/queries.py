@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import near_dup, packing
+from barline.llm import line_rules, near_dup, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,3 +48,50 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
 def op1_near_dup(spark: SparkSession, sf: str) -> DataFrame:
     edges = table(spark, sf, "documents").select(F.col("doc_id").alias("edge_id"), F.col("text").alias("hypothesis"))
     return near_dup.near_duplicates(edges).withColumnRenamed("edge_id", "doc_id")
+
+
+_SQL_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _line_sql() -> str:
+    def quoted(pattern: str) -> str:
+        return "'" + pattern.replace("'", "''") + "'"
+
+    # a separator's trailing space is also the next one's leading space: double the spaces before counting
+    rules = [
+        f"NOT regexp_matches(line, {quoted(line_rules.SENTENCE_END)})",
+        "2 * (length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) + len(regexp_extract_all(line, '!!'))) >= n",
+        rf"len(regexp_extract_all(regexp_replace(line, '([\x20\x09-\x0D])', '\1\1', 'g'), {quoted(line_rules.SEPARATOR)})) >= 2",
+        "length(regexp_replace(line, '[^A-Za-z]', '', 'g')) >= 12 AND 2 * length(regexp_replace(line, '[^A-Z]', '', 'g')) > length(regexp_replace(line, '[^A-Za-z]', '', 'g'))",
+        f"regexp_matches(line, {quoted(line_rules.BOILERPLATE)})",
+    ]
+    case = "CASE " + " ".join(f"WHEN {r} THEN {k}" for k, r in enumerate(rules)) + " ELSE -1 END"
+    lost = ", ".join(f"CAST(sum(CASE WHEN rule = {k} THEN n ELSE 0 END) AS BIGINT) AS lost_{r}" for k, r in enumerate(line_rules.RULES))
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_SQL_WORD}') AS words FROM documents),
+lines AS (SELECT doc_id, line, len(regexp_extract_all(line, '{_SQL_WORD}')) AS n, pos
+          FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d)),
+judged AS (SELECT *, {case} AS rule, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS nth FROM lines WHERE n > 0),
+byline AS (SELECT doc_id, CAST(sum(CASE WHEN nth > 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_dup_lines, {lost} FROM judged GROUP BY 1),
+w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM d),
+g AS (SELECT *, CASE WHEN count(*) OVER f = 5 THEN list(word) OVER f END AS run FROM w
+      WINDOW f AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+t AS (SELECT doc_id, pos, run IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, run) > 1 AS again FROM g),
+covered AS (SELECT doc_id, max(CASE WHEN again THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS yes FROM t),
+rep AS (SELECT doc_id, CAST(sum(yes) AS BIGINT) AS n_repeat_words FROM covered GROUP BY 1),
+f AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
+        CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+        CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+        {", ".join(f"coalesce(lost_{r}, 0) AS lost_{r}" for r in line_rules.RULES)}
+      FROM d LEFT JOIN byline USING (doc_id) LEFT JOIN rep USING (doc_id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
+  AND 100 * ({" + ".join(f"lost_{r}" for r in line_rules.RULES)}) <= {line_rules.MAX_LOST} * n_words AS kept
+FROM f"""
+
+
+@query("op5_quality_rules", _line_sql())
+def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    edges = table(spark, sf, "documents").select(F.col("doc_id").alias("edge_id"), F.col("text").alias("rationale"))
+    return line_rules.clean_lines(edges).drop("cleaned").withColumnRenamed("edge_id", "doc_id")
