@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import line_rules, near_dup, packing
+from barline.llm import line_rules, mixing, near_dup, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -95,3 +95,33 @@ FROM f"""
 def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     edges = table(spark, sf, "documents").select(F.col("doc_id").alias("edge_id"), F.col("text").alias("rationale"))
     return line_rules.clean_lines(edges).drop("cleaned").withColumnRenamed("edge_id", "doc_id")
+
+
+MIX_SQL = rf"""
+WITH r AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_SQL_WORD}')) AS BIGINT) AS size,
+             md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM r GROUP BY 1),
+w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS n, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s),
+o AS (SELECT *, row_number() OVER p AS k, (SELECT sum(source_size) FROM s) - coalesce(sum(3 * source_size) OVER q, 0) AS num,
+        sum(weight) OVER () - coalesce(sum(weight) OVER q, 0) AS den
+      FROM w WINDOW p AS (ORDER BY 3.0 * source_size / weight, n),
+                    q AS (ORDER BY 3.0 * source_size / weight, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cut AS (SELECT num, den FROM o WHERE num * weight <= 3 * source_size * den ORDER BY k LIMIT 1),
+t AS (SELECT source, n, source_size, CASE WHEN 3 * source_size * den < num * weight THEN CAST(3 * source_size AS DOUBLE)
+        ELSE CAST(num * weight AS DOUBLE) / CAST(den AS DOUBLE) END AS target FROM w, cut),
+c AS (SELECT r.*, t.n, t.source_size, t.target, sum(r.size) OVER (PARTITION BY t.n ORDER BY r.h, r.size, r.doc_id ROWS UNBOUNDED PRECEDING) AS red
+      FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source WHERE r.size > 0),
+e AS (SELECT *, CAST(p * source_size + red AS DOUBLE) / target AS finish FROM c, (VALUES (0), (1), (2)) AS v(p)),
+q AS (SELECT doc_id, sum(size) OVER (ORDER BY finish, n, p, h, size, doc_id ROWS UNBOUNDED PRECEDING) AS total FROM e),
+k AS (SELECT doc_id, count(*) AS copies FROM q WHERE total <= (SELECT sum(size) FROM r) GROUP BY 1)
+SELECT r.doc_id, r.source, r.size, t.source_size, t.target, CAST(coalesce(copies, 0) AS BIGINT) AS copies,
+  CAST(coalesce(copies, 0) * r.size AS BIGINT) AS taken
+FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source LEFT JOIN k USING (doc_id)"""
+
+
+@query("op3_mixing", MIX_SQL)
+def op3_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    edges = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("edge_id"), F.col("source").alias("category"), F.col("text").alias("hypothesis")
+    )
+    return mixing.mix(edges).withColumnsRenamed({"edge_id": "doc_id", "category": "source"})
