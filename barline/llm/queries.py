@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import line_rules, mixing, near_dup, packing
+from barline.llm import line_rules, mixing, near_dup, packing, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -125,3 +125,11 @@ def op3_mixing(spark: SparkSession, sf: str) -> DataFrame:
         F.col("doc_id").alias("edge_id"), F.col("source").alias("category"), F.col("text").alias("hypothesis")
     )
     return mixing.mix(edges).withColumnsRenamed({"edge_id": "doc_id", "category": "source"})
+
+
+@query("op7_substring_dedup")
+def op7_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    edges = table(spark, sf, "documents").select(F.col("doc_id").alias("edge_id"), F.col("text").alias("rationale"))
+    return substring_dedup.remove_repeats(edges).select(
+        F.col("edge_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
+    )
