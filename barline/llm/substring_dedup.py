@@ -258,9 +258,9 @@ def remove_repeats(edges: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     rows = edges.select(
         "edge_id", F.col("rationale").cast("string").alias("text"), *carry
     ).withColumn("digest", F.xxhash64(F.coalesce("text", F.lit(""))))
-    size = rows.agg(F.sum(F.octet_length("text")), F.sum(F.regexp_count("text", F.lit("[ \n]+")))).first()
-    chunks = max(1, math.ceil((size[0] or 0) / CHUNK_BYTES))
-    buckets = max(1, math.ceil((size[1] or 0) / BUCKET_HASHES))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks = max(1, math.ceil(size / CHUNK_BYTES))
+    buckets = max(1, math.ceil(size / 6 / BUCKET_HASHES))  # a word and its space are six bytes or more in most texts
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("edge_id", "digest"), F.lit(chunks)))
 
     def ddl(columns: dict) -> str:
