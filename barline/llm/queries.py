@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import line_rules, mixing, near_dup, packing, substring_dedup
+from barline.llm import line_rules, mixing, near_dup, packing, sharding, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -133,3 +133,17 @@ def op7_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substring_dedup.remove_repeats(edges).select(
         F.col("edge_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
     )
+
+
+@query("op6_sharding")
+def op6_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    events = table(spark, sf, "documents").select(F.col("doc_id").alias("event_id"), F.col("text").alias("payload"))
+    return sharding.shard(events).select(
+        F.col("event_id").alias("doc_id"),
+        "size",
+        F.col("payload_crc32").alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
