@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import line_rules, mixing, near_dup, packing, sharding, substring_dedup
+from barline.llm import archives, line_rules, mixing, near_dup, packing, sharding, substring_dedup
+from barline.session import run_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -147,3 +148,28 @@ def op6_sharding(spark: SparkSession, sf: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS least FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+  CASE WHEN n >= 100 AND page_id > least THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id > least THEN least END AS refers_to
+FROM f"""
+
+
+@query("op2_warc", WARC_SQL)
+def op2_warc(spark: SparkSession, sf: str) -> DataFrame:
+    events = table(spark, sf, "pages").select(
+        F.col("page_id").alias("event_id"), "url", (F.col("page_id") * 60_000).alias("ts"), F.col("html").alias("payload")
+    )
+    arc, warc = run_dir(spark, "arc"), run_dir(spark, "warc")
+    # both versions of the legacy format are read back
+    archives.write_arc(events.filter("event_id IS NULL OR event_id % 2 = 0"), f"{arc}/v1", 1)
+    archives.write_arc(events.filter("event_id % 2 <> 0"), f"{arc}/v2", 2)
+    archives.write_warc(archives.convert_arc(spark, f"{arc}/v*", "bigint"), warc)
+    records = archives.read_warc(spark, warc, "bigint").filter(F.col("type").isin("response", "revisit"))
+    return records.select(
+        F.col("event_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to"
+    )
