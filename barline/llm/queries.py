@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import archives, line_rules, mixing, near_dup, packing, sharding, substring_dedup
+from barline.llm import archives, fingerprints, line_rules, mixing, near_dup, packing, sharding, substring_dedup
 from barline.session import run_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -173,3 +173,17 @@ def op2_warc(spark: SparkSession, sf: str) -> DataFrame:
     return records.select(
         F.col("event_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to"
     )
+
+
+@query("op8_fingerprints")
+def op8_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    versions = table(spark, sf, "documents").select(F.col("doc_id").alias("version_id"), F.col("text").alias("changelog"))
+    return fingerprints.fingerprints(versions).select(
+        F.col("version_id").alias("doc_id"),
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+    )
