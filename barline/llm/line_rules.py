@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barline.llm.text import WORD, utf8, window_hashes, word_hashes
 
@@ -79,10 +80,11 @@ def _repeated(words: list[bytes]) -> int:
 _COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *(f"lost_{r}" for r in RULES)]
 
 
-def clean_lines(edges: DataFrame, max_lost: int = MAX_LOST) -> DataFrame:
+def clean_lines(edges: DataFrame, max_lost: int = MAX_LOST, carry: tuple[str, ...] = ()) -> DataFrame:
     """Judge the rationale of every edge line by line.
 
-    ``edges`` needs edge_id and rationale; other columns are not read. One row for each row: edge_id; n_words,
+    ``edges`` needs edge_id and rationale; the columns named in ``carry`` go with the rows (their names must
+    not be among those added), others are not read. One row for each row: edge_id; n_words,
     word_chars, n_symbols, n_dup_lines and n_repeat_words of the whole text; lost_<rule>, the words in lines
     that fail this rule first; base_failed (under ten words, or over a fifth of them in repeated runs of
     five); kept (not base_failed and at most ``max_lost`` % of the words lost); cleaned, the text without the
@@ -117,18 +119,21 @@ def clean_lines(edges: DataFrame, max_lost: int = MAX_LOST) -> DataFrame:
                 cleaned.append(b"\n".join(kept) if any(lost) else text)
             table = np.array(rows, np.int64).reshape(-1, len(_COLUMNS))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(table[:, k]) for k in range(table.shape[1])), pa.array(cleaned, pa.binary()).cast(pa.string())],
-                names=["edge_id", *_COLUMNS, "cleaned"],
+                [batch.column(0), *(pa.array(table[:, k]) for k in range(table.shape[1])), pa.array(cleaned, pa.binary()).cast(pa.string()), *batch.columns[2:]],
+                names=["edge_id", *_COLUMNS, "cleaned", *carry],
             )
 
-    narrow = edges.select("edge_id", F.col("rationale").cast("string").alias("rationale"))
-    kind = narrow.schema["edge_id"].dataType.simpleString()
-    counted = narrow.mapInArrow(run, f"edge_id {kind}, " + ", ".join(f"{c} bigint" for c in _COLUMNS) + ", cleaned string")
+    narrow = edges.select("edge_id", F.col("rationale").cast("string").alias("rationale"), *carry)
+    added = [*(T.StructField(c, T.LongType()) for c in _COLUMNS), T.StructField("cleaned", T.StringType())]
+    carried = [T.StructField(c, narrow.schema[c].dataType) for c in carry]
+    schema = T.StructType([T.StructField("edge_id", narrow.schema["edge_id"].dataType), *added, *carried])
+    counted = narrow.mapInArrow(run, schema)
     lost = sum((F.col(f"lost_{r}") for r in RULES), F.lit(0))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return counted.select(
-        *(c for c in counted.columns if c != "cleaned"),
+        *(c for c in counted.columns if c != "cleaned" and c not in carry),
         failed.alias("base_failed"),
         (~failed & (100 * lost <= max_lost * F.col("n_words"))).alias("kept"),
         "cleaned",
+        *carry,
     )

@@ -28,6 +28,13 @@ CACHE_WORDS = 300_000
 _PIECES = "output_id {id}, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
+def default_vocabulary() -> str:
+    """Path of the public vocabulary file with word ends, which is installed beside its package."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 class WordTokenizer:
     """Token ids of texts, computed once per distinct white-space-separated chunk.
 

@@ -32,16 +32,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def token_vocabulary() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 @query("op10_packing")
 def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     outputs = table(spark, sf, "documents").select(F.col("doc_id").alias("output_id"), F.col("text").alias("content"))
-    pieces = packing.token_pieces(outputs, token_vocabulary())
+    pieces = packing.token_pieces(outputs, packing.default_vocabulary())
     return packing.pack(pieces).withColumnRenamed("output_id", "doc_id")
 
 

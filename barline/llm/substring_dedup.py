@@ -204,7 +204,7 @@ def _later(found: pa.Table) -> pa.Table:
     return _rows(_HITS, [(int(owner[lo]), bucket, _planes(hashes[lo:hi])) for _, lo, hi in _parts(owner)])
 
 
-def _cut(result: T.StructType):
+def _cut(result: T.StructType, keep_layout: bool):
     """Take out of a chunk's texts all words of windows that occur before."""
     schema = to_arrow_schema(result)
 
@@ -221,11 +221,15 @@ def _cut(result: T.StructType):
         edges[places[again]] += 1
         edges[places[again] + WINDOW_WORDS] -= 1
         stays = np.cumsum(edges)[:-1] == 0
+        raw = utf8(texts.column("text").take(pa.array(chunk.order)).combine_chunks()) if keep_layout else None
         kept, removed = [], []
-        for start, end, words in zip(chunk.starts.tolist(), chunk.starts[1:].tolist(), chunk.words):
-            own = stays[start:end]
+        for k, words in enumerate(chunk.words):
+            own = stays[chunk.starts[k] : chunk.starts[k + 1]]
             removed.append(int(len(words) - own.sum()))
-            kept.append(b" ".join(words if not removed[-1] else compress(words, own.tolist())))
+            if removed[-1]:
+                kept.append(b" ".join(compress(words, own.tolist())))
+            else:
+                kept.append(raw[k] if keep_layout else b" ".join(words))
         return pa.Table.from_arrays(
             [
                 texts.column("edge_id").take(pa.array(chunk.order)).combine_chunks(),
@@ -240,12 +244,12 @@ def _cut(result: T.StructType):
     return run
 
 
-def remove_repeats(edges: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(edges: DataFrame, carry: tuple[str, ...] = (), keep_layout: bool = False) -> DataFrame:
     """Remove from every rationale the passages of 20 words or more that occur before.
 
     ``edges`` needs edge_id and rationale; the columns named in ``carry`` go with the rows, others are not
     read. One row for each row: edge_id, n_words, n_removed, kept_text (the words that stay, joined by one
-    space) and the carried columns. A window is 20 consecutive words of one text; its words go if the same
+    space; with ``keep_layout``, texts that lose nothing stay as they are) and the carried columns. A window is 20 consecutive words of one text; its words go if the same
     words also start earlier: in a smaller edge_id, or earlier in the same text. Windows are judged on the
     input. Null rationales have no words. Rows that repeat an edge_id stand in the order of a hash of their
     texts (identical rows in any order), null ids after all others.
@@ -295,4 +299,4 @@ def remove_repeats(edges: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         ]
     )
     whole = rows.select("chunk", "edge_id", "digest", "text", *carry)
-    return whole.groupBy("chunk").cogroup(late.groupBy("chunk")).applyInArrow(_cut(result), result)
+    return whole.groupBy("chunk").cogroup(late.groupBy("chunk")).applyInArrow(_cut(result, keep_layout), result)
