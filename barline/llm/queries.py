@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import archives, fingerprints, line_rules, mixing, near_dup, packing, sharding, substring_dedup
+from barline.llm import archives, fingerprints, line_rules, mixing, near_dup, packing, quality_model, sharding, substring_dedup
 from barline.session import run_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -181,3 +181,10 @@ def op8_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
         "near_edited",
         "near_next",
     )
+
+
+@query("op9_quality_model")
+def op9_quality_model(spark: SparkSession, sf: str) -> DataFrame:
+    edges = table(spark, sf, "documents").select(F.col("doc_id").alias("edge_id"), "lang", F.col("text").alias("hypothesis"))
+    trusted = table(spark, sf, "labels").filter("quality = 1").select(F.col("doc_id").alias("edge_id"))
+    return quality_model.classify(edges, trusted).withColumnRenamed("edge_id", "doc_id")
