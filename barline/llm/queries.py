@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import archives, fingerprints, line_rules, mixing, near_dup, packing, quality_model, sharding, substring_dedup
+from barline.llm import archives, fingerprints, language_id, line_rules, mixing, near_dup, packing, quality_model, sharding, substring_dedup
 from barline.session import run_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -188,3 +188,23 @@ def op9_quality_model(spark: SparkSession, sf: str) -> DataFrame:
     edges = table(spark, sf, "documents").select(F.col("doc_id").alias("edge_id"), "lang", F.col("text").alias("hypothesis"))
     trusted = table(spark, sf, "labels").filter("quality = 1").select(F.col("doc_id").alias("edge_id"))
     return quality_model.classify(edges, trusted).withColumnRenamed("edge_id", "doc_id")
+
+
+@query("op4_language_id")
+def op4_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of every page and of every document, a document's source standing for its host."""
+    docs, pages = table(spark, sf, "documents"), table(spark, sf, "pages")
+    models = language_id.train(docs.select("lang", F.col("text").alias("hypothesis")))
+    none = F.lit(None).cast("bigint")
+    captures = pages.select(
+        F.col("page_id").alias("event_id"), none.alias("doc_id"), F.col("page_id"), "url", F.col("html").alias("payload")
+    ).unionByName(
+        docs.select(
+            F.col("doc_id").alias("event_id"),
+            "doc_id",
+            none.alias("page_id"),
+            F.concat(F.lit("source://"), F.col("source")).alias("url"),
+            F.col("text").alias("payload"),
+        )
+    )
+    return language_id.identify(captures, models, carry=("doc_id", "page_id")).drop("event_id")
