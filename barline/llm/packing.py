@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barline.llm.text import slices
+from barline.llm.text import WORD, slices
 from barline.session import materialize
 
 #: pieces that one task packs together; more give fuller sequences, fewer give more tasks
@@ -43,6 +43,8 @@ class WordTokenizer:
     tokenizer's own pre-token pattern and given to its model; all others go through the whole tokenizer.
     """
 
+    CONTROLS = re.compile(r"[\x1c-\x1f]")
+
     PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 
     # The pre-token pattern of the vocabulary file, for the characters of PLAIN
@@ -70,7 +72,8 @@ class WordTokenizer:
         return tuple(self.whole.encode(chunk, add_special_tokens=False).ids)
 
     def __call__(self, text: str) -> np.ndarray:
-        chunks, known = text.split(), self.chunks
+        # str.split also cuts at four controls that are no white space to the tokenizer
+        chunks, known = text.split() if not self.CONTROLS.search(text) else re.findall(WORD, text), self.chunks
         if len(known) > CACHE_WORDS:
             known.clear()
             self.pieces.clear()
