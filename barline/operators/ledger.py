@@ -238,8 +238,8 @@ def state_tally(df: DataFrame, state: str, states: Sequence[str]) -> DataFrame:
     return counts.select(F.explode(pairs).alias("_p")).select("_p.state", "_p.n")
 
 
-def action_queue(edges: DataFrame, states: DataFrame, verdicts: DataFrame, issues: DataFrame, limit: int = 10) -> DataFrame:
-    """Approvals, reviews and critical issues in one list.
+def action_queue(edges: DataFrame, states: DataFrame, verdicts: DataFrame, issues: DataFrame) -> DataFrame:
+    """All approvals, reviews and critical issues in one list.
 
     ``states`` from ``readiness``, ``verdicts`` from ``current_full_verdicts``.
     """
@@ -263,8 +263,6 @@ def action_queue(edges: DataFrame, states: DataFrame, verdicts: DataFrame, issue
     )
     critical = (
         issues.filter((F.col("status") == "open") & (F.col("severity") == "critical"))
-        .orderBy(F.col("detected_at").desc(), F.col("issue_id"))
-        .limit(limit)
         .select(
             F.lit("dq").alias("kind"),
             F.lit(None).cast(edges.schema["edge_id"].dataType).alias("edge_id"),

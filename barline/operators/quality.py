@@ -161,11 +161,11 @@ def source_health(health: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-def open_issues(issues: DataFrame, sources: DataFrame, limit: int = 50) -> DataFrame:
-    """Newest open issues, then without those of disabled sources."""
-    newest = issues.filter(F.col("status") == "open").orderBy(F.col("detected_at").desc(), "issue_id").limit(limit)
+def open_issues(issues: DataFrame, sources: DataFrame) -> DataFrame:
+    """All open issues but those of disabled sources. Order and page size are the caller's."""
     off = sources.filter(F.col("status") == "disabled").select("source_id")
-    return newest.withColumn("source_id", source_id("stream_id")).join(off, "source_id", "left_anti")
+    found = issues.filter(F.col("status") == "open").withColumn("source_id", source_id("stream_id"))
+    return found.join(off, "source_id", "left_anti")
 
 
 def bulk_resolve(issues: DataFrame, prefixes: Sequence[str], at: Column) -> DataFrame:

@@ -263,8 +263,8 @@ def dq_f_sources(spark, sf):
 
 @query(
     "dq_f_open_issues",
-    f"""WITH {HEALTH_CTE} SELECT issue_id, stream_id, severity FROM (SELECT * FROM iss WHERE status = 'open' ORDER BY detected_at DESC, issue_id LIMIT 50) n
-        WHERE split_part(stream_id, ':', 1) <> 'deribit_rest'""",
+    f"""WITH {HEALTH_CTE} SELECT issue_id, stream_id, severity FROM iss WHERE status = 'open'
+        AND split_part(stream_id, ':', 1) <> 'deribit_rest'""",
 )
 def dq_f_issues(spark, sf):
     return quality.open_issues(stream_issues(spark, sf), sources(spark, sf)).select("issue_id", "stream_id", "severity")
@@ -289,10 +289,10 @@ def dq_g(spark, sf):
           QUALIFY row_number() OVER (PARTITION BY edge_id ORDER BY decided_at DESC, run_id DESC) = 1), tc AS (SELECT edge_id, count(*) AS n FROM er
           WHERE run_kind IN ('screen', 'full') GROUP BY 1)
         SELECT e.edge_id, e.title, e.status, lv.verdict AS latest_verdict, lv.score AS latest_score, CAST(coalesce(n, 0) AS BIGINT) AS trial_count FROM edges e
-        LEFT JOIN lv USING (edge_id) LEFT JOIN tc USING (edge_id) WHERE e.category = 'BUILDING' ORDER BY updated_at DESC LIMIT 100""",
+        LEFT JOIN lv USING (edge_id) LEFT JOIN tc USING (edge_id) WHERE e.category = 'BUILDING'""",
 )
 def qry_01(spark, sf):
-    e = edges(spark, sf).filter(F.col("category") == "BUILDING").orderBy(F.col("updated_at").desc()).limit(100)
+    e = edges(spark, sf).filter(F.col("category") == "BUILDING")
     out = ledger.edge_list(e, versions(spark, sf), runs(spark, sf), verdicts(spark, sf))
     return out.select("edge_id", "title", "status", "latest_verdict", "latest_score", "trial_count")
 
@@ -405,7 +405,7 @@ def agg_11(spark, sf):
         SELECT 'approval' AS kind, edge_id, title, NULL::BIGINT AS issue_id FROM rs JOIN cv USING (edge_id) WHERE state = 'FULL_DONE' AND verdict = 'ADOPT' AND status = 'TESTING'
         UNION ALL SELECT 'review', edge_id, title, NULL FROM rs LEFT JOIN cv USING (edge_id) WHERE state = 'FULL_DONE' AND NOT coalesce(verdict = 'ADOPT' AND status = 'TESTING', false)
         UNION ALL SELECT 'review', edge_id, title, NULL FROM rs WHERE state = 'SCREEN_DONE'
-        UNION ALL SELECT 'dq', NULL, 'DQ-02', issue_id FROM (SELECT * FROM iss WHERE status = 'open' AND severity = 'critical' ORDER BY detected_at DESC, issue_id LIMIT 10)""",
+        UNION ALL SELECT 'dq', NULL, 'DQ-02', issue_id FROM iss WHERE status = 'open' AND severity = 'critical'""",
 )
 def qry_05(spark, sf):
     v = ledger.current_full_verdicts(versions(spark, sf), runs(spark, sf), verdicts(spark, sf))

@@ -26,13 +26,14 @@ from barline.sources import calendar, csv, lake, payloads
 KEY = ["instrument_id"]
 
 
-def landed_csv(spark, df, label, header=None):
-    """Write text columns as headerless CSV, plus one inline header row when asked."""
+def landed_csv(spark, df, label, header=None, by=None):
+    """Write text columns as headerless CSV, plus one inline header row when asked; ``by`` names the folders."""
     path = run_dir(spark, label)
     text = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
     if header:
         text = text.unionByName(spark.createDataFrame([tuple(df.columns)], text.schema))
-    text.write.csv(path)
+    writer = text.write if by is None else text.write.partitionBy(by)
+    writer.csv(path)
     return path
 
 
@@ -134,11 +135,11 @@ def src_07(spark, sf):
 
 @query(
     "src_08_kline_csv",
-    f"""WITH {DAILY_CTE} SELECT 'X' AS instrument_id, '1d' AS tf, ts, open, high, low, close, trades, {R("volume", 2)} AS volume FROM daily WHERE instrument_id = '5-LOW'""",
+    f"""WITH {DAILY_CTE} SELECT instrument_id, '1d' AS tf, ts, open, high, low, close, trades, {R("volume", 2)} AS volume FROM daily""",
 )
 def src_08(spark, sf):
-    d = daily(spark, sf).filter(F.col("instrument_id") == "5-LOW")
-    raw = d.select(
+    raw = daily(spark, sf).select(
+        F.col("instrument_id").alias("symbol"),
         F.when(F.col("ts") % (2 * DAY_MS) == 0, F.col("ts") * 1000).otherwise(F.col("ts")).alias("open_time"),
         "open",
         "high",
@@ -152,7 +153,9 @@ def src_08(spark, sf):
         F.lit(0).alias("taker_buy_quote_asset_volume"),
         F.lit(0).alias("ignore"),
     )
-    rows = csv.candles(csv.read_raw(spark, landed_csv(spark, raw, "klines", True), csv.KLINE_COLUMNS), "X", "1d")
+    # one archive folder per symbol, as kline files do not name theirs
+    folder = landed_csv(spark, raw, "klines", True, by="symbol")
+    rows = csv.candles(csv.read_raw(spark, folder, csv.KLINE_COLUMNS), F.col("symbol"), "1d")
     out = rows.select("instrument_id", "tf", "ts", "open", "high", "low", "close", "trades", "volume")
     return rounded(out, "volume", digits=2)
 
@@ -167,12 +170,12 @@ def src_09(spark, sf):
 
 def metric_rows(spark, sf):
     """Metrics CSV from hourly bars: every other row has a date string as its time."""
-    b = hourly(spark, sf).filter(F.col("instrument_id") == "view")
+    b = hourly(spark, sf)
     shifted = F.col("ts") + F.when(F.col("trades") % 3 == 0, 300_000).otherwise(0)
     text = F.date_format(F.timestamp_millis(shifted), "yyyy-MM-dd HH:mm:ss")
     raw = b.select(
         F.when(F.col("trades") % 2 == 0, text).otherwise(shifted.cast("string")).alias("create_time"),
-        F.lit("X").alias("symbol"),
+        F.col("instrument_id").alias("symbol"),
         F.col("open").alias("sum_open_interest"),
         F.col("close").alias("sum_open_interest_value"),
         F.lit(1.0).alias("count_toptrader_long_short_ratio"),
@@ -180,16 +183,16 @@ def metric_rows(spark, sf):
         (F.col("low") - 1.0).alias("count_long_short_ratio"),
         F.col("close").alias("sum_taker_long_short_vol_ratio"),
     )
-    return csv.metrics(csv.read_raw(spark, landed_csv(spark, raw, "metrics", True), csv.METRICS_COLUMNS), "X")
+    return csv.metrics(csv.read_raw(spark, landed_csv(spark, raw, "metrics", True), csv.METRICS_COLUMNS), F.col("symbol"))
 
 
-METRIC_CTE = f"""{HOURLY_CTE}, mr AS (SELECT ts + CASE WHEN trades % 3 = 0 THEN 300000 ELSE 0 END AS ts, open, close, low, CASE WHEN trades % 5 <> 0 THEN high END AS high
-  FROM hourly WHERE instrument_id = 'view')"""
+METRIC_CTE = f"""{HOURLY_CTE}, mr AS (SELECT instrument_id, ts + CASE WHEN trades % 3 = 0 THEN 300000 ELSE 0 END AS ts, open, close, low, CASE WHEN trades % 5 <> 0 THEN high END AS high
+  FROM hourly)"""
 
 
 @query(
     "src_10_metrics_csv",
-    f"WITH {METRIC_CTE} SELECT 'X' AS instrument_id, ts, open AS sum_open_interest, high AS sum_toptrader_long_short_ratio FROM mr",
+    f"WITH {METRIC_CTE} SELECT instrument_id, ts, open AS sum_open_interest, high AS sum_toptrader_long_short_ratio FROM mr",
 )
 def src_10(spark, sf):
     return metric_rows(spark, sf).select("instrument_id", "ts", "sum_open_interest", "sum_toptrader_long_short_ratio")
@@ -197,7 +200,7 @@ def src_10(spark, sf):
 
 @query(
     "src_11_open_interest",
-    f"WITH {METRIC_CTE} SELECT 'X' AS instrument_id, ts, open AS oi_base, close AS oi_usd FROM mr WHERE ts % 3600000 = 0",
+    f"WITH {METRIC_CTE} SELECT instrument_id, ts, open AS oi_base, close AS oi_usd FROM mr WHERE ts % 3600000 = 0",
 )
 def src_11(spark, sf):
     return csv.open_interest(metric_rows(spark, sf))
@@ -205,9 +208,9 @@ def src_11(spark, sf):
 
 @query(
     "src_12_long_short_ratios",
-    f"""WITH {METRIC_CTE}, u AS (SELECT ts, 'top_trader_position' AS ratio_type, high AS r FROM mr UNION ALL SELECT ts, 'all_account', low - 1 FROM mr
-          UNION ALL SELECT ts, 'taker_volume', close FROM mr)
-        SELECT 'X' AS instrument_id, ratio_type, ts, {R("r / (1 + r)")} AS long_ratio, {R("1 / (1 + r)")} AS short_ratio, {R("r")} AS ls_ratio FROM u
+    f"""WITH {METRIC_CTE}, u AS (SELECT instrument_id, ts, 'top_trader_position' AS ratio_type, high AS r FROM mr UNION ALL SELECT instrument_id, ts, 'all_account', low - 1 FROM mr
+          UNION ALL SELECT instrument_id, ts, 'taker_volume', close FROM mr)
+        SELECT instrument_id, ratio_type, ts, {R("r / (1 + r)")} AS long_ratio, {R("1 / (1 + r)")} AS short_ratio, {R("r")} AS ls_ratio FROM u
         WHERE r >= 0 AND ts % 3600000 = 0""",
 )
 def src_12(spark, sf):
@@ -394,23 +397,23 @@ def src_22(spark, sf):
 @query(
     "src_23_incremental_read",
     f"""WITH {DAILY_CTE}, wm AS (SELECT instrument_id, max(ts) + 86400000 AS f FROM daily WHERE ts < 946684800000 AND instrument_id <> '5-LOW' GROUP BY 1)
-        SELECT d.instrument_id, d.ts FROM daily d LEFT JOIN wm USING (instrument_id) WHERE d.ts >= coalesce(f, 852076800000) AND d.ts < coalesce(f, 852076800000) + 365 * 86400000::BIGINT""",
+        SELECT d.instrument_id, d.ts FROM daily d LEFT JOIN wm USING (instrument_id) WHERE d.ts >= coalesce(f, 852076800000)""",
 )
 def src_23(spark, sf):
     # one key has no stored rows and starts at the default date (1997-01-01)
     d = daily(spark, sf).select("instrument_id", "ts")
     stored = d.filter((F.col("ts") < 946_684_800_000) & (F.col("instrument_id") != "5-LOW"))
-    return lake.incremental(stored, d, KEY, "1997-01-01", lake.MAX_DAYS_PER_RUN["1h"])
+    return lake.incremental(stored, d, KEY, "1997-01-01")
 
 
 @query(
     "src_23_month_ranges",
     """SELECT o_orderkey, strftime(m, '%Y-%m') AS month FROM (SELECT o_orderkey, o_orderdate, unnest(generate_series(date_trunc('month', o_orderdate),
-       date_trunc('month', TIMESTAMP '1996-01-15') - INTERVAL 1 MONTH, INTERVAL 1 MONTH)) AS m FROM orders WHERE o_orderdate < '1996-01-01')""",
+       date_trunc('month', TIMESTAMP '2001-09-15') - INTERVAL 1 MONTH, INTERVAL 1 MONTH)) AS m FROM orders)""",
 )
 def src_23_months(spark, sf):
-    o = table(spark, sf, "orders").filter(F.col("o_orderdate") < "1996-01-01").select(
-        "o_orderkey", F.to_date("o_orderdate").alias("start"), F.to_date(F.lit("1996-01-15")).alias("end")
+    o = table(spark, sf, "orders").select(
+        "o_orderkey", F.to_date("o_orderdate").alias("start"), F.to_date(F.lit("2001-09-15")).alias("end")
     )
     m = lake.month_range(o, "start", "end")
     return m.select("o_orderkey", F.date_format("month", "yyyy-MM").alias("month"))

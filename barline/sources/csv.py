@@ -108,10 +108,11 @@ def mixed_time(name: str) -> Column:
     return F.coalesce(normalize_ms(whole(name)), F.unix_millis(text))
 
 
-def metrics(raw: DataFrame, instrument_id: str) -> DataFrame:
+def metrics(raw: DataFrame, instrument_id: str | Column) -> DataFrame:
     """Metrics rows with ``ts`` and numeric columns."""
+    instrument = F.lit(instrument_id) if isinstance(instrument_id, str) else instrument_id
     return raw.select(
-        F.lit(instrument_id).alias("instrument_id"),
+        instrument.alias("instrument_id"),
         mixed_time("create_time").alias("ts"),
         *[number(c).alias(c) for c in METRICS_COLUMNS[2:]],
     )

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +28,7 @@ CANDLE_SCHEMA = T.StructType(
         T.StructField("trades", T.LongType()),
     ]
 )
-# Days one incremental run may add, generations kept, first dates.
-MAX_DAYS_PER_RUN = {"1m": 30, "1h": 365, "1d": 3650}
+# Generations kept, first dates.
 RETAIN_GENERATIONS = 8
 DEFAULT_START = {
     ("spot", "1m"): "2020-01-01",
@@ -222,32 +223,29 @@ def progress(existing: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def incremental(
-    existing: DataFrame, incoming: DataFrame, keys: Sequence[str], default_start: str, max_days: int, until: Column | None = None
+    existing: DataFrame, incoming: DataFrame, keys: Sequence[str], default_start: str, until: Column | None = None
 ) -> DataFrame:
-    """Incoming rows in [day after the newest stored row, + max_days) per key.
+    """Incoming rows from the day after the newest stored row on, per key.
 
     A key without stored rows starts at the default date; ``until`` (exclusive)
-    bounds every key.
+    bounds every key. There is no daily budget, so a gap of any length is passed.
     """
     start = int(dt.datetime.fromisoformat(default_start).replace(tzinfo=dt.UTC).timestamp() * 1000)
-    rows = incoming.join(progress(existing, keys), list(keys), "left").withColumn(
-        "from_ts", F.coalesce("from_ts", F.lit(start))
-    )
-    end = F.col("from_ts") + F.lit(max_days * DAY_MS)
+    done = progress(existing, keys).withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = reduce(and_, (incoming[k].eqNullSafe(done[f"_{k}"]) for k in keys))
+    rows = incoming.join(done, same, "left").filter(F.col("ts") >= F.coalesce("from_ts", F.lit(start)))
     if until is not None:
-        end = F.least(end, until)
-    return rows.filter((F.col("ts") >= F.col("from_ts")) & (F.col("ts") < end)).drop("from_ts")
+        rows = rows.filter(F.col("ts") < until)
+    return rows.select(*(incoming[c] for c in incoming.columns))
 
 
-def month_range(df: DataFrame, start: str, end: str, cap: int | None = None) -> DataFrame:
+def month_range(df: DataFrame, start: str, end: str) -> DataFrame:
     """One row per month from start's month up to (not including) end's month."""
     first = F.trunc(start, "month")
     last = F.add_months(F.trunc(end, "month"), -1)
     months = F.when(first <= last, F.sequence(first, last, F.expr("interval 1 month"))).otherwise(
         F.array().cast("array<date>")
     )
-    if cap is not None:
-        months = F.slice(months, 1, cap)
     return df.withColumn("month", F.explode(months))
 
 

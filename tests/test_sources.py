@@ -6,7 +6,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from barline.operators import regimes
+from barline.operators import ledger, quality, regimes
 from barline.operators.bars import fill_notional, merge_moments, moment_stats, side_buckets
 from barline.operators.series import DAY_MS, index_rows, time_bucket
 from barline.operators.upserts import insert_counts, insert_new, merge_keep_last, upsert_columns
@@ -150,7 +150,26 @@ def test_months(spark):
     )
     got = [str(r.month)[:7] for r in lake.month_range(df, "a", "b").collect()]
     assert got == ["2024-11", "2024-12", "2025-01"]
-    assert lake.month_range(df, "a", "b", cap=2).count() == 2
+
+
+def test_incremental_passes_long_gaps_and_keeps_null_keys(spark):
+    day = 86_400_000
+    stored = spark.createDataFrame([("a", 0), (None, 5 * day)], "k string, ts bigint")
+    rows = [("a", 0), ("a", 400 * day), ("a", 401 * day), (None, 5 * day), (None, 700 * day), ("new", 3 * day)]
+    got = lake.incremental(stored, spark.createDataFrame(rows, "k string, ts bigint"), ["k"], "1970-01-01").collect()
+    assert {(r.k, r.ts // day) for r in got} == {("a", 400), ("a", 401), (None, 700), ("new", 3)}
+
+
+def test_open_issues_and_actions_are_not_cut(spark):
+    schema = "issue_id bigint, detected_at bigint, stream_id string, rule_id string, severity string, status string"
+    rows = [(k, 1000 + k, "off:x", "DQ-01", "critical", "open") for k in range(60)] + [(99, 1, "on:y", "DQ-01", "critical", "open")]
+    issues = spark.createDataFrame(rows, schema)
+    sources = spark.createDataFrame([("off", "disabled"), ("on", "active")], "source_id string, status string")
+    assert [r.issue_id for r in quality.open_issues(issues, sources).collect()] == [99]
+    edges = spark.createDataFrame([], "edge_id string, title string, status string")
+    states = spark.createDataFrame([], "edge_id string, state string")
+    verdicts = spark.createDataFrame([], "edge_id string, run_id string, verdict string, decided_at bigint")
+    assert ledger.action_queue(edges, states, verdicts, issues).count() == 61
 
 
 def test_moments_merge_exactly(spark):
