@@ -319,75 +319,81 @@ def paper_performance(
     )
 
 
+# Limits of a move, and the moves that need none.
+MIN_SCREEN_EV_BPS, MAX_SCREEN_P_PERM = 0.0, 0.2
+MIN_PAPER_DAYS, MIN_PAPER_SIGNALS = 30.0, 10.0
+FREE_MOVES = [
+    "TESTING>CANDIDATE",
+    "VALIDATED>PAPER",
+    "RETIRED>CANDIDATE",
+    "DECAYING>ACTIVE",
+    "PAPER>RETIRED",
+    "ACTIVE>RETIRED",
+    "DECAYING>RETIRED",
+]
+
+
+def _guards() -> list[tuple[str, str, Column, Column | None, Column | None]]:
+    """(move, code, satisfied, measured value, its limit); a value that is not known satisfies nothing."""
+    c = F.col
+
+    def filled(name: str) -> tuple[str, str, Column, None, None]:
+        return ("IDEA>CANDIDATE", f"{name}_blank", F.trim(name) != "", None, None)
+
+    def measured(move: str, name: str, holds: Column, limit: Column) -> tuple[str, str, Column, Column, Column]:
+        return (move, name, holds, c(name).cast("double"), limit.cast("double"))
+
+    ev, p, days, signals = map(F.lit, (MIN_SCREEN_EV_BPS, MAX_SCREEN_P_PERM, MIN_PAPER_DAYS, MIN_PAPER_SIGNALS))
+    paper = "PAPER>ACTIVE"
+    return [
+        *map(filled, ("hypothesis", "rationale", "counter_evidence")),
+        ("IDEA>CANDIDATE", "version_missing", c("has_version"), None, None),
+        measured("CANDIDATE>TESTING", "screen_ev_bps", c("screen_ev_bps") > ev, ev),
+        measured("CANDIDATE>TESTING", "screen_p_perm", c("screen_p_perm") < p, p),
+        ("TESTING>VALIDATED", "full_run_not_adopt", c("full_verdict") == "ADOPT", None, None),
+        measured(paper, "paper_days", c("paper_days") >= days, days),
+        measured(paper, "signal_count", c("signal_count") >= signals, signals),
+        measured(paper, "paper_sharpe", c("paper_sharpe") >= c("oos_ci_lo"), c("oos_ci_lo")),
+        measured(paper, "avg_slippage_bps", c("avg_slippage_bps") <= c("expected_cost_bps"), c("expected_cost_bps")),
+        ("ACTIVE>DECAYING", "alarm_missing", c("cusum_alarm"), None, None),
+    ]
+
+
 def transition_audit(proposals: DataFrame) -> DataFrame:
-    """Add ``ok`` and ``reason`` to proposed (from_status, to_status) moves.
+    """Add ``ok`` and ``violations`` to proposed (from_status, to_status) moves.
+
+    ``violations`` lists every guard that a move fails, as (code, value, limit); value and limit are null for
+    guards that measure nothing. A move outside the graph has the one code ``not_in_graph``, a rejection
+    without a REJECT verdict or a user behind it ``no_ground``, a move of the graph that nothing rules ``no_rule``.
 
     Guard inputs are columns, NULL when unknown: hypothesis, rationale,
     counter_evidence, has_version, screen_ev_bps, screen_p_perm, full_verdict,
     user_initiated, paper_days, signal_count, paper_sharpe, oos_ci_lo,
     avg_slippage_bps, expected_cost_bps, cusum_alarm.
     """
-    c = F.col
+    none = F.lit(None).cast("double")
+
+    def violation(code: str, value: Column | None = None, limit: Column | None = None) -> Column:
+        return F.struct(
+            F.lit(code).alias("code"),
+            (none if value is None else value).alias("value"),
+            (none if limit is None else limit).alias("limit"),
+        )
+
     move = F.concat_ws(">", "from_status", "to_status")
-    allowed = move.isin([f"{a}>{b}" for a, targets in TRANSITIONS.items() for b in targets])
-
-    def blank(name: str) -> Column:
-        return F.coalesce(F.trim(name), F.lit("")) == ""
-
-    # first failing condition per move, in order
-    guards: dict[str, list[tuple[Column, str]]] = {
-        "IDEA>CANDIDATE": [
-            (blank("hypothesis"), "hypothesis is required"),
-            (blank("rationale"), "rationale is required"),
-            (blank("counter_evidence"), "counter_evidence is required"),
-            (~F.coalesce(c("has_version"), F.lit(False)), "edge_version v1 must exist"),
-        ],
-        "CANDIDATE>TESTING": [
-            (~F.coalesce(c("screen_ev_bps") > 0, F.lit(False)), "screen ev_bps <= 0"),
-            (~F.coalesce(c("screen_p_perm") < 0.2, F.lit(False)), "screen p_perm >= 0.20"),
-        ],
-        "TESTING>VALIDATED": [
-            (F.coalesce(c("full_verdict"), F.lit("WATCH")) != "ADOPT", "full run verdict is not ADOPT")
-        ],
-        "PAPER>ACTIVE": [
-            (c("paper_days").isNull(), "missing guard context"),
-            (c("paper_days") < 30, "paper period < 30d"),
-            (c("signal_count") < 10, "signal count < 10"),
-            (
-                ~F.coalesce(c("paper_sharpe") >= c("oos_ci_lo"), F.lit(False)),
-                "paper sharpe below OOS 95% CI lower bound",
-            ),
-            (c("avg_slippage_bps") > c("expected_cost_bps"), "avg slippage > expected cost"),
-        ],
-        "ACTIVE>DECAYING": [(~F.coalesce(c("cusum_alarm"), F.lit(False)), "no CUSUM alarm")],
-    }
-    passed = {
-        "IDEA>CANDIDATE": "thesis complete",
-        "CANDIDATE>TESTING": "screen run passed",
-        "TESTING>VALIDATED": "full run ADOPT",
-        "PAPER>ACTIVE": "paper trading confirms OOS expectations",
-        "ACTIVE>DECAYING": "CUSUM alarm triggered",
-        "TESTING>CANDIDATE": "user-initiated transition",
-        "VALIDATED>PAPER": "user-initiated transition",
-        "RETIRED>CANDIDATE": "user-initiated transition",
-        "DECAYING>ACTIVE": "manual recovery confirmation",
-        "PAPER>RETIRED": "user-initiated retirement",
-        "ACTIVE>RETIRED": "user-initiated retirement",
-        "DECAYING>RETIRED": "user-initiated retirement",
-    }
-    bad = F.when(~allowed, F.concat("from_status", F.lit(" -> "), "to_status", F.lit(" is not in the transition graph")))
-    for m, conds in guards.items():
-        for cond, text in conds:
-            bad = bad.when((move == m) & cond, F.lit(text))
-    rejected = c("to_status") == "REJECTED"
-    by_run = F.coalesce(c("full_verdict") == "REJECT", F.lit(False))
-    by_user = F.coalesce(c("user_initiated"), F.lit(False))
-    bad = bad.when(rejected & ~by_run & ~by_user, F.lit("neither a REJECT verdict nor a user decision"))
-    good = F.when(rejected & by_run, "full run REJECT").when(rejected, "user decision")
-    for m, text in passed.items():
-        good = good.when(move == m, F.lit(text))
-    # a move that is in the graph but has no rule of its own is refused
-    bad = bad.when(good.isNull(), F.concat(F.lit("no guard for "), "from_status", F.lit(" -> "), "to_status"))
-    return proposals.withColumn("_bad", bad).withColumns(
-        {"ok": F.col("_bad").isNull(), "reason": F.coalesce(F.col("_bad"), good)}
-    ).drop("_bad")
+    graph = [f"{a}>{b}" for a, targets in TRANSITIONS.items() for b in targets]
+    guards = _guards()
+    ruled = [*{g[0] for g in guards}, *FREE_MOVES]
+    rejection = F.col("to_status") == "REJECTED"
+    ground = F.coalesce(F.col("full_verdict") == "REJECT", F.lit(False)) | F.coalesce("user_initiated", F.lit(False))
+    failed = F.array(
+        *(
+            F.when((move == of) & ~F.coalesce(holds, F.lit(False)), violation(code, value, limit))
+            for of, code, holds, value, limit in guards
+        ),
+        F.when(rejection & ~ground, violation("no_ground")),
+        F.when(~rejection & ~move.isin(ruled), violation("no_rule")),
+    )
+    outside = F.array(violation("not_in_graph"))
+    found = F.when(~move.isin(graph), outside).otherwise(F.array_compact(failed))
+    return proposals.withColumn("violations", found).withColumn("ok", F.size("violations") == 0)

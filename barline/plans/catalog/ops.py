@@ -455,6 +455,9 @@ def qry_08(spark, sf):
     return rounded(p.select("edge_id", "signal_count", *nums), *nums)
 
 
+GRAPH_SQL = ", ".join(f"'{a}>{b}'" for a, targets in ledger.TRANSITIONS.items() for b in targets)
+
+
 @query(
     "qry_09_transition_audit",
     f"""WITH {PAPER_CTE}, sc AS (SELECT n.edge_id, m.ev, m.p FROM (SELECT edge_id, run_id FROM er WHERE run_kind = 'screen' AND status = 'done' QUALIFY row_number() OVER
@@ -464,13 +467,22 @@ def qry_08(spark, sf):
           ORDER BY decided_at DESC, run_id DESC) = 1),
         pr AS (SELECT e.edge_id, e.status AS f, t AS t, e.edge_id % 2 = 0 AS u, sc.ev, sc.p, fv.verdict AS v, pf.* EXCLUDE (edge_id),
           e.edge_id IN (SELECT edge_id FROM versions) AS hv FROM edges e CROSS JOIN (SELECT unnest(['CANDIDATE','TESTING','VALIDATED','ACTIVE','DECAYING','REJECTED']) AS t)
-          LEFT JOIN sc USING (edge_id) LEFT JOIN fv USING (edge_id) LEFT JOIN pf USING (edge_id))
-        SELECT edge_id, f AS from_status, t AS to_status, CASE f || '>' || t WHEN 'IDEA>CANDIDATE' THEN hv WHEN 'CANDIDATE>TESTING' THEN coalesce(ev > 0 AND p < 0.2, false)
-          WHEN 'TESTING>VALIDATED' THEN coalesce(v = 'ADOPT', false) WHEN 'PAPER>ACTIVE' THEN coalesce(paper_days >= 30 AND signal_count >= 10 AND paper_sharpe >= ci_lo
-            AND avg_slippage_bps <= expected_cost_bps, false) WHEN 'ACTIVE>DECAYING' THEN false
-          WHEN 'CANDIDATE>REJECTED' THEN coalesce(v = 'REJECT', false) OR u WHEN 'TESTING>REJECTED' THEN coalesce(v = 'REJECT', false) OR u
-          WHEN 'VALIDATED>REJECTED' THEN coalesce(v = 'REJECT', false) OR u WHEN 'TESTING>CANDIDATE' THEN true WHEN 'RETIRED>CANDIDATE' THEN true
-          WHEN 'DECAYING>ACTIVE' THEN true ELSE false END AS ok FROM pr""",
+          LEFT JOIN sc USING (edge_id) LEFT JOIN fv USING (edge_id) LEFT JOIN pf USING (edge_id)),
+        au AS (SELECT edge_id, f, t, f || '>' || t AS mv, CASE WHEN f || '>' || t NOT IN ({GRAPH_SQL}) THEN [{{'code': 'not_in_graph', 'value': NULL::DOUBLE, 'lim': NULL::DOUBLE, 'bad': true}}]
+          WHEN t = 'REJECTED' THEN [{{'code': 'no_ground', 'value': NULL, 'lim': NULL, 'bad': NOT (coalesce(v = 'REJECT', false) OR u)}}]
+          ELSE CASE f || '>' || t WHEN 'IDEA>CANDIDATE' THEN [{{'code': 'version_missing', 'value': NULL, 'lim': NULL, 'bad': NOT hv}}]
+            WHEN 'CANDIDATE>TESTING' THEN [{{'code': 'screen_ev_bps', 'value': ev, 'lim': 0, 'bad': NOT coalesce(ev > 0, false)}}, {{'code': 'screen_p_perm', 'value': p, 'lim': 0.2, 'bad': NOT coalesce(p < 0.2, false)}}]
+            WHEN 'TESTING>VALIDATED' THEN [{{'code': 'full_run_not_adopt', 'value': NULL, 'lim': NULL, 'bad': NOT coalesce(v = 'ADOPT', false)}}]
+            WHEN 'PAPER>ACTIVE' THEN [{{'code': 'paper_days', 'value': paper_days, 'lim': 30, 'bad': NOT coalesce(paper_days >= 30, false)}},
+              {{'code': 'signal_count', 'value': signal_count, 'lim': 10, 'bad': NOT coalesce(signal_count >= 10, false)}},
+              {{'code': 'paper_sharpe', 'value': paper_sharpe, 'lim': ci_lo, 'bad': NOT coalesce(paper_sharpe >= ci_lo, false)}},
+              {{'code': 'avg_slippage_bps', 'value': avg_slippage_bps, 'lim': expected_cost_bps, 'bad': NOT coalesce(avg_slippage_bps <= expected_cost_bps, false)}}]
+            WHEN 'ACTIVE>DECAYING' THEN [{{'code': 'alarm_missing', 'value': NULL, 'lim': NULL, 'bad': true}}]
+            ELSE [{{'code': 'no_rule', 'value': NULL, 'lim': NULL, 'bad': f || '>' || t NOT IN ('TESTING>CANDIDATE', 'RETIRED>CANDIDATE', 'DECAYING>ACTIVE')}}] END END AS g FROM pr),
+        vi AS (SELECT edge_id, f, t, list_filter(g, lambda x: x.bad) AS bad FROM au),
+        one AS (SELECT edge_id, f AS from_status, t AS to_status, len(bad) = 0 AS ok,
+          unnest(CASE WHEN len(bad) = 0 THEN [{{'code': NULL::VARCHAR, 'value': NULL::DOUBLE, 'lim': NULL::DOUBLE, 'bad': false}}] ELSE bad END) AS x FROM vi)
+        SELECT edge_id, from_status, to_status, ok, x.code AS code, {R("x.value")} AS value, {R("x.lim")} AS "limit" FROM one""",
 )
 def qry_09(spark, sf):
     v, r, m = versions(spark, sf), runs(spark, sf), metrics(spark, sf)
@@ -493,7 +505,9 @@ def qry_09(spark, sf):
             }
         )
     )
-    return ledger.transition_audit(p).select("edge_id", "from_status", "to_status", "ok")
+    audit = ledger.transition_audit(p).withColumn("v", F.explode_outer("violations"))
+    columns = ["edge_id", "from_status", "to_status", "ok", "v.code", "v.value", "v.limit"]
+    return rounded(audit.select(*columns), "value", "limit")
 
 
 @query(

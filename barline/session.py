@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,13 +26,16 @@ def local_session(cpus: int | str = "*", app: str = "barline", shuffle_partition
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The folder that driver and executors share for intermediate tables.
 
-    Only when the session names none (tests, laptop runs) a folder of this
-    machine is created and set, so a cluster job never writes to a local disk.
+    ``spark.checkpoint.dir`` names it, or else ``SparkContext.setCheckpointDir``. A cluster without either
+    is refused, since executors would write to disks of their own; a single-machine session (tests, laptop
+    runs) gets a temporary folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="barline-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
