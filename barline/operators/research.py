@@ -89,13 +89,16 @@ def melt(df: DataFrame, ids: Sequence[str], columns: Sequence[str], name: str, v
 def feature_horizon_stats(
     df: DataFrame, keys: Sequence[str], features: Sequence[str], labels: Sequence[str], min_n: int = 500
 ) -> DataFrame:
-    """Spearman correlation and top-minus-bottom-fifth label per (key, feature, horizon)."""
+    """Spearman correlation and top-minus-bottom-fifth label per (key, feature, horizon).
+
+    ``enough`` tells whether the group has ``min_n`` rows, from which on the numbers count as evidence.
+    """
     ids = [*keys, POS]
     long = melt(df.select(*ids, *features, *labels), [*ids, *labels], features, "feature", "x")
     long = melt(long, [*ids, "feature", "x"], labels, "horizon", "y")
     group = [*keys, "feature", "horizon"]
     long = materialize(long.select(*group, "x", "y"), "feature_rows")
-    sizes = long.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_n)
+    sizes = long.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
     sized = long.join(sizes, group)
     ranked = sized.join(rank_table(long, group, "x", "rx"), [*group, "x"]).join(
         rank_table(long, group, "y", "ry"), [*group, "y"]
@@ -105,6 +108,7 @@ def feature_horizon_stats(
         F.corr("rx", "ry").alias("spearman_ic"),
         (F.avg(F.when(fifth == 5, F.col("y"))) - F.avg(F.when(fifth == 1, F.col("y")))).alias("q5_q1_spread_bps"),
         F.max("n").alias("n"),
+        (F.max("n") >= min_n).alias("enough"),
     )
 
 
@@ -191,7 +195,8 @@ def conditional_scan(
     """Every (feature, threshold, horizon): n, mean label, Newey-West t, p and batch q.
 
     ``horizons`` maps label columns to their length in bars. Thresholds are the
-    feature's own 10/25/75/90 % points per key, joined by (key, feature).
+    feature's own 10/25/75/90 % points per key, joined by (key, feature). Only the tests with ``min_n`` rows
+    (``enough``) make up the batch; the others have no q.
     """
     keys = list(keys)
     long = melt(df.select(*keys, POS, *features, *horizons), [*keys, POS, *horizons], features, "feature", "x")
@@ -208,8 +213,10 @@ def conditional_scan(
         ix = index_rows(rows, group, POS, F.floor(F.col(POS) / F.lit(65_536)).cast("bigint"), "seq")
         part = newey_west(ix, group, "y", lags, size=size).withColumn("horizon", F.lit(label))
         out = part if out is None else out.unionByName(part)
-    tested = out.filter(F.col("n") >= min_n).withColumn("op", F.when(F.col("q").isin(low), "<").otherwise(">"))
-    return benjamini_hochberg(materialize(tested, "scan_tests"), keys)
+    tested = out.withColumn("op", F.when(F.col("q").isin(low), "<").otherwise(">"))
+    tested = materialize(tested.withColumn("enough", F.col("n") >= min_n), "scan_tests")
+    batch = benjamini_hochberg(tested.filter("enough"), keys)
+    return batch.unionByName(tested.filter("NOT enough"), allowMissingColumns=True)
 
 
 def event_study(

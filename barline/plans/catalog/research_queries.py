@@ -73,7 +73,7 @@ sl AS (SELECT instrument_id, pos, feature, x, fwd_1, fwd_5 FROM sc UNPIVOT (x FO
           rank() OVER (PARTITION BY instrument_id, feature, horizon ORDER BY y) + (count(*) OVER (PARTITION BY instrument_id, feature, horizon, y) - 1) / 2.0 AS ry,
           count(*) OVER (PARTITION BY instrument_id, feature, horizon) AS n FROM l)
         SELECT instrument_id, feature, horizon, CAST(any_value(n) AS BIGINT) AS n, {R("corr(rx, ry)")} AS spearman_ic,
-          {R("avg(y) FILTER (ceil(rx * 5 / n) = 5) - avg(y) FILTER (ceil(rx * 5 / n) = 1)", 4)} AS q5_q1_spread_bps FROM r WHERE n >= 500 GROUP BY 1, 2, 3""",
+          {R("avg(y) FILTER (ceil(rx * 5 / n) = 5) - avg(y) FILTER (ceil(rx * 5 / n) = 1)", 4)} AS q5_q1_spread_bps, any_value(n) >= 500 AS enough FROM r GROUP BY 1, 2, 3""",
 )
 def ext_03(spark, sf):
     s = research.feature_horizon_stats(scan_input(spark, sf), KEY, ["chg_5", "ratio"], ["fwd_1", "fwd_5"])
@@ -111,15 +111,15 @@ def nw_sql(lags: int) -> str:
         g AS (SELECT *, avg(y) OVER (PARTITION BY instrument_id, feature, q, horizon) AS m, {", ".join(f"lead(y, {k}) OVER o AS y{k}" for k in range(1, 6))} FROM l
           WINDOW o AS (PARTITION BY instrument_id, feature, q, horizon ORDER BY pos)),
         t AS (SELECT instrument_id, feature, q, horizon, count(*) AS n, any_value(m) AS mean, any_value(m) / sqrt((CASE horizon WHEN 'fwd_1' THEN {nw_sql(1)} ELSE {nw_sql(5)} END)
-          / count(*)) AS t FROM g GROUP BY 1, 2, 3, 4 HAVING count(*) >= 100),
-        p AS (SELECT *, 2 * (1 - {cdf_sql("abs(t)")}) AS p FROM t), r AS (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY p) AS rk, count(*) OVER
-          (PARTITION BY instrument_id) AS k FROM p)
-        SELECT instrument_id, feature, CAST(q AS DOUBLE) AS q, horizon, CAST(n AS BIGINT) AS n, {R("mean", 4)} AS mean, {R("t", 5)} AS t_nw, {R("p", 5)} AS p_value,
-          {R("least(1, min(p * k / rk) OVER (PARTITION BY instrument_id ORDER BY rk DESC))", 5)} AS q_value FROM r""",
+          / count(*)) AS t FROM g GROUP BY 1, 2, 3, 4),
+        p AS (SELECT *, 2 * (1 - {cdf_sql("abs(t)")}) AS p, n >= 100 AS enough FROM t), r AS (SELECT *, row_number() OVER (PARTITION BY instrument_id, enough ORDER BY p) AS rk, count(*) OVER
+          (PARTITION BY instrument_id, enough) AS k FROM p)
+        SELECT instrument_id, feature, CAST(q AS DOUBLE) AS q, horizon, CAST(n AS BIGINT) AS n, enough, {R("mean", 4)} AS mean, {R("t", 5)} AS t_nw, {R("p", 5)} AS p_value,
+          CASE WHEN enough THEN {R("least(1, min(p * k / rk) OVER (PARTITION BY instrument_id, enough ORDER BY rk DESC))", 5)} END AS q_value FROM r""",
 )
 def ext_05(spark, sf):
     s = research.conditional_scan(scan_input(spark, sf), KEY, ["chg_5", "ratio"], {"fwd_1": 1, "fwd_5": 5})
-    out = s.select("instrument_id", "feature", "q", "horizon", "n", "mean", "t_nw", "p_value", "q_value")
+    out = s.select("instrument_id", "feature", "q", "horizon", "n", "enough", "mean", "t_nw", "p_value", "q_value")
     return rounded(rounded(out, "mean", digits=4), "t_nw", "p_value", "q_value", digits=5)
 
 

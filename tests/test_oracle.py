@@ -10,11 +10,14 @@ from tests.oracle import compare
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
+#: twins without a row on the smallest tables
+EMPTY = {"top_05_keyset_page", "dq_c_quota"}
+
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, name):
     _, problem = compare(spark, name, QUERIES[name], ORACLES[name], SF)
-    assert problem in (None, "empty result"), problem
+    assert problem == ("empty result" if name in EMPTY and SF.endswith("sf0.001") else None), problem
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"evl_03_evaluate_rules"}))
