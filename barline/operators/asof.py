@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barline.operators.bars import pivot_mean
-from barline.operators.series import DAY_MS, HOUR_MS, running, time_bucket
+from barline.operators.series import DAY_MS, HOUR_MS, POS, running, time_bucket
 
 
 @dataclass(frozen=True)
@@ -115,38 +117,58 @@ def event_slots(
     ts: str = "ts",
     event_type: str = "event_type",
     magnitude: str = "magnitude",
+    phases: Sequence[int] = (0,),
 ) -> DataFrame:
-    """Events reduced to one row per (slot, type): count and largest magnitude.
+    """Events reduced to one row per (phase, slot, type): count and largest magnitude.
 
-    A rule asks only whether some event of a type reaches a threshold, so the
-    largest magnitude is all a bar has to carry, however many events it holds.
-    A NULL magnitude counts as 0.
+    A slot is an interval of a grid that starts ``phase`` ms after a multiple of the interval. A rule asks only
+    whether some event of a type reaches a threshold, so the largest magnitude is all a bar has to carry,
+    however many events it holds. A NULL magnitude counts as 0.
     """
     if types is not None:
         events = events.filter(F.col(event_type).isin(list(types)))
+    phase = F.explode(F.array(*(F.lit(int(p)).cast("bigint") for p in phases)))
+    events = events.withColumn("_phase", phase)
     return events.groupBy(
-        F.floor(F.col(ts) / F.lit(interval_ms)).cast("bigint").alias("slot"), F.col(event_type).alias("event_type")
+        F.col("_phase").alias("phase"),
+        F.floor((F.col(ts) - F.col("_phase")) / F.lit(interval_ms)).cast("bigint").alias("slot"),
+        F.col(event_type).alias("event_type"),
     ).agg(
         F.count(F.lit(1)).alias("n_events"),
         F.max(F.coalesce(F.col(magnitude).cast("double"), F.lit(0.0))).alias("max_magnitude"),
     )
 
 
-def row_slot(start: Column, pos: Column, interval_ms: int) -> Column:
-    """Slot a bar stands for: the series start plus its row number in intervals.
+def place_events(
+    bars: DataFrame,
+    keys: Sequence[str],
+    events: DataFrame,
+    interval_ms: int,
+    types: Sequence[str],
+    ts: str = "ts",
+    event_type: str = "event_type",
+    magnitude: str = "magnitude",
+) -> DataFrame:
+    """Add one column ``ev_<type>`` per type: the largest magnitude of the events that belong to a bar.
 
-    On a grid without gaps this is the bar's own slot; with gaps events go by row
-    number, as the rule language defines it.
+    ``bars`` are numbered rows (``index_rows``). An event belongs to the bar whose number is (event time -
+    start of the series) // interval, as the rule language defines it; on a grid without gaps this is the bar
+    that it falls into, wherever in the hour the series starts. Events carry no key and are placed on every
+    series, once for each different start within the interval.
     """
-    return F.floor(start / F.lit(interval_ms)).cast("bigint") + pos
-
-
-def attach_events(bars: DataFrame, slots: DataFrame, types: Sequence[str], slot: str = "slot") -> DataFrame:
-    """Add one column ``ev_<type>`` per type with the largest magnitude in the slot."""
-    wide = slots.groupBy("slot").agg(
+    keys = list(keys)
+    starts = bars.groupBy(*keys).agg(F.min(ts).alias("_start")).withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    phase = F.pmod(F.col("_start"), F.lit(interval_ms))
+    starts = starts.withColumns({"_phase": phase, "_first": (F.col("_start") - phase) / F.lit(interval_ms)})
+    phases = sorted(r[0] for r in starts.select("_phase").distinct().collect() if r[0] is not None) or [0]
+    slots = event_slots(events, interval_ms, types, ts, event_type, magnitude, phases)
+    wide = slots.groupBy(F.col("phase").alias("_phase"), F.col("slot").alias("_slot")).agg(
         *[F.max(F.when(F.col("event_type") == t, F.col("max_magnitude"))).alias(event_column(t)) for t in types]
     )
-    return bars.join(wide.withColumnRenamed("slot", slot), slot, "left")
+    same = reduce(and_, (bars[k].eqNullSafe(starts[f"_k_{k}"]) for k in keys))
+    placed = bars.join(starts, same, "left").withColumn("_slot", F.col("_first").cast("bigint") + F.col(POS))
+    columns = [bars[c] for c in bars.columns]
+    return placed.join(wide, ["_phase", "_slot"], "left").select(*columns, *(event_column(t) for t in types))
 
 
 def event_column(event_type: str) -> str:

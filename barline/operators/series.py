@@ -26,6 +26,7 @@ POS = "pos"
 BLK = "_blk"
 CORE = "_core"
 BUCKET = "_bucket"
+KEY = "_key"
 
 HOUR_MS = 3_600_000
 DAY_MS = 86_400_000
@@ -45,6 +46,11 @@ def _cols(order) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in items]
 
 
+def _as_one(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Put the keys into one struct: equal structs may hold nulls, so joins on it keep rows of a null key."""
+    return (df.withColumn(KEY, F.struct(*keys)), [KEY]) if keys else (df, [])
+
+
 def index_rows(
     df: DataFrame,
     keys: Sequence[str],
@@ -56,10 +62,9 @@ def index_rows(
 
     ``bucket`` must be non-decreasing along ``order`` (normally a time slot). Rows
     are numbered inside (key, bucket); the offset of a bucket is the running count
-    of the earlier buckets. Keys must not be null.
+    of the earlier buckets. A null key is a key like any other.
     """
-    keys = list(keys)
-    df = df.withColumn(BUCKET, bucket)
+    df, keys = _as_one(df.withColumn(BUCKET, bucket), list(keys))
     by_key = W.partitionBy(*keys).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         df.groupBy(*keys, BUCKET)
@@ -70,7 +75,7 @@ def index_rows(
     return (
         df.join(offsets, [*keys, BUCKET])
         .withColumn(out, F.row_number().over(local).cast("bigint") - 1 + F.col("_off"))
-        .drop(BUCKET, "_off")
+        .drop(BUCKET, KEY, "_off")
     )
 
 
@@ -275,9 +280,9 @@ def running(
     to keep null fields of a present row). Two levels: a scan inside (key, bucket)
     and the carry over the bucket summaries. ``bucket`` as in ``index_rows``.
     """
-    keys = list(keys)
     order_cols = _cols(order)
-    df = df.withColumn(BUCKET, bucket).withColumns({f"_v_{o}": c for o, (_, c) in values.items()})
+    df, keys = _as_one(df.withColumn(BUCKET, bucket), list(keys))
+    df = df.withColumns({f"_v_{o}": c for o, (_, c) in values.items()})
 
     def summary(out: str, kind: str) -> Column:
         if kind == "last":
@@ -300,7 +305,7 @@ def running(
             for o, (k, _) in values.items()
         }
     )
-    return out.drop(BUCKET, *[f"_v_{o}" for o in values], *[f"_c_{o}" for o in values])
+    return out.drop(BUCKET, KEY, *[f"_v_{o}" for o in values], *[f"_c_{o}" for o in values])
 
 
 def latest(df: DataFrame, keys: Sequence[str], order: Column | Sequence[Column], cols: Sequence[str]) -> DataFrame:

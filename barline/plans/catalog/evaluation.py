@@ -46,7 +46,7 @@ ri0 AS (SELECT *, (close / lag(close, 24) OVER o - 1) * 100 AS ret_24h, lag(clos
   first_value(ts) OVER o // 3600000 + pos AS slot, strftime(make_timestamp(ts * 1000), '%Y-%m-%d') AS d,
   hour(make_timestamp(ts * 1000)) AS hr, dayofweek(make_timestamp(ts * 1000)) AS dw FROM hx
   WINDOW o AS (PARTITION BY instrument_id ORDER BY pos)),
-ri AS (SELECT x.*, es.ev_purchase, es.ev_error, dl.trend, dl.vol FROM ri0 x LEFT JOIN es USING (slot)
+ri AS (SELECT x.*, es.ev_purchase, es.ev_error, dl.trend, dl.vol FROM ri0 x LEFT JOIN (SELECT * FROM es WHERE phase = 0) es USING (slot)
   ASOF LEFT JOIN dl ON x.d >= dl.dt)
 """
 RULE_SQL = {
@@ -65,10 +65,8 @@ def rule_input(spark, sf):
     """Indexed hourly bars with ret_24h, event maxima and the regime struct."""
     b = add_windowed(hourly_ix(spark, sf), KEY, lambda f: {"ret_24h": features.pctchg(f, "close", 24)}, before=24)
     b = materialize(b, "rule_bars")
-    slots = asof.event_slots(events_ms(spark, sf), HOUR_MS, ["purchase", "error"], event_type="instrument_id", magnitude="value")
-    start = b.groupBy(*KEY).agg(F.min("ts").alias("_start"))
-    placed = b.join(start, KEY).withColumn("slot", asof.row_slot(F.col("_start"), F.col("pos"), HOUR_MS)).drop("_start")
-    placed = asof.attach_events(placed, slots, ["purchase", "error"])
+    e = events_ms(spark, sf)
+    placed = asof.place_events(b, KEY, e, HOUR_MS, ["purchase", "error"], event_type="instrument_id", magnitude="value")
     packed = daily_labels(spark, sf).select("dt", F.struct("trend", "vol", "liquidity").alias("regime"))
     return asof.fill_daily(placed, packed, [], ["regime"])
 

@@ -79,27 +79,25 @@ def jn_02(spark, sf):
 
 
 EVENT_COLS = """
-es AS (SELECT ts // 3600000 AS slot, max(value) FILTER (instrument_id = 'purchase') AS ev_purchase,
-  max(value) FILTER (instrument_id = 'error') AS ev_error FROM ev GROUP BY 1)
+es AS (SELECT phase, (ts - phase) // 3600000 AS slot, max(value) FILTER (instrument_id = 'purchase') AS ev_purchase,
+  max(value) FILTER (instrument_id = 'error') AS ev_error FROM ev, (VALUES (0), (1800000)) AS v(phase) GROUP BY 1, 2)
 """
 
 
 @query(
     "jn_03_events_per_bar",
-    f"""WITH {HOURLY_CTE}, {EVENT_COLS}, st AS (SELECT *, first_value(ts) OVER (PARTITION BY instrument_id ORDER BY pos)
-          // 3600000 + pos AS slot FROM hx)
-        SELECT instrument_id, ts, pos, ev_purchase, ev_error FROM st LEFT JOIN es USING (slot)""",
+    f"""WITH {HOURLY_CTE}, {EVENT_COLS}, st AS (SELECT * REPLACE (ts + CASE WHEN length(instrument_id) % 2 = 0 THEN 1800000 ELSE 0 END AS ts) FROM hx),
+        sp AS (SELECT *, first_value(ts) OVER (PARTITION BY instrument_id ORDER BY pos) % 3600000 AS phase,
+          first_value(ts) OVER (PARTITION BY instrument_id ORDER BY pos) // 3600000 + pos AS slot FROM st)
+        SELECT instrument_id, ts, pos, ev_purchase, ev_error FROM sp LEFT JOIN es USING (phase, slot)""",
 )
 def jn_03(spark, sf):
-    slots = asof.event_slots(
-        events_ms(spark, sf), HOUR_MS, ["purchase", "error"], event_type="instrument_id", magnitude="value"
-    )
-    b = hourly_ix(spark, sf)
-    start = b.groupBy(*KEY).agg(F.min("ts").alias("_start"))
-    placed = b.join(start, KEY).withColumn("slot", asof.row_slot(F.col("_start"), F.col("pos"), HOUR_MS))
-    return asof.attach_events(placed, slots, ["purchase", "error"]).select(
-        "instrument_id", "ts", "pos", "ev_purchase", "ev_error"
-    )
+    e = events_ms(spark, sf)
+    # every other series starts at half past
+    late = F.when(F.length("instrument_id") % 2 == 0, HOUR_MS // 2).otherwise(0)
+    b = hourly_ix(spark, sf).withColumn("ts", F.col("ts") + late)
+    placed = asof.place_events(b, KEY, e, HOUR_MS, ["purchase", "error"], event_type="instrument_id", magnitude="value")
+    return placed.select("instrument_id", "ts", "pos", "ev_purchase", "ev_error")
 
 
 @query(

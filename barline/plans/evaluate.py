@@ -110,10 +110,7 @@ def prepare_bars(
         computed = features.compute_features(out, keys, derived, size)
         out = materialize(out.join(computed.drop("ts"), [*keys, "pos"]), "features")
     if types:
-        slots = asof.event_slots(events, bar_ms, types)
-        starts = out.filter(F.col("pos") == 0).select(*keys, F.col("ts").alias("_start"))
-        out = out.join(starts, keys).withColumn("slot", asof.row_slot(F.col("_start"), F.col("pos"), bar_ms))
-        out = asof.attach_events(out, slots, types).drop("slot", "_start")
+        out = asof.place_events(out, keys, events, bar_ms, types)
     if regimes is not None:
         packed = regimes.select(*regime_keys, "dt", F.struct("trend", "vol", "liquidity").alias("regime"))
         out = asof.fill_daily(out, packed, regime_keys, ["regime"])

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from barline.operators import asof
 from barline.operators import features as ft
 from barline.operators.asof import asof_join
 from barline.operators.series import (
@@ -189,3 +190,24 @@ def test_no_look_ahead_over_the_registry(spark):
     full, cut = run(n), run(380)
     assert full[names].notna().any().all()
     pd.testing.assert_frame_equal(full.head(380)[names], cut[names])
+
+
+def test_null_keys_are_kept(spark):
+    rows = [("a", 0, 1), (None, 0, 10), ("a", 5, 2), (None, 7, 20), (None, 3, 30)]
+    df = spark.createDataFrame(rows, "k string, ts bigint, v bigint")
+    got = {(r.k, r.ts): r.pos for r in index_rows(df, ["k"], "ts", time_bucket("ts", 4)).collect()}
+    assert got == {("a", 0): 0, ("a", 5): 1, (None, 0): 0, (None, 3): 1, (None, 7): 2}
+    sums = running(df, ["k"], "ts", time_bucket("ts", 4), {"s": ("sum", F.col("v"))})
+    assert {(r.k, r.ts): r.s for r in sums.collect()} == {
+        ("a", 0): 1, ("a", 5): 3, (None, 0): 10, (None, 3): 40, (None, 7): 60
+    }
+
+
+def test_events_go_by_the_start_of_the_series(spark):
+    h = 3_600_000
+    bars = spark.createDataFrame([(k, h // 2 + n * h) for k in ("a", None) for n in range(3)], "k string, ts bigint")
+    bars = index_rows(bars, ["k"], "ts", time_bucket("ts", 24 * h))
+    events = spark.createDataFrame([("mint", h + h // 4, 5.0), ("mint", h // 4, 9.0)], "event_type string, ts bigint, magnitude double")
+    got = asof.place_events(bars, ["k"], events, h, ["mint"]).collect()
+    # 01:15 belongs to the bar of 00:30; 00:15 is before the series
+    assert {(r.k, r.pos): r.ev_mint for r in got} == {(k, n): 5.0 if n == 0 else None for k in ("a", None) for n in range(3)}
