@@ -1,13 +1,18 @@
 """Paragraph fingerprints of versions that subtract: invertible Bloom lookup sketches, in DataFrame operations only.
 
-A sketch is an array of cells (count, exclusive or of digests, exclusive or of check values). Every paragraph
+A sketch is a row of cells (count, exclusive or of digests, exclusive or of check values). Every paragraph
 digest goes into one cell of each of three equal sub-tables. Cells of two sketches subtract; what both hold
 cancels. A cell left with a single digest gives it away, which empties other cells in turn (peeling). If
 digests stay entangled, both versions are sketched again four times as large.
+
+Cells are rows, and all rows of a version stay in one task: after the versions are dealt by key, neither
+sketching nor peeling shuffles.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,17 +22,14 @@ from barline.session import materialize
 #: words of a paragraph part; the first 32 words of a text also count in parts of 4
 PART_WORDS, HEAD_WORDS, HEAD_PART = 32, 32, 4
 
-#: cells of the printed sketch and of the larger ones tried after it
-CELLS = 24
-RETRIES = (CELLS, 4 * CELLS, 16 * CELLS, 64 * CELLS)
-
-#: digests that one sketch takes; longer versions are spread over several
-GROUP_DIGESTS = 40
+#: cells of the printed sketch, the first that is peeled; the next ones are four times as large each
+CELLS, GROWTH = 24, 4
 
-_ROUNDS = 24
+#: rounds of peeling before a larger sketch is tried
+ROUNDS = 6
 
 _WORD = r"[^\x20\x09-\x0D]++[\x20\x09\x0B-\x0D]*+"
-_CELL = "struct<c:int,k:bigint,h:bigint>"
+_KEY = ["_k1", "_k2"]
 
 
 def digests(text: Column) -> Column:
@@ -40,171 +42,162 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.concat(F.transform(parts, hashed(0)), F.transform(heads, hashed(1))))
 
 
-def _entries(keys: Column, cells: int) -> Column:
-    """Digests with their check value and their place in each of the three sub-tables."""
-    third = F.lit(cells // 3)
-    place = lambda k, j: F.pmod(F.xxhash64(k, F.lit(cells * 4 + j)), third).cast("int")
-    return F.transform(
-        keys,
-        lambda k: F.struct(
-            k.alias("k"),
-            _check(k).alias("h"),
-            place(k, 0).alias("p0"),
-            place(k, 1).alias("p1"),
-            place(k, 2).alias("p2"),
-        ),
-    )
-
-
 def _check(key: Column) -> Column:
     return F.xxhash64(key, F.lit(-1)).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def _cell(c: Column, k: Column, h: Column) -> Column:
-    return F.struct(c.cast("int").alias("c"), k.alias("k"), h.alias("h"))
-
-
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
+def _places(key: Column, cells: int) -> list[Column]:
+    """The cell of a digest in each of the three sub-tables."""
+    third = cells // 3
+    return [(F.pmod(F.xxhash64(key, F.lit(cells * 4 + j)), F.lit(third)) + j * third).cast("int") for j in range(3)]
 
-def sketch(keys: Column, cells: int) -> Column:
-    """Cells of a set of digests."""
-    empty = F.lit(None).cast(_CELL)
-    zero = F.coalesce(empty, _cell(F.lit(0), F.lit(0).cast("bigint"), F.lit(0).cast("bigint")))
 
-    def table(entries: Column) -> Column:
-        def part(j: int) -> Column:
-            def gather(i: Column) -> Column:
-                def add(acc: Column, e: Column) -> Column:
-                    return F.when(
-                        e[f"p{j}"] == i, _cell(acc["c"] + 1, acc["k"].bitwiseXOR(e["k"]), acc["h"].bitwiseXOR(e["h"]))
-                    ).otherwise(acc)
+def sketch(rows: DataFrame, of: list[str], cells: int) -> DataFrame:
+    """Cells (cell, c, k, h) of signed digests (sign, key), by the columns ``of``; empty cells are left out.
 
-                return F.aggregate(entries, zero, add)
-
-            return F.transform(F.sequence(F.lit(0), F.lit(cells // 3 - 1)), gather)
-
-        return F.concat(part(0), part(1), part(2))
-
-    return _let(_entries(keys, cells), table)
-
-
-def subtract(a: Column, b: Column) -> Column:
-    """Cells of the difference of two sketches of equal size."""
-    return F.zip_with(
-        a, b, lambda x, y: _cell(x["c"] - y["c"], x["k"].bitwiseXOR(y["k"]), x["h"].bitwiseXOR(y["h"]))
+    Digests with sign -1 are taken away, so the sketch of both versions' digests is the difference of their sketches.
+    """
+    placed = rows.select(*of, "sign", "key", F.explode(F.array(*_places(F.col("key"), cells))).alias("cell"))
+    summed = placed.groupBy(*of, "cell").agg(
+        F.sum("sign").alias("c"), F.bit_xor("key").alias("k"), F.bit_xor(_check(F.col("key"))).alias("h")
     )
+    return summed.filter("c <> 0 OR k <> 0")
 
 
-def peel(cells: Column, size: int) -> Column:
-    """The digests that the versions differ in, recovered from subtracted cells; null if some stay entangled."""
-    third = size // 3
-
-    def single(c: Column) -> Column:
-        return (F.abs(c["c"]) == 1) & (c["h"] == _check(c["k"]))
-
-    def step(state: Column, _: Column) -> Column:
-        def remove(out: Column) -> Column:
-            def part(j: int) -> Column:
-                def clear(c: Column, i: Column) -> Column:
-                    def take(acc: Column, p: Column) -> Column:
-                        return F.when(
-                            p["p"][f"p{j}"] == i,
-                            _cell(acc["c"] - p["c"], acc["k"].bitwiseXOR(p["p"]["k"]), acc["h"].bitwiseXOR(p["p"]["h"])),
-                        ).otherwise(acc)
-
-                    return F.aggregate(out, c, take)
-
-                return F.transform(F.slice(state["cells"], j * third + 1, third), clear)
-
-            found = F.concat(state["found"], F.transform(out, lambda p: p["p"]["k"]))
-            after = F.struct(F.concat(part(0), part(1), part(2)).alias("cells"), found.alias("found"))
-            return F.when(F.size(out) > 0, after).otherwise(state)
-
-        lone = F.filter(state["cells"], single)
-        signs = F.transform(lone, lambda c: c["c"])
-        placed = _entries(F.transform(lone, lambda c: c["k"]), size)
-        out = F.array_distinct(F.zip_with(placed, signs, lambda p, s: F.struct(p.alias("p"), s.alias("c"))))
-        return _let(out, remove)
-
-    start = F.struct(cells.alias("cells"), F.array().cast("array<bigint>").alias("found"))
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(_ROUNDS)), start, step)
-    return _let(
-        done, lambda s: F.when(~F.exists(s["cells"], lambda c: (c["c"] != 0) | (c["k"] != 0)), s["found"])
+def _peel_once(sketches: DataFrame, of: list[str], cells: int) -> DataFrame:
+    """Take the digests that stand alone in a cell out of all their cells; cell -1 counts them."""
+    c, k, h = F.col("c"), F.col("k"), F.col("h")
+    single = (F.col("cell") >= 0) & (F.abs(c) == 1) & (h == _check(k))
+    row = lambda cell, c, k, h, taken: F.struct(
+        cell.alias("cell"), c.alias("c"), k.alias("k"), h.alias("h"), taken.alias("taken")
     )
+    zero = F.lit(0).cast("bigint")
+    itself = F.array(row(F.col("cell"), c, k, h, F.lit(None).cast("bigint")))
+    out = [row(place, -c, k, h, k) for place in _places(k, cells)]
+    out.append(row(F.lit(-1), F.lit(1).cast("bigint"), zero, zero, k))
+    rows = sketches.select(*of, F.explode(F.when(single, F.concat(itself, F.array(*out))).otherwise(itself)).alias("r"))
+    # a digest may stand alone in several cells, but is taken out once
+    once = rows.groupBy(*of, F.col("r.cell").alias("cell"), F.col("r.taken").alias("taken")).agg(
+        F.max("r.c").alias("c"), F.max("r.k").alias("k"), F.max("r.h").alias("h")
+    )
+    left = once.groupBy(*of, "cell").agg(F.sum("c").alias("c"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h"))
+    return left.filter("c <> 0 OR k <> 0")
 
 
-def differing(a: Column, b: Column) -> Column:
-    """Number of digests that only one of two versions holds, by sketches that grow until they peel."""
-    groups = F.greatest(F.ceil(F.greatest(F.size(a), F.size(b)) / GROUP_DIGESTS), F.lit(1)).cast("int")
-
-    def group(g: Column) -> Column:
-        of = lambda keys: F.filter(keys, lambda k: F.pmod(F.shiftright(k, 8), groups) == g)
-
-        def tried(pair: Column) -> Column:
-            sizes = [
-                F.size(peel(subtract(sketch(pair["a"], m), sketch(pair["b"], m)), m)) for m in RETRIES
-            ]
-            return F.coalesce(*(F.nullif(s, F.lit(-1)) for s in sizes))
-
-        return _let(F.struct(of(a).alias("a"), of(b).alias("b")), tried)
+def peel(rows: DataFrame, of: list[str], cells: int) -> DataFrame:
+    """By the columns ``of``: differing (how many digests peeling recovered) and left (cells still entangled).
 
-    return F.aggregate(
-        F.transform(F.sequence(F.lit(0), groups - 1), group), F.lit(0), lambda acc, d: acc + d
+    ``rows`` are signed digests; those without any difference give no row.
+    """
+    sketches = sketch(rows, of, cells)
+    for _ in range(ROUNDS):
+        sketches = _peel_once(sketches, of, cells)
+    counter = F.col("cell") == -1
+    return sketches.groupBy(*of).agg(
+        F.coalesce(F.sum(F.when(counter, F.col("c"))), F.lit(0)).alias("differing"),
+        F.count(F.when(~counter, 1)).alias("left"),
     )
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Share of two versions' digests that both hold, 0 to 1; 1 for two versions without words."""
-    total = F.size(a) + F.size(b)
-    return F.when(total == 0, F.lit(1.0)).otherwise(1 - differing(a, b) / total)
+def _signed(keys: DataFrame) -> DataFrame:
+    """Signed digests of the pairs (own, edited) and (own, next) of every version, dealt by key."""
+    sign = lambda of, s: F.transform(of, lambda k: F.struct(F.lit(s).cast("bigint").alias("sign"), k.alias("key")))
+    pair = lambda n, other: F.struct(F.lit(n).alias("pair"), F.concat(sign("_own", 1), sign(other, -1)).alias("all"))
+    pairs = keys.select(*_KEY, F.explode(F.array(pair(0, "_edited"), pair(1, "_next"))).alias("p"))
+    return pairs.select(*_KEY, F.col("p.pair").alias("pair"), F.explode("p.all").alias("d")).select(
+        *_KEY, "pair", "d.sign", "d.key"
+    )
 
 
-def printed(keys: Column) -> Column:
-    """The smallest sketch of a version as text: its number of digests, then every cell in hexadecimal."""
-    cell = lambda c: F.concat_ws(".", F.hex(c["c"].cast("bigint")), F.hex(c["k"]), F.hex(c["h"]))
-    return F.concat_ws(":", F.size(keys).cast("string"), F.array_join(F.transform(sketch(keys, CELLS), cell), "-"))
+def _attempts(keys: DataFrame) -> Iterator[DataFrame]:
+    """(key, pair, differing) of the pairs that peel, size after size, until all have."""
+    cells, open_pairs = CELLS, None
+    while True:
+        of = [*_KEY, "pair"]
+        dealt = keys if open_pairs is None else keys.join(open_pairs.select(*_KEY).distinct(), _KEY, "left_semi")
+        parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        signed = _signed(dealt.repartition(parts, *_KEY))
+        if open_pairs is not None:
+            signed = signed.join(open_pairs.repartition(parts, *_KEY), of, "left_semi")
+        tried = materialize(peel(signed, of, cells), "peeled")
+        yield tried.filter("left = 0").select(*of, "differing")
+        open_pairs = tried.filter("left > 0").select(*of)
+        if not open_pairs.head(1):
+            return
+        cells *= GROWTH
+
+
+def printed(keys: DataFrame) -> DataFrame:
+    """The smallest sketches as text: the number of digests, then the filled cells in hexadecimal."""
+    versions = F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("_own").alias("all")), F.struct(F.lit(1).alias("which"), F.col("_edited").alias("all"))))
+    rows = keys.select(*_KEY, versions.alias("v")).select(*_KEY, "v.which", F.explode("v.all").alias("key"))
+    cells = sketch(rows.withColumn("sign", F.lit(1).cast("bigint")), [*_KEY, "which"], CELLS)
+    text = F.concat_ws(".", F.hex(F.col("cell").cast("bigint")), F.hex("c"), F.hex("k"), F.hex("h"))
+    of = lambda which: F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("which") == which, F.struct("cell", text.alias("t"))))), lambda x: x["t"]), "-"
+    )
+    return cells.groupBy(*_KEY).agg(of(0).alias("_print"), of(1).alias("_print_edited"))
 
 
 def fingerprints(versions: DataFrame) -> DataFrame:
     """Fingerprint every version's changelog, an edited form of it and its successor's, and compare them.
 
     ``versions`` needs version_id and changelog; other columns are not read. One row for each row: version_id,
-    n_chars, edited (the changelog with its last third, rounded down, replaced by the first as many code points of the
-    next version's, or all of it), fingerprint, edited_fingerprint, near_edited and near_next (likeness of the
-    fingerprint to that of the edited text and of the next version). The next version has the next smaller
-    version_id; after the smallest comes the largest. Null changelogs are empty. Rows that repeat an id stand
+    n_chars, edited_sha256 (of the changelog with its last third, rounded down, replaced by the first as many code
+    points of the next version's, or all of it), fingerprint, edited_fingerprint, near_edited and near_next (the share of
+    digests that both hold, 0 to 1, by the differing ones that peeling recovers; 1 for two texts without words). The next version has the next
+    smaller version_id; after the smallest comes the largest. Null changelogs are empty. Rows that repeat an id stand
     in the order of a hash of their texts; identical rows count as one version. A single version follows itself.
     """
     rows = versions.select("version_id", F.coalesce(F.col("changelog").cast("string"), F.lit("")).alias("text"))
     rows = rows.select("version_id", "text", F.xxhash64("version_id", "text").alias("_k1"), F.hash("version_id", "text").alias("_k2"))
-    names = rows.select("version_id", "_k1", "_k2", F.char_length("text").cast("bigint").alias("_n")).distinct()
+    names = rows.select("version_id", *_KEY, F.char_length("text").cast("bigint").alias("_n")).distinct()
     ranked = global_index(names, [F.col("version_id"), F.col("_k1"), F.col("_k2")], "_rank")
     ranked = materialize(ranked, "ranks")
     total = max(1, ranked.count())
     successor = ranked.select(F.col("_rank"), F.col("_k1").alias("_n1"), F.col("_k2").alias("_n2"))
     wanted = ranked.withColumn("_rank", F.pmod(F.col("_rank") - 1, F.lit(total)))
-    wanted = wanted.join(successor, "_rank").select("_k1", "_k2", (F.floor(F.col("_n") / 3)).cast("int").alias("_cut"), "_n1", "_n2")
+    wanted = wanted.join(successor, "_rank").select(*_KEY, F.floor(F.col("_n") / 3).cast("int").alias("_cut"), "_n1", "_n2")
     wanted = materialize(wanted, "successors")
 
     follows = (
         rows.select(F.col("_k1").alias("_n1"), F.col("_k2").alias("_n2"), "text")
         .join(wanted, ["_n1", "_n2"])
-        .select("_k1", "_k2", "_cut", F.expr("substring(text, 1, _cut)").alias("_start"), digests(F.col("text")).alias("_next"))
-        .dropDuplicates(["_k1", "_k2"])
+        .select(*_KEY, "_cut", F.expr("substring(text, 1, _cut)").alias("_start"), digests(F.col("text")).alias("_next"))
+        .dropDuplicates(_KEY)
     )
     n = F.char_length("text").cast("bigint")
     edited = F.concat(F.expr("substring(text, 1, char_length(text) - _cut)"), F.col("_start"))
-    joined = rows.join(follows, ["_k1", "_k2"]).select("version_id", n.alias("n_chars"), edited.alias("edited"), digests(F.col("text")).alias("_own"), "_next")
-    joined = joined.withColumn("_edited", digests(F.col("edited")))
-    return joined.select(
+    joined = rows.join(follows, _KEY).select("version_id", *_KEY, n.alias("n_chars"), edited.alias("edited"), digests(F.col("text")).alias("_own"), "_next")
+    joined = joined.select(
+        "version_id", *_KEY, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "_own", digests(F.col("edited")).alias("_edited"), "_next"
+    )
+    joined = materialize(joined, "digests")
+    keys = joined.select(*_KEY, "_own", "_edited", "_next").dropDuplicates(_KEY)
+
+    peeled = None
+    for part in _attempts(keys):
+        peeled = part if peeled is None else peeled.unionByName(part)
+    differing = lambda n: F.coalesce(F.sum(F.when(F.col("pair") == n, F.col("differing"))), F.lit(0))
+    counted = peeled.groupBy(*_KEY).agg(differing(0).alias("_d_edited"), differing(1).alias("_d_next"))
+    prints = printed(joined.select(*_KEY, "_own", "_edited").dropDuplicates(_KEY))
+    sizes = joined.select(
+        "version_id", *_KEY, "n_chars", "edited_sha256", F.size("_own").alias("_a"), F.size("_edited").alias("_e"), F.size("_next").alias("_x")
+    )
+
+    def near(other: str, d: str) -> Column:
+        both = F.col("_a") + F.col(other)
+        return F.when(both == 0, F.lit(1.0)).otherwise(1 - F.coalesce(F.col(d), F.lit(0)) / both)
+
+    def text(size: str, cells: str) -> Column:
+        return F.concat_ws(":", F.col(size).cast("string"), F.coalesce(F.col(cells), F.lit("")))
+
+    return sizes.join(counted, _KEY, "left").join(prints, _KEY, "left").select(
         "version_id",
         "n_chars",
-        "edited",
-        printed(F.col("_own")).alias("fingerprint"),
-        printed(F.col("_edited")).alias("edited_fingerprint"),
-        likeness(F.col("_own"), F.col("_edited")).alias("near_edited"),
-        likeness(F.col("_own"), F.col("_next")).alias("near_next"),
+        "edited_sha256",
+        text("_a", "_print").alias("fingerprint"),
+        text("_e", "_print_edited").alias("edited_fingerprint"),
+        near("_e", "_d_edited").alias("near_edited"),
+        near("_x", "_d_next").alias("near_next"),
     )

@@ -175,7 +175,7 @@ def op8_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.fingerprints(versions).select(
         F.col("version_id").alias("doc_id"),
         "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
+        "edited_sha256",
         "fingerprint",
         "edited_fingerprint",
         "near_edited",

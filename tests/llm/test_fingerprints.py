@@ -3,9 +3,9 @@
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from barline.llm import fingerprints
+from tests.llm import brute
 
 VERSIONS = "version_id bigint, changelog string, edited string"
 
@@ -41,27 +41,29 @@ def test_given_documents_and_odd_texts(spark, documents):
     for i, text in rows:
         edited, after = wanted[i]
         r = got[i]
-        assert (r["n_chars"], r["edited"]) == (len(text), edited)
+        assert (r["n_chars"], r["edited_sha256"]) == (len(text), brute.sha256(edited))
         assert r["near_edited"] == pytest.approx(alike(text, edited))
         assert r["near_next"] == pytest.approx(alike(text, after))
         assert by_text.setdefault(text, r["fingerprint"]) == r["fingerprint"]
     assert len(set(by_text.values())) == len({frozenset(parts(t)) for t in by_text})
 
 
-def test_peeling_recovers_the_digests(spark):
-    df = spark.createDataFrame([(list(range(0, 60)), list(range(5, 70))), ([], []), ([1], [])], "a array<bigint>, b array<bigint>")
-    cells = fingerprints.subtract(fingerprints.sketch(F.col("a"), 96), fingerprints.sketch(F.col("b"), 96))
-    small = fingerprints.subtract(fingerprints.sketch(F.col("a"), 6), fingerprints.sketch(F.col("b"), 6))
-    rows = df.select(fingerprints.peel(cells, 96).alias("x"), fingerprints.peel(small, 6).alias("y"), fingerprints.differing(F.col("a"), F.col("b")).alias("d")).collect()
-    assert [sorted(r["x"]) for r in rows] == [[*range(5), *range(60, 70)], [], [1]]
-    assert rows[0]["y"] is None  # too small: entangled
-    assert [r["d"] for r in rows] == [15, 0, 1]
+def test_peeling_counts_the_differing_digests(spark):
+    pairs = [(1, list(range(0, 60)), list(range(5, 70))), (2, [7, 8], [7, 8]), (3, [1], [])]
+    rows = [(i, 1, k) for i, a, _ in pairs for k in a] + [(i, -1, k) for i, _, b in pairs for k in b]
+    df = spark.createDataFrame(rows, "i bigint, sign bigint, key bigint")
+    large = {r["i"]: (r["differing"], r["left"]) for r in fingerprints.peel(df, ["i"], 96).collect()}
+    assert large == {1: (15, 0), 3: (1, 0)}
+    small = {r["i"]: r["left"] for r in fingerprints.peel(df, ["i"], 6).collect()}
+    assert small[1] > 0 and small[3] == 0  # too small: entangled
 
 
 def test_repeated_single_null_and_no_rows(spark):
     same = spark.createDataFrame([(1, "a b c", ""), (1, "a b c", ""), (None, "d e f", "")], VERSIONS)
     got = fingerprints.fingerprints(same).collect()
-    assert sorted((r["version_id"] or 0, r["edited"]) for r in got) == [(0, "d e a"), (1, "a b d"), (1, "a b d")]
+    assert sorted((r["version_id"] or 0, r["edited_sha256"]) for r in got) == [
+        (0, brute.sha256("d e a")), (1, brute.sha256("a b d")), (1, brute.sha256("a b d"))
+    ]
     alone = fingerprints.fingerprints(spark.createDataFrame([(3, "abcdef", "")], VERSIONS)).first()
-    assert (alone["edited"], alone["near_next"]) == ("abcdab", 1.0)
+    assert (alone["edited_sha256"], alone["near_next"]) == (brute.sha256("abcdab"), 1.0)
     assert fingerprints.fingerprints(spark.createDataFrame([], VERSIONS)).count() == 0
