@@ -3,7 +3,7 @@
 A sketch is a row of cells (count, exclusive or of digests, exclusive or of check values). Every paragraph
 digest goes into one cell of each of three equal sub-tables. Cells of two sketches subtract; what both hold
 cancels. A cell left with a single digest gives it away, which empties other cells in turn (peeling). If
-digests stay entangled, both versions are sketched again four times as large.
+digests stay entangled, both versions are sketched again eight times as large.
 
 Cells are rows, and all rows of a version stay in one task: after the versions are dealt by key, neither
 sketching nor peeling shuffles.
@@ -22,8 +22,8 @@ from barline.session import materialize
 #: words of a paragraph part; the first 32 words of a text also count in parts of 4
 PART_WORDS, HEAD_WORDS, HEAD_PART = 32, 32, 4
 
-#: cells of the printed sketch, the first that is peeled; the next ones are four times as large each
-CELLS, GROWTH = 24, 4
+#: cells of the printed sketch, the first that is peeled; the next ones are eight times as large each
+CELLS, GROWTH = 24, 8
 
 #: rounds of peeling before a larger sketch is tried
 ROUNDS = 6
