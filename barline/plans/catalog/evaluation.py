@@ -9,7 +9,7 @@ from barline.functions.scalar import utc_year
 from barline.operators import asof, features, labels, resample, rules, splits, stats, verdict
 from barline.operators.series import HOUR_MS, add_windowed
 from barline.plans import evaluate as ev
-from barline.plans.catalog.base import HOURLY_CTE, R, events_ms, hourly, hourly_ix, query, rnd, rounded
+from barline.plans.catalog.base import HOURLY_CTE, ORACLES, R, events_ms, hourly, hourly_ix, query, rnd, rounded
 from barline.plans.catalog.joins import EVENT_COLS, LABELS_CTE, daily_labels
 from barline.plans.catalog.scalars import cdf_sql
 from barline.plans.catalog.windows import TRADES_CTE, order_trades
@@ -211,7 +211,7 @@ def evl_02(spark, sf):
 
 @query("evl_03_evaluate_rules")
 def evl_03(spark, sf):
-    # the whole protocol at screen rigour: fires, trades, folds, resampling, verdict
+    # the whole protocol at full rigour: fires, trades, folds, resampling, verdict
     specs = [
         SPEC,
         ev.RuleSpec("purchase_short", {"event": {"type": "purchase", "min_magnitude": 100}}, "short", "8h", 1.0, 1.0),
@@ -220,8 +220,7 @@ def evl_03(spark, sf):
         F.col("instrument_id").alias("event_type"), "ts", F.col("value").alias("magnitude")
     )
     prepared = ev.prepare_bars(hourly(spark, sf), KEY, specs, events=events, regimes=daily_labels(spark, sf))
-    cfg = ev.Config(n_folds=3, permutation_iterations=50, bootstrap_iterations=50)
-    out = ev.evaluate(prepared, KEY, specs, cfg)
+    out = ev.evaluate(prepared, KEY, specs, ev.Config.for_kind("full"))
     return out.verdicts.select("rule_id", "instrument_id", "verdict", rnd("score").alias("score"))
 
 
@@ -329,11 +328,11 @@ def evl_08(spark, sf):
         FROM ob CROSS JOIN (SELECT unnest(range(100)) AS it) i LEFT JOIN d ON d.instrument_id = ob.instrument_id AND d.it = i.it
         GROUP BY ob.instrument_id, fires, obs""",
 )
-def evl_09(spark, sf):
+def evl_09(spark, sf, iterations=100):
     lab = labels.forward_labels(hourly_ix(spark, sf), KEY, 1, 4).select("instrument_id", "pos", "close", "fwd_bps")
     lab = materialize(lab, "labels")
     fires = lab.filter(F.col("close") > 80).select("instrument_id", "pos")
-    out = resample.permutation_test(fires, lab, KEY, KEY, 12, iterations=100)
+    out = resample.permutation_test(fires, lab, KEY, KEY, 12, iterations=iterations)
     return rounded(rounded(out, "observed_ev_bps", "null_mean", "null_std", digits=3), "p_value")
 
 
@@ -356,9 +355,9 @@ def bootstrap_sample(spark, sf):
     "evl_10_stationary_bootstrap_draws",
     f"""WITH {DRAWS_CTE} SELECT rule_id, it AS iter, CAST(count(*) AS BIGINT) AS n, CAST(sum(idx * (t % 7)) AS BIGINT) AS mix FROM dr GROUP BY 1, 2""",
 )
-def evl_10(spark, sf):
+def evl_10(spark, sf, iterations=60):
     s = bootstrap_sample(spark, sf).withColumn("idx", F.col("seq"))
-    d = resample.bootstrap_draws(s, ["rule_id"], "idx", 12, 60)
+    d = resample.bootstrap_draws(s, ["rule_id"], "idx", 12, iterations)
     return d.groupBy("rule_id", "iter").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("idx") * (F.col("t") % 7)).alias("mix")
     )
@@ -370,9 +369,9 @@ def evl_10(spark, sf):
         SELECT m.rule_id, {R("any_value(point)")} AS point, {R("quantile_cont(s, 0.025)")} AS ci_lo, {R("quantile_cont(s, 0.975)")} AS ci_hi
         FROM m JOIN p USING (rule_id) GROUP BY 1""",
 )
-def evl_11(spark, sf):
+def evl_11(spark, sf, iterations=60):
     s = bootstrap_sample(spark, sf)
-    out = resample.bootstrap_ci(s, ["rule_id"], "ret_net_bps", resample.mean_statistic, 12, 60)
+    out = resample.bootstrap_ci(s, ["rule_id"], "ret_net_bps", resample.mean_statistic, 12, iterations)
     return rounded(out, "point", "ci_lo", "ci_hi")
 
 
@@ -384,10 +383,10 @@ def evl_11(spark, sf):
         SELECT rule_id, {R("quantile_cont(sr, 0.025)")} AS sharpe_lo, {R("quantile_cont(sr, 0.975)")} AS sharpe_hi,
           {R("quantile_cont(dd, 0.025)")} AS dd_lo, {R("quantile_cont(dd, 0.975)")} AS dd_hi FROM m GROUP BY 1""",
 )
-def evl_12(spark, sf):
+def evl_12(spark, sf, iterations=60):
     s = bootstrap_sample(spark, sf)
-    sharpe = resample.bootstrap_ci(s, ["rule_id"], "ret_net_bps", resample.sharpe_statistic(), 12, 60)
-    dd = resample.bootstrap_ci(s, ["rule_id"], "ret_net_bps", resample.drawdown_statistic, 12, 60)
+    sharpe = resample.bootstrap_ci(s, ["rule_id"], "ret_net_bps", resample.sharpe_statistic(), 12, iterations)
+    dd = resample.bootstrap_ci(s, ["rule_id"], "ret_net_bps", resample.drawdown_statistic, 12, iterations)
     both = sharpe.select("rule_id", F.col("ci_lo").alias("sharpe_lo"), F.col("ci_hi").alias("sharpe_hi")).join(
         dd.select("rule_id", F.col("ci_lo").alias("dd_lo"), F.col("ci_hi").alias("dd_hi")), "rule_id"
     )
@@ -400,12 +399,29 @@ def evl_12(spark, sf):
         SELECT rule_id, {R("(SELECT max(x) - min(x) FROM rx WHERE rx.rule_id = m.rule_id)")} AS point, {R("quantile_cont(s, 0.025)")} AS ci_lo,
           {R("quantile_cont(s, 0.975)")} AS ci_hi FROM m GROUP BY 1""",
 )
-def udf_02(spark, sf):
+def udf_02(spark, sf, iterations=60):
     spread = resample.aggregate_statistic(lambda v: F.max(v) - F.min(v))
-    out = resample.bootstrap_ci(bootstrap_sample(spark, sf), ["rule_id"], "ret_net_bps", spread, 12, 60)
+    out = resample.bootstrap_ci(bootstrap_sample(spark, sf), ["rule_id"], "ret_net_bps", spread, 12, iterations)
     return rounded(out, "point", "ci_lo", "ci_hi")
 
 
+def at_full_rigour(name, fn):
+    """Register a resampling query once more, with the full number of draws in query and twin."""
+    full = verdict.run_config("full")
+    permutations, bootstraps = full["permutation_iterations"], full["bootstrap_iterations"]
+    sql = ORACLES[name].replace("range(60)", f"range({bootstraps})")
+    sql = sql.replace("range(100)", f"range({permutations})").replace("/ 101.0", f"/ {permutations + 1}.0")
+    draws = permutations if "permutation" in name else bootstraps
+    query(f"{name}_full", sql)(lambda spark, sf: fn(spark, sf, draws))
+
+
+at_full_rigour("evl_09_permutation_test", evl_09)
+at_full_rigour("evl_10_stationary_bootstrap_draws", evl_10)
+at_full_rigour("evl_11_bootstrap_ci", evl_11)
+at_full_rigour("evl_12_sharpe_and_drawdown_ci", evl_12)
+at_full_rigour("udf_02_pluggable_statistic", udf_02)
+
+
 @query(
     "evl_13_sample_moments",
     f"""WITH {STATS_CTE} SELECT rule_id, n, {R("ev")} AS mean, {R("sd")} AS std, {R("ev / sd")} AS sr_hat, {R("skew")} AS skew, {R("kurt")} AS kurt FROM g""",

@@ -263,13 +263,16 @@ def evaluate(
         cfg.permutation_iterations,
         cfg.seed,
     ).select(*group, F.col("p_value").alias("p_perm"))
+    perm = materialize(perm, "permutations")
 
     sample = oos.select(*group, "seq", "ret_net_bps", "block_len", "trades_per_year")
 
     def ci(name: str, statistic: resample.Statistic, seed: int) -> DataFrame:
-        return resample.bootstrap_ci(
+        out = resample.bootstrap_ci(
             sample, group, "ret_net_bps", statistic, "block_len", cfg.bootstrap_iterations, cfg.confidence, seed
         ).withColumnsRenamed({"point": f"{name}_point", "ci_lo": f"{name}_lo", "ci_hi": f"{name}_hi"})
+        # each in a job of its own: in one plan the driver builds the broadcasts of all of them at once
+        return materialize(out, f"{name}_interval")
 
     boot = (
         ci("ev", resample.mean_statistic, cfg.seed)

@@ -195,6 +195,36 @@ def test_bootstrap_draws_walk_and_restart(spark):
     assert 0.85 < share < 0.95
 
 
+def test_moments_are_those_of_the_draws(spark):
+    rng = np.random.default_rng(5)
+    many = rng.normal(10, 50, 300).tolist()
+    df = trades(spark, {"many": many, "two": [1.0, 2.0], "same": [0.1] * 30, "one": [3.0], "gaps": [1.0, 5.0, 1.0, 7.0, 6.5]})
+    df = df.withColumn("ret_net_bps", F.expr("CASE WHEN g <> 'gaps' OR ret_net_bps > 1 THEN ret_net_bps END"))
+    draws = resample.bootstrap_draws(df, ["g"], "ret_net_bps", 6, 80).toPandas()
+    moments = {(r["g"], r["iter"]): r for r in resample.bootstrap_moments(df, ["g"], "ret_net_bps", 6, 80).collect()}
+    assert len(moments) == 5 * 80
+    for key, drawn in draws.groupby(["g", "iter"]).ret_net_bps:
+        got, known = moments[key], drawn.dropna()
+        assert (got["mean"] is None) == known.empty and (got["sd"] is None) == (len(known) < 2)
+        assert known.empty or got["mean"] == pytest.approx(known.mean())
+        assert len(known) < 2 or got["sd"] == pytest.approx(known.std(), abs=1e-12)
+
+
+def test_registered_queries_draw_in_full(spark, monkeypatch):
+    from barline.plans.catalog import ORACLES, QUERIES, evaluation
+
+    seen = []
+    monkeypatch.setattr(evaluation.ev, "evaluate", lambda prepared, keys, specs, cfg: seen.append(cfg) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        QUERIES["evl_03_evaluate_rules"](spark, "/root/testdata/sf0.001")
+    assert (seen[0].permutation_iterations, seen[0].bootstrap_iterations, seen[0].n_folds) == (1000, 2000, 5)
+    draws = QUERIES["evl_10_stationary_bootstrap_draws_full"](spark, "/root/testdata/sf0.001")
+    assert draws.agg(F.countDistinct("iter")).first()[0] == 2000
+    assert "range(1000)" in ORACLES["evl_09_permutation_test_full"] and "/ 1001.0" in ORACLES["evl_09_permutation_test_full"]
+    for name in ("evl_10_stationary_bootstrap_draws", "evl_11_bootstrap_ci", "evl_12_sharpe_and_drawdown_ci", "udf_02_pluggable_statistic"):
+        assert "range(2000)" in ORACLES[f"{name}_full"] and "range(60)" not in ORACLES[f"{name}_full"]
+
+
 def test_trades_per_year(spark):
     df = spark.createDataFrame([(5, 0, 365 * DAY), (1, 0, 0), (4, 7, 7)], "n bigint, a bigint, b bigint")
     got = [r.t for r in df.select(labels.trades_per_year(F.col("n"), F.col("a"), F.col("b")).alias("t")).collect()]
