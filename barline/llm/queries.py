@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import archives, fingerprints, language_id, line_rules, mixing, near_dup, packing, quality_model, sharding, substring_dedup
+from barline.llm import (
+    archives,
+    fingerprints,
+    language_id,
+    licenses,
+    line_rules,
+    mixing,
+    near_dup,
+    packing,
+    quality_model,
+    sharding,
+    substring_dedup,
+)
 from barline.session import run_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -208,3 +220,35 @@ def op4_language_id(spark: SparkSession, sf: str) -> DataFrame:
         )
     )
     return language_id.identify(captures, models, carry=("doc_id", "page_id")).drop("event_id")
+
+
+def _license_sql(block: int = 64, stride: int = 32) -> str:
+    def words(t: licenses.Template, distinct: bool) -> str:
+        return "[" + ", ".join(f"'{w}'" for w in (dict.fromkeys(t.words) if distinct else t.words)) + "]"
+
+    rows = ", ".join(
+        f"('{t.label}', {t.phrase}, {100 if t.phrase else t.percent}, {words(t, True)}, {words(t, False)})" for t in licenses.TEMPLATES
+    )
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT * FROM (VALUES {rows}) AS v(label, phrase, percent, members, words)),
+b AS (SELECT r, unnest(range(CAST(greatest(0, ceil((len(w) - {block}) / {stride})) AS BIGINT) + 1)) AS k, w FROM d),
+s AS (SELECT r, list_distinct(w[k * {stride} + 1 : k * {stride} + {block}]) AS held FROM b),
+m AS (SELECT r, label, max(len(list_intersect(held, members)) / len(members)) AS share FROM s, t
+      WHERE NOT phrase AND 100 * len(list_intersect(held, members)) >= percent * len(members) GROUP BY 1, 2),
+p AS (SELECT r, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1 : i + len(words)] = words)) AS place FROM d, t WHERE phrase),
+f AS (SELECT r, label, true AS base, 1.0 AS share, count(*) AS n, min(place) AS lo, max(place) AS hi FROM p GROUP BY 1, 2
+      UNION ALL SELECT r, label, false, share, 0, NULL, NULL FROM m)
+SELECT any_value(doc_id) AS doc_id, CAST(any_value(len(w)) AS BIGINT) AS n_words, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_base,
+  CAST(min(lo) AS BIGINT) AS first_word, CAST(max(hi) AS BIGINT) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base), '') AS base_labels,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(CAST(max(share) AS DOUBLE), 0) AS score
+FROM d LEFT JOIN f USING (r) GROUP BY r"""
+
+
+@query("op13_license_scan", _license_sql())
+def op13_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    outputs = table(spark, sf, "documents").select(F.col("doc_id").alias("output_id"), F.col("text").alias("content"))
+    return licenses.scan(outputs).withColumnRenamed("output_id", "doc_id")
