@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barline.llm import (
+    alignment,
     archives,
     fingerprints,
     language_id,
@@ -252,3 +253,10 @@ FROM d LEFT JOIN f USING (r) GROUP BY r"""
 def op13_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     outputs = table(spark, sf, "documents").select(F.col("doc_id").alias("output_id"), F.col("text").alias("content"))
     return licenses.scan(outputs).withColumnRenamed("output_id", "doc_id")
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    outputs = table(spark, sf, "documents").select(F.col("doc_id").alias("output_id"), F.col("text").alias("content"))
+    names = {"output_id": "doc_id", "n_first": "n_a", "n_second": "n_b"}
+    return alignment.align(outputs, *alignment.default_vocabularies()).withColumnsRenamed(names)

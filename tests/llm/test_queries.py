@@ -17,12 +17,13 @@ COLUMNS = {
     "op7_substring_dedup": {"doc_id", "n_words", "n_removed", "kept_sha256"},
     "op8_fingerprints": {"doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"},
     "op9_quality_model": {"doc_id", "perplexity", "threshold", "kept"},
+    "op12_token_alignment": {"doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"},
     "op10_packing": {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"},
 }
 
 
 def test_all_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == sorted([*range(1, 11), 13])
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == sorted([*range(1, 11), 12, 13])
     assert {*QUERIES, "pipeline"} <= set(entry.queries())
     assert set(COLUMNS) | set(ORACLES) == set(QUERIES)
 
