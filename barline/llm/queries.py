@@ -11,6 +11,7 @@ from barline.llm import (
     alignment,
     archives,
     fingerprints,
+    hard_negatives,
     language_id,
     licenses,
     line_rules,
@@ -260,3 +261,28 @@ def op12_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
     outputs = table(spark, sf, "documents").select(F.col("doc_id").alias("output_id"), F.col("text").alias("content"))
     names = {"output_id": "doc_id", "n_first": "n_a", "n_second": "n_b"}
     return alignment.align(outputs, *alignment.default_vocabularies()).withColumnsRenamed(names)
+
+
+_HARD_SQL = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r, a.vec_id AS anchor_id, b.r AS o, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+      FROM v a, v b WHERE a.vec_id % 50 = 0 AND a.r <> b.r),
+p AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, id NULLS LAST) AS k FROM s WHERE same),
+n AS (SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+        row_number() OVER (PARTITION BY p.r, p.o ORDER BY s.score DESC, s.id NULLS LAST) AS rank
+      FROM p JOIN s ON p.r = s.r AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score WHERE k <= 5)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
+
+
+@query("op11_hard_negatives", _HARD_SQL)
+def op11_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    label = F.col("label").cast("bigint")
+    snapshots = table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("ts"),
+        F.col("embedding").alias("features"),
+        F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label).alias("regime"),
+    )
+    names = {"anchor_ts": "anchor_id", "positive_ts": "positive_id", "negative_ts": "negative_id"}
+    return hard_negatives.hard_negatives(snapshots, F.col("ts") % 50 == 0).withColumnsRenamed(names)
