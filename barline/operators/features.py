@@ -82,39 +82,53 @@ def pctile_expr(f: Frames, x, w: int) -> Column:
     return F.when(F.count(x).over(f.rows(w)) == w, at_most / F.lit(w) * 100.0)
 
 
+def _count_below(codes: np.ndarray, bits: int, lo: np.ndarray, hi: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """How many of codes[lo:hi] are below ``bound``, for each query.
+
+    A wavelet matrix: level by level, from the highest bit down, codes are split into those with a 0 and those with
+    a 1, and each query follows its bound. All queries take one step a level, so n of them cost n log n.
+    """
+    below = np.zeros(len(lo), np.int64)
+    for level in range(bits - 1, -1, -1):
+        one = (codes >> level) & 1
+        zeros = np.concatenate([[0], np.cumsum(one == 0)])
+        lo0, hi0 = zeros[lo], zeros[hi]
+        up = (bound >> level) & 1 == 1
+        below += np.where(up, hi0 - lo0, 0)
+        lo = np.where(up, zeros[-1] + lo - lo0, lo0)
+        hi = np.where(up, zeros[-1] + hi - hi0, hi0)
+        codes = np.concatenate([codes[one == 0], codes[one == 1]])
+    return below
+
+
+def _frame_counts(values: np.ndarray, w: int, inclusive: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the last w rows (fewer at the start): rows, values, and values below (or up to) the current one."""
+    n = len(values)
+    missing = np.isnan(values)
+    distinct, codes = np.unique(values[~missing], return_inverse=True)
+    code = np.full(n, len(distinct), np.int64)  # what is missing is above every value
+    code[~missing] = codes
+    hi = np.arange(1, n + 1)
+    lo = np.maximum(hi - w, 0)
+    seen = np.concatenate([[0], np.cumsum(~missing)])
+    bound = np.minimum(code + inclusive, len(distinct))
+    return hi - lo, seen[hi] - seen[lo], _count_below(code, len(distinct).bit_length(), lo, hi, bound)
+
+
 def _inclusive_rank(values: np.ndarray, w: int) -> np.ndarray:
     """100 * share of the last w values that are <= the current; NaN unless all present."""
-    out = np.full(len(values), np.nan)
-    if len(values) < w:
-        return out
-    view = np.lib.stride_tricks.sliding_window_view(values, w)
-    step = max(1, 4_000_000 // w)
-    for a in range(0, len(view), step):
-        part = view[a : a + step]
-        share = (part <= part[:, -1:]).sum(axis=1) / w * 100.0
-        share[np.isnan(part).any(axis=1)] = np.nan
-        out[a + w - 1 : a + w - 1 + len(part)] = share
-    return out
+    _, seen, below = _frame_counts(values, w, True)
+    return np.where(seen == w, below / w * 100.0, np.nan)
 
 
 def _strict_rank(values: np.ndarray, w: int, min_obs: int) -> np.ndarray:
     """Share of rows in the (possibly short) frame that are < the current value.
 
-    NaN unless the frame holds min_obs values; missing rows count in the divisor.
+    NaN unless the frame holds min_obs values; missing rows count in the divisor. A missing current value
+    is below nothing and has no values below it.
     """
-    n = len(values)
-    padded = np.concatenate([np.full(w - 1, np.nan), values])
-    view = np.lib.stride_tricks.sliding_window_view(padded, w)
-    rows = np.minimum(np.arange(n) + 1, w)
-    out = np.full(n, np.nan)
-    step = max(1, 4_000_000 // w)
-    for a in range(0, n, step):
-        part = view[a : a + step]
-        share = (part < part[:, -1:]).sum(axis=1) / rows[a : a + len(part)]
-        seen = (~np.isnan(part)).sum(axis=1)
-        share[seen < min_obs] = np.nan
-        out[a : a + len(part)] = share
-    return out
+    rows, seen, below = _frame_counts(values, w, False)
+    return np.where(seen >= min_obs, np.where(np.isnan(values), 0, below) / rows, np.nan)
 
 
 def add_ranks(
@@ -127,8 +141,8 @@ def add_ranks(
     """Add trailing percentile ranks {out: (column, window)} to an indexed frame.
 
     Long windows (a year of hours) would need one list per row; instead each block
-    goes with its halo to one Arrow batch and numpy ranks it. Outputs named in
-    ``strict_min_obs`` use the strict, short-frame form.
+    goes with its halo to one Arrow batch and is ranked there in n log n, whatever the
+    window. Outputs named in ``strict_min_obs`` use the strict, short-frame form.
     """
     strict = strict_min_obs or {}
     halo = max(w for _, w in ranks.values()) - 1
@@ -153,6 +167,27 @@ def add_ranks(
     return core_rows(parts.groupBy(*keys, BLK).applyInPandas(rank_block, schema))
 
 
+def _ewm_part(x: np.ndarray, decay: float) -> tuple[int, int, float, int, float, float]:
+    """A block as a step of a recursive mean: rows, values, the first value, missing rows before it and after the
+    last one, and (a, b) so that y at the end is a * y(first value) + b."""
+    at = np.flatnonzero(~np.isnan(x))
+    if not len(at):
+        return len(x), 0, np.nan, len(x), np.nan, np.nan
+    kept = decay ** np.diff(at).astype(float)
+    kept = kept / (kept + 1.0 - decay)
+    # y after each value, as a function of y at the first one
+    rest = pd.Series(np.append(0.0, x[at[0] + 1 :])).ewm(alpha=1.0 - decay, adjust=False).mean()
+    return int(at[0]), len(at), float(x[at[0]]), len(x) - 1 - int(at[-1]), float(np.prod(kept)), float(rest.iloc[-1])
+
+
+def _enter(y: float, gap: int, x: float, lead: int, decay: float) -> float:
+    """y at the first value x of a block, ``gap`` + ``lead`` missing rows after y; x itself if there was no y."""
+    if np.isnan(y):
+        return x
+    kept = decay ** (gap + lead + 1)
+    return (kept * y + (1.0 - decay) * x) / (kept + 1.0 - decay)
+
+
 def add_ewm(
     df: DataFrame,
     keys: Sequence[str],
@@ -163,21 +198,67 @@ def add_ewm(
 ) -> DataFrame:
     """Add recursive means y = (1 - alpha) y + alpha x seeded with the first value.
 
-    A value ``k`` rows back has weight (1 - alpha)^k. The halo is long enough for
-    that weight to fall under 1e-18, below what a double can hold next to 1, so a
-    block with its halo gives the value of the whole series.
+    A missing value leaves y as it is and lets its weight fall by 1 - alpha; y is null until ``min_periods`` values
+    were seen. Blocks are affine steps: each is summed up by (a, b) of y(end) = a y(first value) + b and by the
+    missing rows around its values; the steps are chained over the blocks of a key, one row per block, and each
+    block then starts from the y, the gap and the count that reach it. No block needs rows of another.
     """
-    halo = int(np.ceil(np.log(1e-18) / np.log(1.0 - alpha))) + min_periods
-    parts = blocks(df, before=halo, size=size)
-    schema = T.StructType([*parts.schema.fields, *[T.StructField(o, T.DoubleType()) for o in columns]])
+    keys, names, decay = list(keys), list(columns), 1.0 - alpha
+    parts = blocks(df, size=size)
+    source = list(dict.fromkeys(columns.values()))
+
+    def values(pdf: pd.DataFrame, col: str) -> np.ndarray:
+        return pdf[col].to_numpy(dtype=float, na_value=np.nan, copy=True)
+
+    fields = ("_lead", "_n", "_x", "_tail", "_a", "_b")
+
+    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(POS)
+        rows = [(c, *_ewm_part(values(pdf, c), decay)) for c in source]
+        out = pd.DataFrame(rows, columns=["_column", *fields])
+        return out.assign(**{BLK: pdf[BLK].iloc[0]}, **{k: [pdf[k].iloc[0]] * len(out) for k in keys})
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(BLK, ignore_index=True)
+        y, gap, seen, carried = np.nan, 0, 0, []
+        for r in pdf[list(fields)].itertuples(index=False):
+            lead, n, x, tail, a, b = r
+            carried.append((y, gap, seen))
+            if n:
+                y, gap, seen = a * _enter(y, gap, x, int(lead), decay) + b, int(tail), seen + int(n)
+            else:
+                gap += int(lead)
+        into = pd.DataFrame(carried, columns=["_y", "_gap", "_seen"])
+        return pd.concat([pdf[[*keys, BLK, "_column"]], into], axis=1)
 
-    def ewm_block(pdf: pd.DataFrame) -> pd.DataFrame:
+    def finish(pdf: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(POS, ignore_index=True)
+        into = {r["_column"]: r for r in carry.to_dict("records")}
         for out, col in columns.items():
-            pdf[out] = pdf[col].astype(float).ewm(alpha=alpha, adjust=False, min_periods=min_periods).mean()
+            x, c = values(pdf, col), into[col]
+            before = np.nan if c["_y"] is None else c["_y"]
+            at = np.flatnonzero(~np.isnan(x))
+            seen = c["_seen"] + np.cumsum(~np.isnan(x))
+            y = np.full(len(x), before)
+            if len(at):
+                x[at[0]] = _enter(before, c["_gap"], x[at[0]], int(at[0]), decay)
+                y[at[0] :] = pd.Series(x[at[0] :]).ewm(alpha=alpha, adjust=False).mean()
+            pdf[out] = np.where(seen >= min_periods, y, np.nan)
         return pdf
 
-    return core_rows(parts.groupBy(*keys, BLK).applyInPandas(ewm_block, schema))
+    def typed(*more: T.StructField) -> T.StructType:
+        return T.StructType([*[parts.schema[k] for k in keys], parts.schema[BLK], T.StructField("_column", T.StringType()), *more])
+
+    long, double = T.LongType(), T.DoubleType()
+    kinds = (long, long, double, long, double, double)
+    steps = parts.select(*keys, POS, BLK, *[c for c in source if c not in (*keys, POS)]).groupBy(*keys, BLK)
+    steps = steps.applyInPandas(summary, typed(*[T.StructField(f, k) for f, k in zip(fields, kinds)]))
+    carry = steps.groupBy(*keys, "_column").applyInPandas(
+        chain, typed(T.StructField("_y", double), T.StructField("_gap", long), T.StructField("_seen", long))
+    )
+    schema = T.StructType([*parts.schema.fields, *[T.StructField(o, double) for o in names]])
+    done = parts.groupBy(*keys, BLK).cogroup(carry.groupBy(*keys, BLK)).applyInPandas(finish, schema)
+    return core_rows(done)
 
 
 def add_arrow(

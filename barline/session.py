@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int | str = "*", app: str = "barline", shuffle_partitions: int = 8) -> SparkSession:
+def local_session(cpus: int | str = "*", app: str = "barline", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """Single-JVM session for tests and the bench. A cluster brings its own session."""
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -25,19 +27,27 @@ def local_session(cpus: int | str = "*", app: str = "barline", shuffle_partition
     )
 
 
+#: folders made for single-machine sessions, by application
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder that driver and executors share for intermediate tables.
 
     ``spark.checkpoint.dir`` names it, or else ``SparkContext.setCheckpointDir``. A cluster without either
     is refused, since executors would write to disks of their own; a single-machine session (tests, laptop
-    runs) gets a temporary folder.
+    runs) gets a temporary folder, which goes when Python ends. The setting itself cannot be changed in a
+    running session, so that folder is kept here.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="barline-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_ROOTS:
+            _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="barline-ckpt-")
+            atexit.register(shutil.rmtree, _LOCAL_ROOTS[app], ignore_errors=True)
+        root = _LOCAL_ROOTS[app]
     return root
 
 

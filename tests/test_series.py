@@ -211,3 +211,56 @@ def test_events_go_by_the_start_of_the_series(spark):
     got = asof.place_events(bars, ["k"], events, h, ["mint"]).collect()
     # 01:15 belongs to the bar of 00:30; 00:15 is before the series
     assert {(r.k, r.pos): r.ev_mint for r in got} == {(k, n): 5.0 if n == 0 else None for k in ("a", None) for n in range(3)}
+
+
+def plain_ewm(x, alpha, min_periods):
+    out, y, weight, seen = [], None, 1.0, 0
+    for v in x:
+        if y is not None:
+            weight *= 1 - alpha
+        if v is not None:
+            y = v if y is None else (weight * y + alpha * v) / (weight + alpha)
+            weight, seen = 1.0, seen + 1
+        out.append(y if seen >= min_periods else None)
+    return out
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 500, 5000])
+def test_recursive_means_cross_long_runs_of_nulls(spark, size):
+    rng = np.random.default_rng(2)
+    series = {
+        "ends": [float(v) if k < 50 or k >= 2901 else None for k, v in enumerate(rng.normal(size=3000))],
+        "late": [None] * 700 + rng.normal(size=300).tolist(),
+        "none": [None] * 40,
+        "holes": [None if h else float(v) for v, h in zip(rng.normal(5, 1, 400), rng.random(400) < 0.4)],
+        None: [1.0, None, 3.0, 4.0],
+    }
+    if size == 1:
+        series = {k: v[:60] for k, v in series.items()}
+    rows = [(k, p, v, None if v is None else -v) for k, s in series.items() for p, v in enumerate(s)]
+    df = spark.createDataFrame(rows, "k string, pos bigint, x double, z double")
+    got = ft.add_ewm(df, ["k"], {"o": "x", "q": "z", "o2": "x"}, 1 / 14, 14, size=size).collect()
+    assert len(got) == len(rows)
+    for k, s in series.items():
+        mine = sorted((r for r in got if r["k"] == k), key=lambda r: r["pos"])
+        want = plain_ewm(s, 1 / 14, 14)
+        assert [r["o"] is None for r in mine] == [w is None for w in want], k
+        assert [r["o"] for r in mine if r["o"] is not None] == pytest.approx([w for w in want if w is not None], rel=1e-12)
+        assert all(r["o"] == r["o2"] and (r["o"] is None or r["q"] == pytest.approx(-r["o"])) for r in mine)
+
+
+def test_ranks_count_ties_and_missing_values():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        n, w = rng.integers(1, 60), int(rng.integers(1, 20))
+        v = rng.integers(0, 8, n).astype(float)
+        v[rng.random(n) < rng.choice([0, 0.1, 0.5])] = np.nan
+        least = int(rng.integers(1, w + 1))
+        inclusive, strict = [], []
+        for k in range(n):
+            part = v[max(0, k - w + 1) : k + 1]
+            seen = (~np.isnan(part)).sum()
+            inclusive.append((part <= v[k]).sum() / w * 100 if seen == w else np.nan)
+            strict.append((part < v[k]).sum() / len(part) if seen >= least else np.nan)
+        np.testing.assert_array_equal(ft._inclusive_rank(v, w), inclusive)
+        np.testing.assert_array_equal(ft._strict_rank(v, w, least), strict)

@@ -1,5 +1,8 @@
 """Where intermediate tables go."""
 
+import os
+import subprocess
+import sys
 from types import SimpleNamespace
 
 import pytest
@@ -7,14 +10,9 @@ import pytest
 from barline.session import checkpoint_root
 
 
-class Conf(dict):
-    def set(self, key, value):
-        self[key] = value
-
-
 def session(master, conf=(), context_dir=None):
-    context = SimpleNamespace(master=master, getCheckpointDir=lambda: context_dir)
-    return SimpleNamespace(sparkContext=context, conf=Conf(conf))
+    context = SimpleNamespace(master=master, getCheckpointDir=lambda: context_dir, applicationId=f"app-{master}")
+    return SimpleNamespace(sparkContext=context, conf=dict(conf))
 
 
 @pytest.mark.parametrize("master", ["yarn", "spark://host:7077", "k8s://host", "local-cluster[2,1,1024]"])
@@ -29,3 +27,18 @@ def test_a_cluster_names_its_folder(master):
 def test_one_machine_makes_a_folder_once(master):
     spark = session(master)
     assert checkpoint_root(spark) == checkpoint_root(spark)
+
+
+def test_a_real_session_without_the_setting(tmp_path):
+    code = (
+        "from barline.session import local_session, materialize; s = local_session(1);"
+        "assert s.conf.get('spark.checkpoint.dir', None) is None; print('rows', materialize(s.range(3), 'x').count())"
+    )
+    done = subprocess.run(
+        [sys.executable, "-c", code],
+        capture_output=True,
+        text=True,
+        timeout=120,
+        env=os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": os.getcwd()},
+    )
+    assert "rows 3" in done.stdout, done.stderr[-2000:]
