@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,18 +88,24 @@ def norm_ppf(p: Column) -> Column:
 PRIME = 2_147_483_647
 
 
-def portable_hash(a: Column, b: Column, seed: int) -> Column:
-    """Hash of two non-negative integers to [0, 2^31 - 1).
+def _mixed(a, b, seed: int):
+    """The arithmetic of ``portable_hash``, on columns and on numpy integers alike."""
+    m = PRIME
+    u = (a * 48271 + b * 69621 + (seed * 16807 + 101)) % m
+    v = (a * 40692 + b * 39373 + (seed * 48271 + 4099)) % m
+    h = (u * v + b) % m
+    return (((h + u) % m) * ((h + v) % m) + a) % m
+
+
+def portable_hash(a, b, seed: int):
+    """Hash of two non-negative integers to [0, 2^31 - 1), of columns or of numpy arrays.
 
     Plain 64-bit integer arithmetic, so any SQL engine gives the same draw and a
     retried task repeats it. ``portable_hash_sql`` is the same rule as SQL text.
     """
-    a, b = a.cast("bigint"), b.cast("bigint")
-    m = F.lit(PRIME)
-    u = (a * 48271 + b * 69621 + F.lit(seed * 16807 + 101).cast("bigint")) % m
-    v = (a * 40692 + b * 39373 + F.lit(seed * 48271 + 4099).cast("bigint")) % m
-    h = (u * v + b) % m
-    return (((h + u) % m) * ((h + v) % m) + a) % m
+    if isinstance(a, Column) or isinstance(b, Column):
+        return _mixed(F.lit(a).cast("bigint"), F.lit(b).cast("bigint"), seed)
+    return _mixed(np.asarray(a, np.int64), np.asarray(b, np.int64), seed)
 
 
 def portable_hash_sql(a: str, b: str, seed: int) -> str:
@@ -109,6 +116,19 @@ def portable_hash_sql(a: str, b: str, seed: int) -> str:
     return f"(((({h} + {u}) % {m}) * (({h} + {v}) % {m}) + ({a})::BIGINT) % {m})"
 
 
+#: how far apart the seeds of the two halves of a wide hash are
+_WIDE = 104_729
+
+
+def wide_hash(a, b, seed: int):
+    """Hash of two non-negative integers to [0, (2^31 - 1)^2), about 62 bits; as ``portable_hash``."""
+    return portable_hash(a, b, seed) * PRIME + portable_hash(a, b, seed + _WIDE)
+
+
+def wide_hash_sql(a: str, b: str, seed: int) -> str:
+    return f"({portable_hash_sql(a, b, seed)} * {PRIME} + {portable_hash_sql(a, b, seed + _WIDE)})"
+
+
 def uniform(a: Column, b: Column, seed: int) -> Column:
     """Uniform double in [0, 1) from ``portable_hash``."""
     return portable_hash(a, b, seed) / F.lit(float(PRIME))

@@ -1,22 +1,27 @@
 """Block permutation test and stationary bootstrap, parallel over iterations.
 
-Draws come from ``portable_hash`` of (iteration, index), so they do not depend on
-partitioning and a retried task repeats them. Only what a draw needs is exploded:
-iterations x blocks for the permutation, iterations x runs for the bootstrap. Mean and Sharpe
-come from prefix sums at the ends of the runs; other statistics read the drawn series.
+Draws come from hashes of (iteration, index), so they do not depend on partitioning and a
+retried task repeats them. Only what a draw needs is made: iterations x fired blocks for the
+permutation, iterations x runs for the bootstrap. Statistics of drawn series that are mergeable
+(mean, Sharpe, drawdown, extremes) come from a tree of summaries over the series; only others
+read the drawn series.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from barline.functions.normal import PRIME, portable_hash
-from barline.operators.series import running
-from barline.operators.stats import max_drawdown
+from barline.functions.normal import PRIME, portable_hash, portable_hash_sql, wide_hash, wide_hash_sql
+from barline.operators.stats import max_drawdown, merge_drawdowns
+from barline.session import materialize
 
 
 def _iterations(n: int) -> Column:
@@ -27,12 +32,48 @@ def _spread(df: DataFrame, *cols: str) -> DataFrame:
     """Hash-partition few driver rows before each of them is exploded.
 
     The count is explicit because adaptive execution would merge the (still tiny)
-    partitions into one task; the window that follows reuses this partitioning.
+    partitions into one task.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *cols)
 
 
+#: rounds of the block shuffle
+ROUNDS = 24
+
+
+def _round_seeds(seed: int, r: int) -> tuple[int, int]:
+    return seed + 15_485_863 + r, seed + 32_452_843 * (r + 1)
+
+
+def shuffled_place(iteration: np.ndarray, block: np.ndarray, n: np.ndarray, seed: int) -> np.ndarray:
+    """Place of a block after the n blocks are shuffled: a bijection of 0 to n - 1 for each iteration.
+
+    A swap-or-not shuffle, which fits any n: each round pairs x with key - x (mod n) and a hashed bit, the same
+    for both, tells whether they change places. A place takes no knowledge of the other blocks.
+    """
+    iteration, x, n = (np.asarray(v, np.int64) for v in (iteration, block, n))
+    for r in range(ROUNDS):
+        key, bit = _round_seeds(seed, r)
+        other = (wide_hash(iteration, r, key) % n - x + n) % n
+        x = np.where(portable_hash(iteration, np.maximum(x, other), bit) % 2 == 1, other, x)
+    return x
+
+
+def shuffled_place_sql(source: str, iteration: str, block: str, n: str, seed: int, out: str) -> str:
+    """``source`` (a table or subquery) with the column ``out``: the same shuffle as SQL text."""
+    sql = f"SELECT *, CAST({block} AS BIGINT) AS {out} FROM {source}"
+    for r in range(ROUNDS):
+        key, bit = _round_seeds(seed, r)
+        other = f"({wide_hash_sql(iteration, str(r), key)} % {n} - {out} + {n}) % {n}"
+        swap = portable_hash_sql(iteration, f"greatest({out}, _other)", bit)
+        sql = (
+            f"SELECT * EXCLUDE ({out}, _other), CASE WHEN {swap} % 2 = 1 THEN _other ELSE {out} END AS {out} "
+            f"FROM (SELECT *, {other} AS _other FROM ({sql}))"
+        )
+    return sql
+
+
 def permutation_test(
     fires: DataFrame,
     labels: DataFrame,
@@ -51,53 +92,50 @@ def permutation_test(
     label; rules that share a series share its labels. Fires are cut in blocks of
     ``block_len`` bars (a number, or a column of ``fires`` constant per group), the
     blocks are shuffled, what lands behind the end of the series is cut off, and the
-    mean label at the moved fires is the null value of an iteration.
+    mean label at the moved fires is the null value of an iteration. The place of a
+    block is computed from its number alone, so blocks without fires are never made.
 
     p = (1 + #{null >= observed}) / (iterations + 1). Groups none of whose fires has a
-    label give no row; ``no_fire_result`` adds them.
+    label give no row; ``no_fire_result`` adds them. A null key is a key like any other.
     """
-    group, label_group = list(group), list(label_group)
     blen = F.lit(block_len) if isinstance(block_len, int) else F.col(block_len)
-    marks = fires.select(*group, F.col(pos).alias("_p"), F.greatest(blen, F.lit(1)).cast("bigint").alias("_l"))
-    series = labels.select(*label_group, F.col(pos).alias("_p"), F.col(label).alias("_y"))
+    by, of = F.struct(*group).alias("_g"), F.struct(*label_group).alias("_s")
+    marks = fires.select(by, of, F.col(pos).alias("_p"), F.greatest(blen, F.lit(1)).cast("bigint").alias("_l"))
+    series = labels.select(of, F.col(pos).alias("_p"), F.col(label).alias("_y"))
     known = series.filter(F.col("_y").isNotNull())
-    hits = marks.join(known, [*label_group, "_p"])
-    sizes = series.groupBy(*label_group).agg((F.max("_p") + 1).alias("_n"))
-    head = (
-        hits.groupBy(*group)
-        .agg(F.max("_l").alias("_len"), F.avg("_y").alias("observed"), F.count(F.lit(1)).alias("fires"))
-        .join(sizes, label_group)
+    hits = marks.join(known, ["_s", "_p"])
+    sizes = series.groupBy("_s").agg((F.max("_p") + 1).alias("_n"))
+    head = hits.groupBy("_g").agg(F.avg("_y").alias("observed"), F.count(F.lit(1)).alias("fires"))
+
+    @F.pandas_udf("bigint")
+    def place(iteration: pd.Series, block: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series(shuffled_place(iteration.to_numpy(), block.to_numpy(), n.to_numpy(), seed))
+
+    fired = hits.groupBy("_g", "_s", "_l", F.floor(F.col("_p") / F.col("_l")).cast("bigint").alias("_b")).agg(
+        F.collect_list(F.col("_p") % F.col("_l")).alias("_offsets")
     )
-    n_blocks = F.ceil(F.col("_n") / F.col("_len")).cast("bigint")
+    n_blocks = F.ceil(F.col("_n") / F.col("_l")).cast("bigint")
     moved = (
-        _spread(head.select(*group, "_n", "_len", _iterations(iterations), n_blocks.alias("_k")), *group, "iter")
-        .withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_k") - 1)))
-        .withColumn("_h", portable_hash(F.col("iter"), F.col("_b"), seed))
-        .withColumn("_nb", F.row_number().over(W.partitionBy(*group, "iter").orderBy("_h", "_b")) - 1)
-        .select(*group, "iter", "_n", "_len", "_b", "_nb")
-    )
-    fire_rows = hits.select(
-        *group, F.floor(F.col("_p") / F.col("_l")).cast("bigint").alias("_b"), (F.col("_p") % F.col("_l")).alias("_o")
-    )
-    landed = (
-        moved.join(fire_rows, [*group, "_b"])
-        .withColumn("_p", F.col("_nb") * F.col("_len") + F.col("_o"))
-        .filter(F.col("_p") < F.col("_n"))
-        .select(*group, "iter", "_p")
+        _spread(fired.join(sizes, "_s"), "_g", "_b")
+        .select("_g", "_s", "_l", "_b", "_n", "_offsets", _iterations(iterations))
+        .withColumn("_at", place("iter", "_b", n_blocks) * F.col("_l"))
     )
-    drawn = landed.join(known, [*label_group, "_p"]).groupBy(*group, "iter").agg(F.avg("_y").alias("_null"))
+    landed = moved.withColumn("_o", F.explode("_offsets")).withColumn("_p", F.col("_at") + F.col("_o")).filter("_p < _n")
+    landed = landed.select("_g", "_s", "iter", "_p")
+    drawn = landed.join(known, ["_s", "_p"]).groupBy("_g", "iter").agg(F.avg("_y").alias("_null"))
     nulls = (
-        head.select(*group, "fires", "observed", _iterations(iterations))
-        .join(drawn, [*group, "iter"], "left")
+        head.select("_g", "fires", "observed", _iterations(iterations))
+        .join(drawn, ["_g", "iter"], "left")
         .withColumn("_null", F.coalesce("_null", F.lit(0.0)))
     )
-    return nulls.groupBy(*group).agg(
+    result = nulls.groupBy("_g").agg(
         F.max("fires").alias("fires"),
         F.max("observed").alias("observed_ev_bps"),
         ((F.count(F.when(F.col("_null") >= F.col("observed"), 1)) + 1) / F.lit(iterations + 1.0)).alias("p_value"),
         F.avg("_null").alias("null_mean"),
         F.coalesce(F.stddev_samp("_null"), F.lit(0.0)).alias("null_std"),
     )
+    return result.select("_g.*", *[c for c in result.columns if c != "_g"])
 
 
 def no_fire_result(groups: DataFrame, result: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -109,33 +147,236 @@ def no_fire_result(groups: DataFrame, result: DataFrame, group: Sequence[str]) -
     )
 
 
+#: positions that are drawn together; what a task makes at once is in proportion
+SEGMENT = 1 << 16
+
+#: runs that one step makes
+_STEP_RUNS = 1 << 17
+
+_SPAN = float(PRIME) * PRIME
+
+
+def _run_starts(it: np.ndarray, segment: np.ndarray, n: np.ndarray, p: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, position) of the run starts in a segment of each row, in order.
+
+    The gaps between starts are geometric, so they are drawn directly, by counter: the number of a gap in its segment
+    and the segment make the hash. A gap does not remember what came before, so segments are drawn by themselves.
+    """
+    begin = segment * SEGMENT
+    end = np.minimum(n, begin + SEGMENT)
+    with np.errstate(divide="ignore"):
+        decay = np.log(1.0 - p)  # -inf where every position starts a run
+    rows, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    live, at, j = np.arange(len(it)), begin - 1, 0
+    while len(live):
+        width = int(np.max((end - at)[live] * p[live]) * 1.1) + 16
+        count = j + np.arange(width)
+        u = (wide_hash(it[live, None], begin[live, None] + count, seed) + 1.0) / _SPAN
+        gap = np.floor(np.log(u) / decay[live, None]).astype(np.int64)
+        # position 0 always starts one
+        gap[(segment[live] == 0)[:, None] & (count == 0)] = 0
+        place = at[live, None] + np.cumsum(1 + gap, axis=1)
+        r, c = np.nonzero(place < end[live, None])
+        rows.append(live[r])
+        places.append(place[r, c])
+        at[live] = place[:, -1]
+        live, j = live[at[live] < end[live]], j + width
+    rows, places = np.concatenate(rows), np.concatenate(places)
+    order = np.lexsort((places, rows))
+    return rows[order], places[order]
+
+
+def _segment_runs(it: np.ndarray, segment: np.ndarray, n: np.ndarray, p: np.ndarray, seed: int) -> tuple[np.ndarray, ...]:
+    """(row, t, len, start) of the runs of a segment; one that comes in from before goes on from the segment's border."""
+    row, t = _run_starts(it, segment, n, p, seed)
+    begin = segment * SEGMENT
+    origin = t
+    first = np.full(len(it), -1)
+    first[row[::-1]] = t[::-1]
+    late = np.flatnonzero(first != begin)  # never in segment 0
+    if len(late):
+        since, rest, back = np.zeros(len(it), np.int64), late, segment[late] - 1
+        while len(rest):
+            r, s = _run_starts(it[rest], back, n[rest], p[rest], seed)
+            found = np.full(len(rest), -1)
+            found[r] = s  # the last one stays
+            since[rest] = found
+            rest, back = rest[found < 0], back[found < 0] - 1
+        row, t, origin = np.concatenate([late, row]), np.concatenate([begin[late], t]), np.concatenate([since[late], origin])
+        order = np.lexsort((t, row))
+        row, t, origin = row[order], t[order], origin[order]
+    following = np.append(t[1:], 0)
+    last = np.append(row[1:] != row[:-1], True)[: len(row)]
+    following[last] = np.minimum(n, begin + SEGMENT)[row[last]]
+    start = (wide_hash(it[row], origin, seed + 7919) % n[row] + t - origin) % n[row]
+    return row, t, following - t, start
+
+
+def _nodes(row: np.ndarray, t: np.ndarray, length: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, t, level, node) of the aligned pieces that make up runs: node b of level k is [b 2^k, (b + 1) 2^k)."""
+    wraps = np.flatnonzero(start + length > n[row])
+    a = np.concatenate([start, np.zeros(len(wraps), np.int64)])
+    b = np.concatenate([np.minimum(start + length, n[row]), (start + length - n[row])[wraps]])
+    t = np.concatenate([t, t[wraps] + (n[row] - start)[wraps]])
+    row = np.concatenate([row, row[wraps]])
+    out = [[np.zeros(0, np.int64)] for _ in range(4)]
+    level, lo, hi = 0, a, b
+    while len(row):
+        for here, node in ((lo % 2 == 1, lo), (hi % 2 == 1, hi - 1)):
+            here = here & (lo < hi)
+            for part, v in zip(out, (row[here], (t - a)[here] + (node[here] << level), np.full(here.sum(), level), node[here])):
+                part.append(v)
+        lo, hi, level = (lo + 1) // 2, hi // 2, level + 1
+        on = lo < hi
+        row, t, a, lo, hi = row[on], t[on], a[on], lo[on], hi[on]
+    return tuple(np.concatenate(p) for p in out)
+
+
+def _drawn(sizes: DataFrame, group: Sequence[str], avg_block: float | str, iterations: int, seed: int, nodes: bool) -> DataFrame:
+    mean_len = F.lit(float(avg_block)) if isinstance(avg_block, int | float) else F.col(avg_block).cast("double")
+    chance = 1.0 / F.greatest(mean_len, F.lit(1.0))
+    rows = _spread(sizes.select(F.struct(*group).alias("_g"), "n", chance.alias("_p"), _iterations(iterations)), "_g", "iter")
+    last = F.floor((F.col("n") - 1) / F.lit(SEGMENT)).cast("bigint")
+    rows = rows.select("_g", "iter", "n", "_p", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("_segment"))
+    names = ("t", "_level", "_node") if nodes else ("t", "len", "start")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            it, n, p, segment = (batch.column(k).to_numpy() for k in (1, 2, 3, 4))
+            step = max(1, int(_STEP_RUNS / max(1.0, (np.minimum(n, SEGMENT) * p).max(initial=1.0))))
+            for lo in range(0, len(it), step):
+                cut = slice(lo, lo + step)
+                row, t, length, start = _segment_runs(it[cut], segment[cut], n[cut], p[cut], seed)
+                made = _nodes(row, t, length, start, n[cut]) if nodes else (row, t, length, start)
+                index = pa.array(made[0] + lo)
+                columns = [batch.column(k).take(index) for k in range(3)] + [pa.array(v) for v in made[1:]]
+                yield pa.RecordBatch.from_arrays(columns, names=["_g", "iter", "n", *names])
+
+    fields = [T.StructField(c, T.LongType()) for c in ("iter", "n", *names)]
+    return rows.mapInArrow(draw, T.StructType([rows.schema["_g"], *fields]))
+
+
 def bootstrap_runs(
     sizes: DataFrame, group: Sequence[str], avg_block: float | str, iterations: int, seed: int
 ) -> DataFrame:
-    """Runs of a stationary bootstrap: (group, iter, t, len, start) for n positions.
+    """Runs of a stationary bootstrap: (group, iter, t, n, len, start) for n positions.
 
     Position 0 and, with chance 1 / avg_block, any other position starts a run at a
-    random index; the run then walks on (wrapping) until the next start. Only run
-    starts survive the filter, about n / avg_block rows per iteration.
+    random index; the run then walks on (wrapping) until the next start. Gaps between
+    starts are drawn, not positions: about n / avg_block rows per iteration, and one more
+    at every border of 65,536 positions, where the run that comes in is cut in two.
     """
-    group = list(group)
-    mean_len = F.lit(float(avg_block)) if isinstance(avg_block, int | float) else F.col(avg_block).cast("double")
-    threshold = F.lit(float(PRIME)) / F.greatest(mean_len, F.lit(1.0))
-    starts = (
-        _spread(
-            sizes.select(*group, F.col("n").alias("_n"), threshold.alias("_th"), _iterations(iterations)),
-            *group,
-            "iter",
-        )
-        .withColumn("t", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
-        .filter((F.col("t") == 0) | (portable_hash(F.col("iter"), F.col("t"), seed) < F.col("_th")))
-        .withColumn("start", portable_hash(F.col("iter"), F.col("t"), seed + 7919) % F.col("_n"))
-    )
-    nxt = F.lead("t").over(W.partitionBy(*group, "iter").orderBy("t"))
-    return starts.select(
-        *group, "iter", "t", F.col("_n").alias("n"), (F.coalesce(nxt, F.col("_n")) - F.col("t")).alias("len"), "start"
+    runs = _drawn(sizes, group, avg_block, iterations, seed, nodes=False)
+    return runs.select("_g.*", "iter", "t", "n", "len", "start")
+
+
+def bootstrap_runs_sql(sizes: str, key: str, avg_block: float, iterations: int, seed: int = 0) -> str:
+    """The same runs as SQL text, of a table ``sizes`` (key, n) with n up to 65,536: (key, n, it, t, len, start)."""
+    decay = repr(float(np.log(1.0 - 1.0 / avg_block)))
+    gap = f"CAST(floor(ln((CAST({wide_hash_sql('it', 'j', seed)} AS DOUBLE) + 1.0::DOUBLE) / {_SPAN!r}::DOUBLE) / ({decay})::DOUBLE) AS BIGINT)"
+    # a good third more gaps than are needed, and some
+    return f"""SELECT {key}, n, it, t, lead(t, 1, n) OVER (PARTITION BY {key}, it ORDER BY t) - t AS len, {wide_hash_sql("it", "t", seed + 7919)} % n AS start
+  FROM (SELECT {key}, n, it, CAST(sum(CASE WHEN j = 0 THEN 0 ELSE 1 + {gap} END) OVER (PARTITION BY {key}, it ORDER BY j) AS BIGINT) AS t
+    FROM {sizes}, (SELECT unnest(range({iterations})) AS it) i, LATERAL (SELECT unnest(range(least(n, n * 4 // {3 * int(avg_block)} + 200))) AS j) jj)
+  WHERE t < n"""
+
+
+@dataclass(frozen=True)
+class Summary:
+    """A summary of a piece of a series, which two neighbours make one of.
+
+    ``leaf`` gives the columns of single values (NaN = missing), ``merge`` those of left and right pieces, and
+    ``finish`` the result (keys, stat) of pieces (keys, t, columns) that follow one another along t.
+    """
+
+    columns: tuple[str, ...]
+    leaf: Callable[[np.ndarray], tuple[np.ndarray, ...]]
+    merge: Callable[[tuple[np.ndarray, ...], tuple[np.ndarray, ...]], tuple[np.ndarray, ...]]
+    finish: Callable[[DataFrame, Sequence[str]], DataFrame]
+
+
+#: levels of a tree that one task makes
+_LEVELS = 16
+
+
+def summary_tree(values: DataFrame, group: Sequence[str], value: str, summary: Summary, seq: str = "seq") -> DataFrame:
+    """Summaries of all aligned pieces of each series: (_g, _level, _node, columns), about two rows per value.
+
+    Node b of level k sums up the positions from b 2^k to (b + 1) 2^k, if the series has them all. A task makes
+    16 levels over 65,536 nodes; the tops of those are the leaves of the next 16 levels.
+    """
+    columns = list(summary.columns)
+    rows = values.select(F.struct(*group).alias("_g"), F.col(seq).cast("bigint").alias("_node"), F.col(value).cast("double").alias("_x"))
+    schema = T.StructType(
+        [
+            rows.schema["_g"],
+            T.StructField("_level", T.LongType()),
+            T.StructField("_node", T.LongType()),
+            *[T.StructField(c, T.DoubleType()) for c in columns],
+        ]
     )
 
+    def grow(base: int):
+        def run(piece: pa.Table) -> pa.Table:
+            piece = piece.sort_by("_node")
+            first = piece.column("_node")[0].as_py()
+            take = lambda c: piece.column(c).to_numpy().astype(float)
+            level = summary.leaf(take("_x")) if base == 0 else tuple(take(c) for c in columns)
+            parts, number, node = [(base, first, level)] if base == 0 else [], base, first
+            while len(level[0]) > 1 and number < base + _LEVELS:
+                pairs = len(level[0]) // 2
+                level = summary.merge(tuple(v[: 2 * pairs : 2] for v in level), tuple(v[1 : 2 * pairs : 2] for v in level))
+                number, node = number + 1, node // 2
+                parts.append((number, node, level))
+            counts = [len(v[0]) for *_, v in parts]
+            key = piece.column("_g").take(pa.array(np.zeros(sum(counts), np.int64)))
+            levels = np.repeat(np.array([k for k, _, _ in parts], np.int64), counts)
+            nodes = np.concatenate([b + np.arange(n) for (_, b, _), n in zip(parts, counts)] or [np.zeros(0, np.int64)])
+            out = {"_g": key, "_level": pa.array(levels), "_node": pa.array(nodes.astype(np.int64))}
+            for k, c in enumerate(columns):
+                out[c] = pa.array(np.concatenate([v[k] for *_, v in parts] or [np.zeros(0)]), from_pandas=True)
+            return pa.table(out)
+
+        return run
+
+    above = F.shiftright("_node", _LEVELS)
+    tree = materialize(rows.groupBy("_g", above.alias("_top")).applyInArrow(grow(0), schema), "tree")
+    parts, base = [tree], _LEVELS
+    while tree.filter((F.col("_level") == base) & (F.col("_node") > 0)).head(1):
+        tops = tree.filter(F.col("_level") == base)
+        tree = materialize(tops.groupBy("_g", above.alias("_top")).applyInArrow(grow(base), schema), "tree")
+        parts.append(tree)
+        base += _LEVELS
+    for part in parts[1:]:
+        parts[0] = parts[0].unionByName(part)
+    return parts[0]
+
+
+def bootstrap_summaries(
+    values: DataFrame,
+    group: Sequence[str],
+    value: str,
+    summary: Summary,
+    avg_block: float | str,
+    iterations: int,
+    seed: int = 0,
+    seq: str = "seq",
+) -> DataFrame:
+    """A mergeable statistic of every resampled series, without drawing it: (group, iter, stat).
+
+    A run is a few pieces of the series' tree, two per level at most, so its summary takes logarithmic time.
+    """
+    tree = summary_tree(values, group, value, summary, seq)
+    extra = [] if isinstance(avg_block, int | float) else [F.max(avg_block).alias(avg_block)]
+    sizes = values.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), *extra)
+    pieces = _drawn(sizes, group, avg_block, iterations, seed, nodes=True)
+    # met by one number, which is much quicker to look up than a key of several columns
+    key = F.xxhash64("_g", "_level", "_node").alias("_h")
+    there = tree.select(key, F.struct("_g", "_level", "_node").alias("_of"), *summary.columns)
+    same = F.struct(*[F.col(c) for c in ("_g", "_level", "_node")]) == F.col("_of")
+    met = pieces.select("*", key).join(there, "_h").filter(same).select("_g", "iter", "t", *summary.columns)
+    return summary.finish(met, ["_g", "iter"]).drop("t").select("_g.*", "*").drop("_g")
+
 
 def bootstrap_draws(
     values: DataFrame,
@@ -171,50 +412,45 @@ def bootstrap_moments(
 ) -> DataFrame:
     """Mean and sample deviation of every resampled series: (group, iter, mean, sd).
 
-    No draw is written out: a run's sums are the difference of the prefix sums at its two ends, so an
-    iteration takes two rows a run. Values count from the mean of their series, which keeps the differences
-    exact to about 1e-16 of the whole; a variance under 1e-14 of the series' own is none.
+    Count, sum and sum of squares of a run come from the series' tree. Values count from the mean of their series,
+    so no digits cancel; a variance under 1e-14 of the series' own is none. Missing values count in neither.
     """
     group = list(group)
-    extra = [] if isinstance(avg_block, int | float) else [F.max(avg_block).alias(avg_block)]
     x = F.col(value).cast("double")
-    sizes = values.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), *extra)
-    whole = values.groupBy(*group).agg(F.avg(x).alias("_m"), F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    whole = values.groupBy(*group).agg(
+        F.avg(x).alias("_m"), F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.var_samp(x).alias("_v")
+    )
+    whole = whole.select(F.struct(*group).alias("_g"), "_m", "_lo", "_hi", "_v")
     # equal values are 0 exactly, whatever their mean is rounded to
     off = F.when(F.col("_lo") < F.col("_hi"), x - F.col("_m")).otherwise(x - F.col("_lo"))
-    rows = values.join(whole, group).select(*group, F.col(seq).cast("bigint").alias("_i"), off.alias("_d"))
-    bucket = F.floor(F.col("_i") / F.lit(65_536)).cast("bigint")
-    d = F.coalesce("_d", F.lit(0.0))
-    there = F.col("_d").isNotNull().cast("bigint")
-    upto = running(rows, group, "_i", bucket, {"_p0": ("sum", there), "_p1": ("sum", d), "_p2": ("sum", d * d)})
-    # the sums before a position; at n, those of the whole series
-    before = upto.select(*group, (F.col("_i") + 1).alias("_i"), "_p0", "_p1", "_p2")
-    runs = bootstrap_runs(sizes, group, avg_block, iterations, seed)
-    n, start, end = F.col("n"), F.col("start"), F.col("start") + F.col("len")
-    point = lambda at, times: F.struct(at.cast("bigint").alias("_i"), times.cast("bigint").alias("_w"))
-    points = F.array(point(end % n, F.lit(1)), point(start, F.lit(-1)), point(n, F.floor(end / n)))
-    # nothing stands before position 0, and most runs end before the series does
-    points = F.filter(points, lambda p: (p["_i"] > 0) & (p["_w"] != 0))
-    ends = runs.select(*group, "iter", F.explode(points).alias("_e")).select(*group, "iter", "_e._i", "_e._w")
-    sums = (
-        ends.join(before, [*group, "_i"])
-        .groupBy(*group, "iter")
-        .agg(*(F.sum(F.col("_w") * F.col(f"_p{k}")).alias(f"_s{k}") for k in range(3)))
-    )
-    spread = rows.groupBy(*group).agg(F.var_samp("_d").alias("_v"))
-    all_iterations = whole.join(spread, group).select(*group, "_m", "_v", _iterations(iterations))
-    # missing values count neither in the mean nor in the deviation
+    rows = values.withColumn("_g", F.struct(*group)).join(whole, "_g").withColumn("_off", off)
+    sums = bootstrap_summaries(rows, group, "_off", _SUMS, avg_block, iterations, seed, seq)
+    sums = sums.select(F.struct(*group).alias("_g"), "iter", "_s0", "_s1", "_s2").join(whole, "_g")
     n, s1, s2 = F.col("_s0"), F.col("_s1"), F.col("_s2")
     var = F.when(n > 1, (s2 - s1 * s1 / n) / (n - 1))
-    return all_iterations.join(sums, [*group, "iter"], "left").select(
-        *group,
+    return sums.select(
+        "_g.*",
         "iter",
         F.when(n > 0, F.col("_m") + s1 / n).alias("mean"),
         F.when(var > F.col("_v") * 1e-14, F.sqrt(var)).when(var.isNotNull(), F.lit(0.0)).alias("sd"),
     )
 
 
-#: a statistic of drawn series; ``of_moments``, if it has one, gives the same from their mean and deviation
+def _sums_leaf(x: np.ndarray) -> tuple[np.ndarray, ...]:
+    there = ~np.isnan(x)
+    value = np.where(there, x, 0.0)
+    return there.astype(float), value, value * value
+
+
+_SUMS = Summary(
+    ("_s0", "_s1", "_s2"),
+    _sums_leaf,
+    lambda left, right: tuple(a + b for a, b in zip(left, right)),
+    lambda pieces, keys: pieces.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("_s0", "_s1", "_s2")]),
+)
+
+#: a statistic of drawn series. One with ``of_moments`` gives the same from their mean and deviation, one with
+#: ``of_summary`` from a tree of summaries; others read the drawn rows
 Statistic = Callable[[DataFrame, Sequence[str], str], DataFrame]
 
 
@@ -243,6 +479,46 @@ def drawdown_statistic(draws: DataFrame, group: Sequence[str], value: str) -> Da
     return max_drawdown(draws, group, value, "t").withColumnRenamed("max_dd", "stat")
 
 
+def _drawdown_leaf(x: np.ndarray) -> tuple[np.ndarray, ...]:
+    end = 1.0 + x / 10_000.0
+    return np.where(np.isnan(x), 1.0, end), end, end, np.where(np.isnan(x), np.nan, 0.0)
+
+
+def _drawdown_merge(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    (end, hi, lo, dd), (end2, hi2, lo2, dd2) = left, right
+    with np.errstate(divide="ignore", invalid="ignore"):
+        fall = np.where(hi == 0, np.nan, end * lo2 / hi - 1.0)
+    return end * end2, np.fmax(hi, end * hi2), np.fmin(lo, end * lo2), np.fmin(np.fmin(dd, dd2), fall)
+
+
+def _drawdown_finish(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
+    segment = F.floor(F.col("t") / F.lit(SEGMENT)).alias("_segment")
+    parts = merge_drawdowns(pieces.select(*keys, segment, "t", "_end", "_hi", "_lo", "_dd"), [*keys, "_segment"], "t")
+    return merge_drawdowns(parts, keys, "_segment").select(*keys, F.col("_dd").alias("stat"))
+
+
+drawdown_statistic.of_summary = Summary(("_end", "_hi", "_lo", "_dd"), _drawdown_leaf, _drawdown_merge, _drawdown_finish)
+
+_MERGES = {"max": (np.fmax, F.max), "min": (np.fmin, F.min)}
+
+
+def extremes_statistic(of: dict[str, str], result: Callable[..., Column]) -> Statistic:
+    """A statistic over the largest and smallest values: {name: max or min}, and an expression of those columns."""
+
+    def finish(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
+        got = pieces.groupBy(*keys).agg(*[_MERGES[kind][1](name).alias(name) for name, kind in of.items()])
+        return got.select(*keys, result(*[F.col(name) for name in of]).alias("stat"))
+
+    def stat(draws: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+        return finish(draws.select(*group, *[F.col(value).cast("double").alias(name) for name in of]), group)
+
+    def merge(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        return tuple(_MERGES[kind][0](a, b) for kind, a, b in zip(of.values(), left, right))
+
+    stat.of_summary = Summary(tuple(of), lambda x: (x,) * len(of), merge, finish)
+    return stat
+
+
 def aggregate_statistic(agg: Callable[[str], Column]) -> Statistic:
     """Any aggregate expression, or a grouped-aggregate pandas UDF, as a statistic."""
 
@@ -281,6 +557,8 @@ def bootstrap_ci(
     if hasattr(statistic, "of_moments"):
         moments = bootstrap_moments(values, group, value, avg_block, iterations, seed, seq)
         drawn = moments.select(*group, "iter", statistic.of_moments().alias("stat"))
+    elif hasattr(statistic, "of_summary"):
+        drawn = bootstrap_summaries(values, group, value, statistic.of_summary, avg_block, iterations, seed, seq)
     else:
         draws = bootstrap_draws(values, group, value, avg_block, iterations, seed, seq)
         drawn = statistic(draws, [*group, "iter"], value)

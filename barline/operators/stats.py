@@ -58,14 +58,23 @@ def max_drawdown(df: DataFrame, group: Sequence[str], ret: str, seq: str = "seq"
             F.min(F.try_divide(F.col("_eq") - F.col("_top"), F.col("_top"))).alias("_dd"),
         )
     )
-    prev = W.partitionBy(*group).orderBy(BLK).rowsBetween(W.unboundedPreceding, -1)
-    chained = (
-        parts.withColumn("_in", F.coalesce(F.product("_end").over(prev), F.lit(1.0)))
-        .withColumn("_abs_hi", F.col("_in") * F.col("_hi"))
-        .withColumn("_top_in", F.max("_abs_hi").over(prev))
+    return merge_drawdowns(parts, group, BLK).select(*group, F.col("_dd").alias("max_dd"))
+
+
+def merge_drawdowns(parts: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Pieces of an equity curve put together along ``order``, one row per key of the same form.
+
+    A piece starts at 1: ``_end`` is its last value, ``_hi`` and ``_lo`` its extremes, ``_dd`` its own drawdown.
+    Pieces without a value have an end of 1 and nulls.
+    """
+    prev = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    chained = parts.withColumn("_in", F.coalesce(F.product("_end").over(prev), F.lit(1.0)))
+    chained = chained.withColumns({"_hi": F.col("_in") * F.col("_hi"), "_lo": F.col("_in") * F.col("_lo")})
+    chained = chained.withColumn("_top_in", F.max("_hi").over(prev))
+    fall = F.try_divide(F.col("_lo"), F.col("_top_in")) - 1.0
+    return chained.groupBy(*keys).agg(
+        F.product("_end").alias("_end"), F.max("_hi").alias("_hi"), F.min("_lo").alias("_lo"), F.min(F.least("_dd", fall)).alias("_dd")
     )
-    dd = F.least("_dd", F.try_divide(F.col("_in") * F.col("_lo"), F.col("_top_in")) - 1.0)
-    return chained.groupBy(*group).agg(F.min(dd).alias("max_dd"))
 
 
 def top_gain_share(df: DataFrame, group: Sequence[str], ret: str, k: int = 5) -> DataFrame:

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barline.functions.normal import portable_hash_sql
 from barline.functions.scalar import utc_year
 from barline.operators import asof, features, labels, resample, rules, splits, stats, verdict
 from barline.operators.series import HOUR_MS, add_windowed
 from barline.plans import evaluate as ev
-from barline.plans.catalog.base import HOURLY_CTE, ORACLES, R, events_ms, hourly, hourly_ix, query, rnd, rounded
+from barline.plans.catalog.base import HOURLY_CTE, R, events_ms, hourly, hourly_ix, query, rnd, rounded
 from barline.plans.catalog.joins import EVENT_COLS, LABELS_CTE, daily_labels
 from barline.plans.catalog.scalars import cdf_sql
 from barline.plans.catalog.windows import TRADES_CTE, order_trades
@@ -313,35 +312,41 @@ def evl_08(spark, sf):
 # ------------------------------------------------------------------------ resampling
 
 
+FULL = verdict.run_config("full")
+PERMUTATIONS, BOOTSTRAPS = FULL["permutation_iterations"], FULL["bootstrap_iterations"]
+
+PERMUTED_SQL = resample.shuffled_place_sql(
+    f"(SELECT instrument_id, b, k, it FROM (SELECT DISTINCT instrument_id, b FROM f) JOIN n USING (instrument_id), (SELECT unnest(range({PERMUTATIONS})) AS it))",
+    "it", "b", "k", 0, "nb",
+)
+
+
 @query(
     "evl_09_permutation_test",
     f"""WITH {LABEL_CTE}, f AS (SELECT instrument_id, pos, pos // 12 AS b, pos % 12 AS o, fwd_bps FROM lab WHERE close > 80 AND fwd_bps IS NOT NULL),
-        n AS (SELECT instrument_id, max(pos) + 1 AS n, (max(pos) + 12) // 12 AS k FROM lab GROUP BY 1),
-        mv AS (SELECT instrument_id, n, it, b, row_number() OVER (PARTITION BY instrument_id, it ORDER BY h, b) - 1 AS nb FROM
-          (SELECT instrument_id, n, it, b, {portable_hash_sql("it", "b", 0)} AS h FROM n, (SELECT unnest(range(100)) AS it) i,
-           LATERAL (SELECT unnest(range(k)) AS b) bb)),
+        n AS (SELECT instrument_id, (max(pos) + 12) // 12 AS k FROM lab GROUP BY 1), mv AS ({PERMUTED_SQL}),
         d AS (SELECT mv.instrument_id, it, avg(l.fwd_bps) AS nul FROM mv JOIN f USING (instrument_id, b) JOIN lab l ON
           l.instrument_id = mv.instrument_id AND l.pos = nb * 12 + o WHERE l.fwd_bps IS NOT NULL GROUP BY 1, 2),
         ob AS (SELECT instrument_id, avg(fwd_bps) AS obs, CAST(count(*) AS BIGINT) AS fires FROM f GROUP BY 1)
-        SELECT ob.instrument_id, fires, {R("obs", 3)} AS observed_ev_bps, {R("(1 + count(*) FILTER (coalesce(nul, 0) >= obs)) / 101.0")} AS p_value,
+        SELECT ob.instrument_id, fires, {R("obs", 3)} AS observed_ev_bps,
+          {R(f"(1 + count(*) FILTER (coalesce(nul, 0) >= obs)) / {PERMUTATIONS + 1}.0")} AS p_value,
           {R("avg(coalesce(nul, 0))", 3)} AS null_mean, {R("stddev_samp(coalesce(nul, 0))", 3)} AS null_std
-        FROM ob CROSS JOIN (SELECT unnest(range(100)) AS it) i LEFT JOIN d ON d.instrument_id = ob.instrument_id AND d.it = i.it
+        FROM ob CROSS JOIN (SELECT unnest(range({PERMUTATIONS})) AS it) i LEFT JOIN d ON d.instrument_id = ob.instrument_id AND d.it = i.it
         GROUP BY ob.instrument_id, fires, obs""",
 )
-def evl_09(spark, sf, iterations=100):
+def evl_09(spark, sf):
     lab = labels.forward_labels(hourly_ix(spark, sf), KEY, 1, 4).select("instrument_id", "pos", "close", "fwd_bps")
     lab = materialize(lab, "labels")
     fires = lab.filter(F.col("close") > 80).select("instrument_id", "pos")
-    out = resample.permutation_test(fires, lab, KEY, KEY, 12, iterations=iterations)
+    out = resample.permutation_test(fires, lab, KEY, KEY, 12, iterations=PERMUTATIONS)
     return rounded(rounded(out, "observed_ev_bps", "null_mean", "null_std", digits=3), "p_value")
 
 
-DRAWS_CTE = f"""{TRADES_CTE}, rx AS (SELECT rule_id, seq, ret_net_bps AS x FROM ot),
+RUNS_CTE = f"""{TRADES_CTE}, rx AS (SELECT rule_id, seq, ret_net_bps AS x FROM ot),
 sz AS (SELECT rule_id, CAST(count(*) AS BIGINT) AS n FROM rx GROUP BY 1),
-st AS (SELECT rule_id, n, it, t, CASE WHEN t = 0 OR {portable_hash_sql("it", "t", 0)} < 2147483647.0 / 12 THEN t END AS s
-  FROM sz, (SELECT unnest(range(60)) AS it) i, LATERAL (SELECT unnest(range(n)) AS t) tt),
-ru AS (SELECT *, last_value(s IGNORE NULLS) OVER (PARTITION BY rule_id, it ORDER BY t) AS s0 FROM st),
-dr AS (SELECT ru.rule_id, it, t, ({portable_hash_sql("it", "s0", 7919)} % n + t - s0) % n AS idx FROM ru),
+ru AS ({resample.bootstrap_runs_sql("sz", "rule_id", 12, BOOTSTRAPS)})
+"""
+DRAWS_CTE = f"""{RUNS_CTE}, dr AS (SELECT rule_id, it, t + k AS t, (start + k) % n AS idx FROM ru, LATERAL (SELECT unnest(range(len)) AS k) kk),
 dv AS (SELECT dr.rule_id, it, t, x FROM dr JOIN rx ON rx.rule_id = dr.rule_id AND rx.seq = dr.idx)
 """
 
@@ -353,13 +358,14 @@ def bootstrap_sample(spark, sf):
 
 @query(
     "evl_10_stationary_bootstrap_draws",
-    f"""WITH {DRAWS_CTE} SELECT rule_id, it AS iter, CAST(count(*) AS BIGINT) AS n, CAST(sum(idx * (t % 7)) AS BIGINT) AS mix FROM dr GROUP BY 1, 2""",
+    f"""WITH {RUNS_CTE} SELECT rule_id, it AS iter, CAST(count(*) AS BIGINT) AS runs, CAST(sum(len) AS BIGINT) AS n,
+        CAST(sum(start * (t % 7 + 1)) AS BIGINT) AS mix FROM ru GROUP BY 1, 2""",
 )
-def evl_10(spark, sf, iterations=60):
-    s = bootstrap_sample(spark, sf).withColumn("idx", F.col("seq"))
-    d = resample.bootstrap_draws(s, ["rule_id"], "idx", 12, iterations)
-    return d.groupBy("rule_id", "iter").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("idx") * (F.col("t") % 7)).alias("mix")
+def evl_10(spark, sf):
+    sizes = bootstrap_sample(spark, sf).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+    runs = resample.bootstrap_runs(sizes, ["rule_id"], 12, BOOTSTRAPS, 0)
+    return runs.groupBy("rule_id", "iter").agg(
+        F.count(F.lit(1)).alias("runs"), F.sum("len").alias("n"), F.sum(F.col("start") * (F.col("t") % 7 + 1)).alias("mix")
     )
 
 
@@ -369,9 +375,9 @@ def evl_10(spark, sf, iterations=60):
         SELECT m.rule_id, {R("any_value(point)")} AS point, {R("quantile_cont(s, 0.025)")} AS ci_lo, {R("quantile_cont(s, 0.975)")} AS ci_hi
         FROM m JOIN p USING (rule_id) GROUP BY 1""",
 )
-def evl_11(spark, sf, iterations=60):
+def evl_11(spark, sf):
     s = bootstrap_sample(spark, sf)
-    out = resample.bootstrap_ci(s, ["rule_id"], "ret_net_bps", resample.mean_statistic, 12, iterations)
+    out = resample.bootstrap_ci(s, ["rule_id"], "ret_net_bps", resample.mean_statistic, 12, BOOTSTRAPS)
     return rounded(out, "point", "ci_lo", "ci_hi")
 
 
@@ -383,10 +389,10 @@ def evl_11(spark, sf, iterations=60):
         SELECT rule_id, {R("quantile_cont(sr, 0.025)")} AS sharpe_lo, {R("quantile_cont(sr, 0.975)")} AS sharpe_hi,
           {R("quantile_cont(dd, 0.025)")} AS dd_lo, {R("quantile_cont(dd, 0.975)")} AS dd_hi FROM m GROUP BY 1""",
 )
-def evl_12(spark, sf, iterations=60):
+def evl_12(spark, sf):
     s = bootstrap_sample(spark, sf)
-    sharpe = resample.bootstrap_ci(s, ["rule_id"], "ret_net_bps", resample.sharpe_statistic(), 12, iterations)
-    dd = resample.bootstrap_ci(s, ["rule_id"], "ret_net_bps", resample.drawdown_statistic, 12, iterations)
+    sharpe = resample.bootstrap_ci(s, ["rule_id"], "ret_net_bps", resample.sharpe_statistic(), 12, BOOTSTRAPS)
+    dd = resample.bootstrap_ci(s, ["rule_id"], "ret_net_bps", resample.drawdown_statistic, 12, BOOTSTRAPS)
     both = sharpe.select("rule_id", F.col("ci_lo").alias("sharpe_lo"), F.col("ci_hi").alias("sharpe_hi")).join(
         dd.select("rule_id", F.col("ci_lo").alias("dd_lo"), F.col("ci_hi").alias("dd_hi")), "rule_id"
     )
@@ -399,29 +405,12 @@ def evl_12(spark, sf, iterations=60):
         SELECT rule_id, {R("(SELECT max(x) - min(x) FROM rx WHERE rx.rule_id = m.rule_id)")} AS point, {R("quantile_cont(s, 0.025)")} AS ci_lo,
           {R("quantile_cont(s, 0.975)")} AS ci_hi FROM m GROUP BY 1""",
 )
-def udf_02(spark, sf, iterations=60):
-    spread = resample.aggregate_statistic(lambda v: F.max(v) - F.min(v))
-    out = resample.bootstrap_ci(bootstrap_sample(spark, sf), ["rule_id"], "ret_net_bps", spread, 12, iterations)
+def udf_02(spark, sf):
+    span = resample.extremes_statistic({"hi": "max", "lo": "min"}, lambda hi, lo: hi - lo)
+    out = resample.bootstrap_ci(bootstrap_sample(spark, sf), ["rule_id"], "ret_net_bps", span, 12, BOOTSTRAPS)
     return rounded(out, "point", "ci_lo", "ci_hi")
 
 
-def at_full_rigour(name, fn):
-    """Register a resampling query once more, with the full number of draws in query and twin."""
-    full = verdict.run_config("full")
-    permutations, bootstraps = full["permutation_iterations"], full["bootstrap_iterations"]
-    sql = ORACLES[name].replace("range(60)", f"range({bootstraps})")
-    sql = sql.replace("range(100)", f"range({permutations})").replace("/ 101.0", f"/ {permutations + 1}.0")
-    draws = permutations if "permutation" in name else bootstraps
-    query(f"{name}_full", sql)(lambda spark, sf: fn(spark, sf, draws))
-
-
-at_full_rigour("evl_09_permutation_test", evl_09)
-at_full_rigour("evl_10_stationary_bootstrap_draws", evl_10)
-at_full_rigour("evl_11_bootstrap_ci", evl_11)
-at_full_rigour("evl_12_sharpe_and_drawdown_ci", evl_12)
-at_full_rigour("udf_02_pluggable_statistic", udf_02)
-
-
 @query(
     "evl_13_sample_moments",
     f"""WITH {STATS_CTE} SELECT rule_id, n, {R("ev")} AS mean, {R("sd")} AS std, {R("ev / sd")} AS sr_hat, {R("skew")} AS skew, {R("kurt")} AS kurt FROM g""",

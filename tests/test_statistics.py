@@ -210,19 +210,105 @@ def test_moments_are_those_of_the_draws(spark):
         assert len(known) < 2 or got["sd"] == pytest.approx(known.std(), abs=1e-12)
 
 
-def test_registered_queries_draw_in_full(spark, monkeypatch):
-    from barline.plans.catalog import ORACLES, QUERIES, evaluation
-
-    seen = []
-    monkeypatch.setattr(evaluation.ev, "evaluate", lambda prepared, keys, specs, cfg: seen.append(cfg) or 1 / 0)
-    with pytest.raises(ZeroDivisionError):
-        QUERIES["evl_03_evaluate_rules"](spark, "/root/testdata/sf0.001")
-    assert (seen[0].permutation_iterations, seen[0].bootstrap_iterations, seen[0].n_folds) == (1000, 2000, 5)
-    draws = QUERIES["evl_10_stationary_bootstrap_draws_full"](spark, "/root/testdata/sf0.001")
-    assert draws.agg(F.countDistinct("iter")).first()[0] == 2000
-    assert "range(1000)" in ORACLES["evl_09_permutation_test_full"] and "/ 1001.0" in ORACLES["evl_09_permutation_test_full"]
-    for name in ("evl_10_stationary_bootstrap_draws", "evl_11_bootstrap_ci", "evl_12_sharpe_and_drawdown_ci", "udf_02_pluggable_statistic"):
-        assert "range(2000)" in ORACLES[f"{name}_full"] and "range(60)" not in ORACLES[f"{name}_full"]
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 1000])
+def test_block_shuffle_is_a_bijection(n):
+    for it in range(5):
+        places = resample.shuffled_place(np.full(n, it), np.arange(n), np.full(n, n), 7)
+        assert sorted(places.tolist()) == list(range(n))
+
+
+def test_block_shuffle_reaches_every_place_alike():
+    n, draws = 12, 6000
+    it, block = np.divmod(np.arange(draws * n), n)
+    places = resample.shuffled_place(it, block, np.full(draws * n, n), 0)
+    counts = np.zeros((n, n))
+    np.add.at(counts, (block, places), 1)
+    assert np.abs(counts / draws - 1 / n).max() < 0.02
+    together = np.zeros((n, n))  # where the first two land
+    np.add.at(together, (places[block == 0], places[block == 1]), 1)
+    off = together[~np.eye(n, dtype=bool)] / draws
+    assert np.trace(together) == 0 and np.abs(off - 1 / (n * (n - 1))).max() < 0.006
+
+
+def test_permutation_equals_a_plain_one(spark):
+    rng = np.random.default_rng(3)
+    n, length, iterations = 103, 6, 50
+    y = [float(v) if k < 95 else None for k, v in enumerate(rng.normal(size=n))]
+    fired = [k for k in range(n) if rng.random() < 0.3]
+    rows = [(g, k, v) for g in ("a", None) for k, v in enumerate(y)]
+    lab = spark.createDataFrame(rows, "g string, pos bigint, fwd_bps double")
+    fires = spark.createDataFrame([(g, k) for g in ("a", None) for k in fired], "g string, pos bigint")
+    got = {r.g: r for r in resample.permutation_test(fires, lab, ["g"], ["g"], length, iterations, 5).collect()}
+    kept = [k for k in fired if y[k] is not None]
+    k = -(-n // length)
+    nulls = []
+    for it in range(iterations):
+        place = resample.shuffled_place(np.full(k, it), np.arange(k), np.full(k, k), 5)
+        at = [place[p // length] * length + p % length for p in kept]
+        seen = [y[p] for p in at if p < n and y[p] is not None]
+        nulls.append(np.mean(seen) if seen else 0.0)
+    observed = np.mean([y[p] for p in kept])
+    assert set(got) == {"a", None}
+    for r in got.values():
+        assert r.fires == len(kept) and r.observed_ev_bps == pytest.approx(observed)
+        assert r.null_mean == pytest.approx(np.mean(nulls)) and r.null_std == pytest.approx(np.std(nulls, ddof=1))
+        assert r.p_value == (1 + sum(v >= observed for v in nulls)) / (iterations + 1)
+
+
+@pytest.mark.parametrize("avg", [1, 3, 40])
+def test_runs_cover_every_position_once(spark, monkeypatch, avg):
+    sizes = spark.createDataFrame([("a", 500), ("b", 7), ("c", 1), (None, 64)], "g string, n bigint")
+
+    def runs(segment):
+        monkeypatch.setattr(resample, "SEGMENT", segment)
+        rows = resample.bootstrap_runs(sizes, ["g"], avg, 60, 3).collect()
+        out = {}
+        for r in rows:
+            out.setdefault((r.g, r.iter), []).append((r.t, r.len, r.start, r.n))
+        return {k: sorted(v) for k, v in out.items()}
+
+    for segment in (1 << 16, 64, 5):
+        got = runs(segment)
+        assert len(got) == 4 * 60
+        lengths = []
+        for (g, _), pieces in got.items():
+            n = pieces[0][3]
+            assert [t for t, *_ in pieces] == np.cumsum([0] + [x for _, x, *_ in pieces])[:-1].tolist()
+            assert sum(x for _, x, *_ in pieces) == n and all(0 <= s < n for *_, s, _ in pieces)
+            # a piece that goes on where the one before ended is no new run
+            ends = [(s + x) % n for _, x, s, _ in pieces]
+            if g == "a":
+                lengths.append(n / (1 + sum(e != s for e, (*_, s, _) in zip(ends, pieces[1:]))))
+        assert np.mean(lengths) == pytest.approx(avg, rel=0.15)
+
+
+def test_pieces_of_runs_are_the_drawn_positions():
+    rng = np.random.default_rng(0)
+    n = rng.integers(1, 300, 400)
+    length = (rng.random(400) * n).astype(int) + 1
+    start = (rng.random(400) * n).astype(int)
+    row, t, level, node = resample._nodes(np.arange(400), np.full(400, 10), length, start, n)
+    for k in range(400):
+        mine = sorted((int(a), int(b), int(c)) for r, a, b, c in zip(row, t, level, node) if r == k)
+        drawn = [p for _, lv, b in mine for p in range(b << lv, (b + 1) << lv)]
+        assert drawn == [(start[k] + j) % n[k] for j in range(length[k])]
+        assert [a for a, *_ in mine] == (10 + np.cumsum([0] + [1 << lv for _, lv, _ in mine])[:-1]).tolist()
+
+
+@pytest.mark.parametrize("levels", [16, 2])
+def test_summaries_are_those_of_the_draws(spark, monkeypatch, levels):
+    monkeypatch.setattr(resample, "_LEVELS", levels)
+    rng = np.random.default_rng(6)
+    df = trades(spark, {"many": rng.normal(10, 900, 300).tolist(), "two": [-100.0, 200.0], "one": [3.0], "gaps": [1.0, 5.0, -700.0, 1.0, 6.5]})
+    df = df.withColumn("ret_net_bps", F.expr("CASE WHEN g <> 'gaps' OR ret_net_bps <> 1 THEN ret_net_bps END"))
+    span = resample.extremes_statistic({"hi": "max", "lo": "min"}, lambda hi, lo: hi - lo)
+    draws = resample.bootstrap_draws(df, ["g"], "ret_net_bps", 6, 40).cache()
+    for statistic in (resample.drawdown_statistic, span):
+        want = {(r.g, r.iter): r.stat for r in statistic(draws, ["g", "iter"], "ret_net_bps").collect()}
+        got = {(r.g, r.iter): r.stat for r in resample.bootstrap_summaries(df, ["g"], "ret_net_bps", statistic.of_summary, 6, 40).collect()}
+        assert got.keys() == want.keys() and len(got) == 160
+        for k, v in want.items():
+            assert (v is None) == (got[k] is None) and (v is None or got[k] == pytest.approx(v, abs=1e-12)), k
 
 
 def test_trades_per_year(spark):
