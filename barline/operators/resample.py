@@ -232,10 +232,10 @@ def _nodes(row: np.ndarray, t: np.ndarray, length: np.ndarray, start: np.ndarray
     return tuple(np.concatenate(p) for p in out)
 
 
-def _drawn(sizes: DataFrame, group: Sequence[str], avg_block: float | str, iterations: int, seed: int, nodes: bool) -> DataFrame:
+def _drawn(sizes: DataFrame, key: Column, avg_block: float | str, iterations: int, seed: int, nodes: bool) -> DataFrame:
     mean_len = F.lit(float(avg_block)) if isinstance(avg_block, int | float) else F.col(avg_block).cast("double")
     chance = 1.0 / F.greatest(mean_len, F.lit(1.0))
-    rows = _spread(sizes.select(F.struct(*group).alias("_g"), "n", chance.alias("_p"), _iterations(iterations)), "_g", "iter")
+    rows = _spread(sizes.select(key.alias("_g"), "n", chance.alias("_p"), _iterations(iterations)), "_g", "iter")
     last = F.floor((F.col("n") - 1) / F.lit(SEGMENT)).cast("bigint")
     rows = rows.select("_g", "iter", "n", "_p", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("_segment"))
     names = ("t", "_level", "_node") if nodes else ("t", "len", "start")
@@ -266,7 +266,7 @@ def bootstrap_runs(
     starts are drawn, not positions: about n / avg_block rows per iteration, and one more
     at every border of 65,536 positions, where the run that comes in is cut in two.
     """
-    runs = _drawn(sizes, group, avg_block, iterations, seed, nodes=False)
+    runs = _drawn(sizes, F.struct(*group), avg_block, iterations, seed, nodes=False)
     return runs.select("_g.*", "iter", "t", "n", "len", "start")
 
 
@@ -299,14 +299,14 @@ class Summary:
 _LEVELS = 16
 
 
-def summary_tree(values: DataFrame, group: Sequence[str], value: str, summary: Summary, seq: str = "seq") -> DataFrame:
+def summary_tree(values: DataFrame, key: str, value: str, summary: Summary, seq: str = "seq") -> DataFrame:
     """Summaries of all aligned pieces of each series: (_g, _level, _node, columns), about two rows per value.
 
     Node b of level k sums up the positions from b 2^k to (b + 1) 2^k, if the series has them all. A task makes
     16 levels over 65,536 nodes; the tops of those are the leaves of the next 16 levels.
     """
     columns = list(summary.columns)
-    rows = values.select(F.struct(*group).alias("_g"), F.col(seq).cast("bigint").alias("_node"), F.col(value).cast("double").alias("_x"))
+    rows = values.select(F.col(key).alias("_g"), F.col(seq).cast("bigint").alias("_node"), F.col(value).cast("double").alias("_x"))
     schema = T.StructType(
         [
             rows.schema["_g"],
@@ -366,16 +366,19 @@ def bootstrap_summaries(
 
     A run is a few pieces of the series' tree, two per level at most, so its summary takes logarithmic time.
     """
-    tree = summary_tree(values, group, value, summary, seq)
     extra = [] if isinstance(avg_block, int | float) else [F.max(avg_block).alias(avg_block)]
-    sizes = values.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), *extra)
-    pieces = _drawn(sizes, group, avg_block, iterations, seed, nodes=True)
-    # met by one number, which is much quicker to look up than a key of several columns
-    key = F.xxhash64("_g", "_level", "_node").alias("_h")
-    there = tree.select(key, F.struct("_g", "_level", "_node").alias("_of"), *summary.columns)
-    same = F.struct(*[F.col(c) for c in ("_g", "_level", "_node")]) == F.col("_of")
-    met = pieces.select("*", key).join(there, "_h").filter(same).select("_g", "iter", "t", *summary.columns)
-    return summary.finish(met, ["_g", "iter"]).drop("t").select("_g.*", "*").drop("_g")
+    groups = values.groupBy(F.struct(*group).alias("_key")).agg(F.count(F.lit(1)).alias("n"), *extra)
+    # a number for each series: what is made per draw carries no key columns
+    groups = materialize(groups, "series").withColumn("_id", F.monotonically_increasing_id())
+    rows = values.select(F.struct(*group).alias("_key"), seq, value).join(groups.select("_key", "_id"), "_key")
+    tree = summary_tree(rows, "_id", value, summary, seq)
+    pieces = _drawn(groups, F.col("_id"), avg_block, iterations, seed, nodes=True)
+    # met by one number, which is quicker to look up than three
+    one = F.xxhash64("_g", "_level", "_node").alias("_h")
+    there = tree.select(one, F.col("_g").alias("_tg"), F.col("_level").alias("_tl"), F.col("_node").alias("_tn"), *summary.columns)
+    met = pieces.select("*", one).join(there, "_h").filter("_g = _tg AND _level = _tl AND _node = _tn")
+    done = summary.finish(met.select("_g", "iter", "t", *summary.columns), ["_g", "iter"])
+    return done.withColumnRenamed("_g", "_id").join(groups.select("_id", "_key"), "_id").drop("_id").select("_key.*", "*").drop("_key")
 
 
 def bootstrap_draws(
