@@ -9,11 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barline.functions.normal import norm_cdf
 from barline.operators.series import (
+    BLK,
+    CORE,
     POS,
     Frames,
     add_windowed,
@@ -136,29 +142,36 @@ def condition_table(
 
 
 def newey_west(df: DataFrame, group: Sequence[str], value: str, lags: int, seq: str = "seq", size: int | None = None) -> DataFrame:
-    """n, mean, t and two-sided p of a mean with a Bartlett-weighted variance."""
+    """n, mean, t and two-sided p of a mean with a Bartlett-weighted variance.
+
+    Values are centred on the mean of their group first. A block, with the ``lags`` rows behind it, gives one number:
+    its autocovariance sums over all lags, weighted. Missing values are pairs with nothing.
+    """
     group = list(group)
-    frames = Frames(group, seq)
-    rows = blocks(df.select(*group, seq, F.col(value).alias("_x")), after=lags, size=size, pos=seq)
-    rows = core_rows(rows.withColumns({f"_y{k}": frames.lead("_x", k) for k in range(1, lags + 1)}))
-    x = F.col("_x")
-    sums = []
-    for k in range(1, lags + 1):
-        y = F.col(f"_y{k}")
-        seen = y.isNotNull()
-        sums += [
-            F.sum(x * y).alias(f"_xy{k}"),
-            F.sum(F.when(seen, x + y)).alias(f"_xs{k}"),
-            F.count(y).alias(f"_c{k}"),
-        ]
-    s = rows.groupBy(*group).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.var_pop(x).alias("_g0"), *sums)
+    rows = df.select(F.struct(*group).alias("_g"), F.col(seq).alias("_seq"), F.col(value).cast("double").alias("_x"))
+    base = rows.groupBy("_g").agg(F.count("_x").alias("n"), F.avg("_x").alias("mean"), F.var_pop("_x").alias("_g0"))
+    centred = rows.join(base.select("_g", "mean"), "_g").select("_g", "_seq", (F.col("_x") - F.col("mean")).alias("_d"))
+    parts = blocks(centred, after=lags, size=size, pos="_seq")
+
+    def weighted(piece: pa.Table) -> pa.Table:
+        piece = piece.sort_by("_seq")
+        d = np.nan_to_num(piece.column("_d").to_numpy().astype(float))
+        at, own = piece.column("_seq").to_numpy(), piece.column(CORE).to_numpy()
+        # by place, so that rows that are left out keep their distance
+        place = at - at[0]
+        line = np.zeros(int(place[-1]) + 1)
+        line[place] = d
+        mine = np.zeros_like(line)
+        mine[place[own]] = d[own]
+        total = sum((1.0 - k / (lags + 1.0)) * float(mine[:-k] @ line[k:]) for k in range(1, min(lags, len(line) - 1) + 1))
+        return pa.table({"_g": piece.column("_g").slice(0, 1), "_s": pa.array([total], pa.float64())})
+
+    schema = T.StructType([rows.schema["_g"], T.StructField("_s", T.DoubleType())])
+    sums = parts.groupBy("_g", BLK).applyInArrow(weighted, schema).groupBy("_g").agg(F.sum("_s").alias("_s"))
     n, m = F.col("n"), F.col("mean")
-    var = F.col("_g0")
-    for k in range(1, lags + 1):
-        cov = F.coalesce(F.col(f"_xy{k}") - m * F.col(f"_xs{k}") + F.col(f"_c{k}") * m * m, F.lit(0.0)) / n
-        var = var + 2.0 * (1.0 - k / (lags + 1.0)) * cov
+    var = F.col("_g0") + 2.0 * F.col("_s") / n
     t = F.when(var > 0, m / F.sqrt(var / n))
-    out = s.select(*group, "n", "mean", t.alias("t_nw"))
+    out = base.join(sums, "_g").select("_g.*", "n", "mean", t.alias("t_nw"))
     return out.withColumn("p_value", 2.0 * (1.0 - norm_cdf(F.abs("t_nw"))))
 
 
@@ -274,21 +287,112 @@ def novelty(overlap: DataFrame, new_rules: Sequence[str]) -> DataFrame:
     )
 
 
-def return_correlations(daily: DataFrame, rule_ids: Sequence[str], day: str = "dt") -> DataFrame:
-    """Correlation of date-aligned returns of every two rules.
+#: bars of a block; fewer where there are so many rules that a block would pass _CELLS numbers
+BAR_BLOCK = 4096
+_CELLS = 1 << 24
+
+#: numbers in one product of a stripe of rules with the others
+_STRIPE = 1 << 22
+
 
-    ``daily``: rule_id, day, ret. One wide row per day, then one aggregate per rule
-    against all columns.
+def _co_occurrence(rows: DataFrame, bar: str, min_ratio: float, valued: bool) -> DataFrame:
+    """Sums over the bars that two rules share, of rows (_rule, ``bar``, _x, _size): only pairs that share one.
+
+    Bars are dealt into blocks. A block is a matrix of rules and bars, and a stripe of it is multiplied with the
+    rules of a size that can still reach ``min_ratio`` (a rule's size against the larger one's).
     """
-    ids = list(rule_ids)
-    wide = daily.groupBy(day).agg(*[F.sum(F.when(F.col("rule_id") == r, F.col("ret"))).alias(r) for r in ids])
-    pairs = F.filter(
-        F.array(*[F.when(F.col(r).isNotNull(), F.struct(F.lit(r).alias("r"), F.col(r).alias("x"))) for r in ids]),
-        lambda p: p.isNotNull(),
+    names = ("n", "sx", "sy", "sxx", "syy", "sxy") if valued else ("n",)
+    rule = rows.schema["_rule"].dataType
+    schema = T.StructType(
+        [T.StructField(c, rule) for c in ("rule_a", "rule_b")] + [T.StructField(c, T.DoubleType()) for c in names]
+    )
+
+    def multiply(piece: pa.Table) -> pa.Table:
+        rules = piece.group_by("_rule").aggregate([("_size", "max")]).sort_by([("_size_max", "ascending"), ("_rule", "ascending")])
+        ids, sizes = rules.column("_rule").combine_chunks(), rules.column("_size_max").to_numpy()
+        row = pc.index_in(piece.column("_rule"), value_set=ids).to_numpy()
+        _, col = np.unique(piece.column(bar).to_numpy(), return_inverse=True)
+        x = piece.column("_x").to_numpy()
+        width = col.max() + 1
+        there = np.zeros((len(ids), width), np.float32)
+        there[row, col] = 1.0
+        if valued:
+            value = np.zeros((len(ids), width))
+            value[row, col] = x
+        left, right, out = [], [], [[] for _ in names]
+        step = max(1, _STRIPE // max(len(ids), width))
+        for lo in range(0, len(ids), step):
+            hi = min(lo + step, len(ids))
+            # the others are the same or larger; pairs within the stripe count once
+            far = np.searchsorted(sizes, sizes[hi - 1] / min_ratio, "right") if min_ratio > 0 else len(ids)
+            n = there[lo:hi] @ there[lo:far].T
+            i, j = np.nonzero(np.triu(n, 1))
+            keep = sizes[lo + i] >= min_ratio * sizes[lo + j]
+            i, j = i[keep], j[keep]
+            sums = [n]
+            if valued:
+                a, b, ma, mb = value[lo:hi], value[lo:far], there[lo:hi], there[lo:far]
+                sums += [a @ mb.T, ma @ b.T, (a * a) @ mb.T, ma @ (b * b).T, a @ b.T]
+            left.append(lo + i)
+            right.append(lo + j)
+            for part, s in zip(out, sums):
+                part.append(s[i, j])
+        first = ids.take(pa.array(np.concatenate(left)))
+        second = ids.take(pa.array(np.concatenate(right)))
+        sums = {c: pa.array(np.concatenate(v).astype(float)) for c, v in zip(names, out)}
+        return pa.table({"rule_a": first, "rule_b": second} | sums)
+
+    shape = rows.agg(F.count_distinct(bar).alias("bars"), F.count_distinct("_rule").alias("rules")).head()
+    width = max(16, min(BAR_BLOCK, _CELLS // max(1, shape["rules"])))
+    block = F.pmod(F.xxhash64(bar), F.lit(max(1, -(-shape["bars"] // width))))
+    met = rows.withColumn("_block", block).groupBy("_block").applyInArrow(multiply, schema)
+    # the smaller id comes first, whichever rule is the larger
+    turn = F.col("rule_a") > F.col("rule_b")
+    swapped = {"sx": "sy", "sy": "sx", "sxx": "syy", "syy": "sxx"}
+    met = met.select(
+        F.least("rule_a", "rule_b").alias("rule_a"),
+        F.greatest("rule_a", "rule_b").alias("rule_b"),
+        *[F.when(turn, F.col(swapped.get(c, c))).otherwise(F.col(c)).alias(c) for c in names],
     )
-    rows = wide.select(*ids, F.explode(pairs).alias("_p"))
-    sums = rows.groupBy(F.col("_p.r").alias("rule_a")).agg(*[F.corr(F.col("_p.x"), F.col(r)).alias(r) for r in ids])
-    return sums.unpivot(["rule_a"], ids, "rule_b", "return_corr").filter(F.col("rule_a") < F.col("rule_b"))
+    return met.groupBy("rule_a", "rule_b").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def rule_overlap(fires: DataFrame, bar: str = "bar", min_jaccard: float = 0.0) -> DataFrame:
+    """Jaccard overlap of every two rules that share a bar: rule_a < rule_b, both, jaccard.
+
+    ``fires``: one row (rule_id, bar) for each bar that a rule fired at, in any number of rules; repeated rows count
+    once, rows without a rule or a bar not at all. With ``min_jaccard``, pairs whose sizes alone rule it out are
+    never multiplied, and only pairs that reach it are returned.
+    """
+    rows = fires.select(F.col("rule_id").alias("_rule"), F.col(bar).alias("_bar")).dropna().distinct()
+    sizes = rows.groupBy("_rule").agg(F.count(F.lit(1)).alias("_size"))
+    rows = materialize(rows.join(sizes, "_rule").withColumn("_x", F.lit(1.0)), "fires")
+    met = _co_occurrence(rows, "_bar", min_jaccard, valued=False)
+    sizes = rows.groupBy("_rule").agg(F.max("_size").alias("_size"))
+    for side in "ab":
+        met = met.join(sizes.select(F.col("_rule").alias(f"rule_{side}"), F.col("_size").alias(f"_n{side}")), f"rule_{side}")
+    both = F.col("n").cast("bigint")
+    out = met.select("rule_a", "rule_b", both.alias("both"), (both / (F.col("_na") + F.col("_nb") - both)).alias("jaccard"))
+    return out.filter(F.col("jaccard") >= min_jaccard)
+
+
+def return_correlations(daily: DataFrame, rule_ids: Sequence[str] | None = None, day: str = "dt", min_days: int = 1) -> DataFrame:
+    """Correlation of date-aligned returns of every two rules that share ``min_days`` days: rule_a < rule_b, return_corr.
+
+    ``daily``: rule_id, day, ret, one row per rule and day; ``rule_ids`` narrows the rules down. Returns are centred
+    on the mean of their rule, and only pairs with a common day are made. Without spread there is no correlation.
+    """
+    rows = daily.select(F.col("rule_id").alias("_rule"), F.col(day).alias("_bar"), F.col("ret").cast("double").alias("_x")).dropna()
+    if rule_ids is not None:
+        rows = rows.filter(F.col("_rule").isin(list(rule_ids)))
+    rows = rows.groupBy("_rule", "_bar").agg(F.sum("_x").alias("_x"))
+    means = rows.groupBy("_rule").agg(F.avg("_x").alias("_m"), F.count(F.lit(1)).alias("_size"))
+    rows = materialize(rows.join(means, "_rule").select("_rule", "_bar", (F.col("_x") - F.col("_m")).alias("_x"), "_size"), "returns")
+    s = _co_occurrence(rows, "_bar", 0.0, valued=True).filter(F.col("n") >= min_days)
+    n = F.col("n")
+    cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
+    va, vb = (F.col(f"s{k}{k}") - F.col(f"s{k}") * F.col(f"s{k}") / n for k in "xy")
+    return s.select("rule_a", "rule_b", F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb)).alias("return_corr"))
 
 
 def max_corr_with_active(corr: DataFrame, active: Sequence[str]) -> DataFrame:
@@ -323,11 +427,13 @@ def vol_adj(f: Frames, x: str, vol: str) -> Column:
 
 
 def divergence(f: Frames, a: str, b: str, w: int) -> Column:
-    """Residual of a on b over the last w rows (rolling regression)."""
-    frame = f.rows(w)
-    slope = F.try_divide(F.covar_pop(a, b).over(frame), F.var_pop(b).over(frame))
-    fitted = F.avg(a).over(frame) + slope * (F.col(b) - F.avg(b).over(frame))
-    return F.when(F.count(a).over(frame) == w, F.col(a) - fitted)
+    """Residual of a on b over the last w rows (rolling regression), NULL until w values of both are there.
+
+    Covariances of two parts of a frame merge, so a row costs the same whatever w is.
+    """
+    cov, sd = f.roll_cov(a, b, w), f.roll("std_pop", b, w)
+    fitted = f.roll("avg", a, w) + F.try_divide(cov, sd * sd) * (F.col(b) - f.roll("avg", b, w))
+    return F.when(cov.isNotNull(), F.col(a) - fitted)
 
 
 def sign_run(indexed: DataFrame, keys: Sequence[str], value: str, out: str = "sign_run") -> DataFrame:

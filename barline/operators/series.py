@@ -115,7 +115,7 @@ class Frames:
 
     def __init__(self, keys: Sequence[str], pos: str = POS):
         self.w = W.partitionBy(*keys, BLK).orderBy(pos)
-        self.wanted: dict[str, tuple[str, str, int]] = {}
+        self.wanted: dict[str, tuple[str, str | tuple[str, str], int]] = {}
 
     def lag(self, col: Column | str, n: int) -> Column:
         return F.lag(col, n).over(self.w) if n else _cols(col)[0]
@@ -143,6 +143,13 @@ class Frames:
         return F.col(name)
 
 
+    def roll_cov(self, a: str, b: str, n: int) -> Column:
+        """Population covariance of two columns over the last n rows, NULL until n values of both are there."""
+        name = f"_roll_cov_{a}_{b}_{n}"
+        self.wanted[name] = ("cov", (a, b), n)
+        return F.col(name)
+
+
 _ROLL_AGG = {
     "sum": F.sum,
     "avg": F.avg,
@@ -171,7 +178,8 @@ def add_rolling(
         span = W.partitionBy(*keys, BLK, chunk)
         head = span.orderBy(pos).rowsBetween(W.unboundedPreceding, 0)
         tail = span.orderBy(F.col(pos).desc()).rowsBetween(W.unboundedPreceding, 0)
-        mine = {name: (kind, col) for name, (kind, col, m) in wanted.items() if m == n}
+        mine = {name: (kind, col) for name, (kind, col, m) in wanted.items() if m == n and kind != "cov"}
+        pairs = {name: col for name, (kind, col, m) in wanted.items() if m == n and kind == "cov"}
         cols = sorted({c for _, c in mine.values()})
         kinds = {c: {k for k, c2 in mine.values() if c2 == c} for c in cols}
 
@@ -185,8 +193,20 @@ def add_rolling(
                 got[f"_{side}x_{c}"] = F.max(c).over(frame)
             return got
 
+        def co_parts(name: str, frame, side: str) -> dict[str, Column]:
+            a, b = (F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.col(x)) for x, y in (pairs[name], pairs[name][::-1]))
+            return {
+                f"_{side}n{name}": F.count(a).over(frame),
+                f"_{side}a{name}": F.avg(a).over(frame),
+                f"_{side}b{name}": F.avg(b).over(frame),
+                f"_{side}c{name}": F.covar_pop(a, b).over(frame),
+            }
+
         heads = {k: v for c in cols for k, v in parts(c, head, "h").items()}
         tails = {k: v for c in cols for k, v in parts(c, tail, "t").items()}
+        for name in pairs:
+            heads |= co_parts(name, head, "h")
+            tails |= co_parts(name, tail, "t")
         out = out.withColumns(heads).withColumns(tails)
         # a frame that is exactly one chunk is covered by its head alone
         one = F.col(pos) % F.lit(n) == n - 1
@@ -209,6 +229,12 @@ def add_rolling(
                     m2 = F.col(f"_hv_{c}") * hn + tv * tn + gap * gap * hn * tn / F.lit(n)
                     value = F.sqrt(m2 / F.lit(n if kind == "std_pop" else n - 1))
             result[name] = F.when(ok, value)
+        for name in pairs:
+            hn, tn = F.col(f"_hn{name}"), F.coalesce(F.col(f"_tn{name}"), F.lit(0))
+            gap_a, gap_b = (F.col(f"_h{k}{name}") - F.col(f"_t{k}{name}") for k in "ab")
+            gap = F.when(tn > 0, gap_a * gap_b * hn * tn / F.lit(n)).otherwise(F.lit(0.0))
+            held = F.col(f"_hc{name}") * hn + F.coalesce(F.col(f"_tc{name}") * tn, F.lit(0.0)) + gap
+            result[name] = F.when((hn + tn == n) & (one | F.col(f"_tn{name}").isNotNull()), held / F.lit(n))
         out = out.withColumns(result).drop(chunk, *heads, *tails)
     return out
 

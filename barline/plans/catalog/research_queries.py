@@ -134,6 +134,19 @@ def ext_06(spark, sf):
     return rounded(rounded(t.select("rule_id", "n", "mean", "t_nw"), "mean"), "t_nw", digits=5)
 
 
+@query(
+    "ext_06_newey_west_week",
+    f"""WITH {TRADES_CTE}, g AS (SELECT rule_id, seq, ret_bps - avg(ret_bps) OVER (PARTITION BY rule_id) AS d, avg(ret_bps) OVER (PARTITION BY rule_id) AS m FROM ot),
+        b AS (SELECT rule_id, CAST(count(*) AS BIGINT) AS n, any_value(m) AS m, var_pop(d) AS g0 FROM g GROUP BY 1),
+        c AS (SELECT x.rule_id, sum((1 - (y.seq - x.seq) / 169.0::DOUBLE) * x.d * y.d) AS s FROM g x JOIN g y ON x.rule_id = y.rule_id AND y.seq BETWEEN x.seq + 1 AND x.seq + 168 GROUP BY 1)
+        SELECT rule_id, n, {R("m")} AS mean, {R("m / sqrt((g0 + 2 * s / n) / n)", 5)} AS t_nw FROM b JOIN c USING (rule_id)""",
+)
+def ext_06_week(spark, sf):
+    # as many lags as a week has hours
+    t = research.newey_west(order_trades(spark, sf), ["rule_id"], "ret_bps", 168, size=500)
+    return rounded(rounded(t.select("rule_id", "n", "mean", "t_nw"), "mean"), "t_nw", digits=5)
+
+
 @query(
     "ext_07_benjamini_hochberg",
     f"""WITH t AS (SELECT o_orderpriority AS batch, o_orderkey, (o_orderkey * 7919 % 15013) / 15013.0 AS p FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY batch
@@ -175,6 +188,19 @@ def ext_09(spark, sf):
     return rounded(research.signal_overlap(flags, MANY), "jaccard")
 
 
+@query(
+    "ext_09_rule_overlap",
+    f"""WITH f AS (SELECT DISTINCT l_partkey AS rule_id, l_shipdate AS bar FROM lineitem), s AS (SELECT rule_id, count(*) AS n FROM f GROUP BY 1),
+        p AS (SELECT a.rule_id AS rule_a, b.rule_id AS rule_b, CAST(count(*) AS BIGINT) AS "both" FROM f a JOIN f b ON a.bar = b.bar AND a.rule_id < b.rule_id GROUP BY 1, 2)
+        SELECT rule_a, rule_b, "both", {R('"both" / (x.n + y.n - "both")')} AS jaccard FROM p JOIN s x ON x.rule_id = rule_a JOIN s y ON y.rule_id = rule_b
+        WHERE "both" >= 0.04::DOUBLE * (x.n + y.n - "both")""",
+)
+def ext_09_rules(spark, sf):
+    # every part stands for a rule that fires on its ship dates
+    fires = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("rule_id"), F.col("l_shipdate").alias("bar"))
+    return rounded(research.rule_overlap(fires, min_jaccard=0.04), "jaccard")
+
+
 def daily_returns(spark, sf):
     d = daily_ix(spark, sf)
     return d.select(F.concat(F.lit("r"), F.substring("instrument_id", 1, 1)).alias("rule_id"), F.col("ts").alias("dt"), F.log(F.col("close") / F.col("open")).alias("ret"))
@@ -192,6 +218,21 @@ def ext_10(spark, sf):
     return rounded(research.return_correlations(daily_returns(spark, sf), RIDS), "return_corr")
 
 
+@query(
+    "ext_10_supplier_correlations",
+    f"""WITH d AS (SELECT l_suppkey AS rule_id, l_shipdate AS dt, sum(l_discount - 0.05) AS ret FROM lineitem GROUP BY 1, 2),
+        p AS (SELECT a.rule_id AS rule_a, b.rule_id AS rule_b, count(*) AS n, corr(a.ret, b.ret) AS c
+          FROM d a JOIN d b ON a.dt = b.dt AND a.rule_id < b.rule_id GROUP BY 1, 2)
+        SELECT rule_a, rule_b, {R("c", 5)} AS return_corr FROM p WHERE n >= 12""",
+)
+def ext_10_suppliers(spark, sf):
+    # every supplier stands for a rule; pairs with few common days say nothing
+    daily = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("rule_id"), F.col("l_shipdate").alias("dt"))
+    daily = daily.agg(F.sum(F.col("l_discount") - 0.05).alias("ret"))
+    c = research.return_correlations(daily, min_days=12)
+    return rounded(c, "return_corr", digits=5)
+
+
 @query(
     "ext_10_max_corr_with_active",
     f"""WITH {DAILY_CTE}, dr AS (SELECT 'r' || left(instrument_id, 1) AS rule_id, ts, ln(close / open) AS ret FROM daily), c AS (SELECT a.rule_id AS rule_id, b.rule_id AS o,
