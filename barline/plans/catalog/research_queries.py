@@ -13,6 +13,7 @@ from barline.plans.catalog.evaluation import MANY, RULE_INPUT_CTE, RULE_SQL, RUL
 from barline.plans.catalog.ops import REVISIONS_CTE, revisions
 from barline.plans.catalog.scalars import cdf_sql
 from barline.plans.catalog.windows import TRADES_CTE, order_trades
+from barline.session import run_dir
 from barline.sources import lake
 
 KEY = ["instrument_id"]
@@ -294,6 +295,24 @@ def ext_14(spark, sf):
     return parts[0].unionByName(parts[1]).select("part", "rows", "min_ts", "max_ts")
 
 
+@query(
+    "ext_14_retire",
+    """SELECT CAST(year(o_orderdate) AS VARCHAR) AS part, CAST(count(*) AS BIGINT) AS rows, min(epoch_us(o_orderdate) // 1000) AS min_ts, max(epoch_us(o_orderdate) // 1000) AS max_ts,
+         year(o_orderdate) < 1998 AS dropped, year(o_orderdate) < 1998 AS archived FROM orders GROUP BY year(o_orderdate)""",
+)
+def ext_14_retire(spark, sf):
+    # old years of the orders go to an archive; what is left and what was archived are read back
+    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", ms("o_orderdate").alias("ts"), F.year("o_orderdate").alias("year"))
+    source, target = run_dir(spark, "orders"), run_dir(spark, "archive")
+    o.write.partitionBy("year").parquet(source)
+    gone = lake.retire(spark, source, target, "year", "1998").select("part", "dropped")
+    left = lake.read_table(spark, source).withColumn("archived", F.lit(False))
+    kept = lake.read_table(spark, target).withColumn("archived", F.lit(True))
+    both = left.unionByName(kept).groupBy(F.col("year").cast("string").alias("part"), "archived")
+    found = both.agg(F.count(F.lit(1)).alias("rows"), F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"))
+    return found.join(gone, "part", "left").withColumn("dropped", F.coalesce("dropped", F.lit(False)))
+
+
 @query(
     "ext_15_day_of_month",
     f"WITH {HOURLY_CTE} SELECT instrument_id, ts, day(make_timestamp(ts * 1000)) IN (1, 2, 28, 29, 30) AS fired FROM hourly",

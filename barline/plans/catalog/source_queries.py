@@ -100,6 +100,11 @@ def src_05(spark, sf):
     return lake.dataset_hash(lake.file_details(spark, sf))
 
 
+@query("src_05_folder_hashes")
+def src_05_folders(spark, sf):
+    return lake.folder_hashes(lake.file_details(spark, sf).select("key", "size"))
+
+
 @query("src_05_content_hash")
 def src_05_content(spark, sf):
     return lake.content_hash(table(spark, sf, "lineitem"))
@@ -328,6 +333,22 @@ def src_18(spark, sf):
     return payloads.volatility_points(documents(events_ms(spark, sf), body, "event_id"), ["event_id"])
 
 
+@query(
+    "src_18_points_and_rejects",
+    f"""WITH {EV_CTE} SELECT event_id, CASE WHEN event_id % 7 < 4 THEN ts // 3600000 * 3600000 END AS ts, CASE WHEN event_id % 7 < 4 THEN value END AS dvol,
+        CASE event_id % 7 WHEN 4 THEN 'no volatility points' WHEN 5 THEN 'not JSON' WHEN 6 THEN 'no document' END AS reason FROM ev""",
+)
+def src_18_rejects(spark, sf):
+    # of seven documents one has no points, one is cut off and one is missing
+    e = events_ms(spark, sf)
+    point = F.array(F.col("ts").cast("double"), *[F.lit(0.0)] * 3, F.col("value"))
+    whole = F.to_json(F.struct(F.struct(F.array(point).alias("data")).alias("result")))
+    kind = F.col("event_id") % 7
+    body = F.when(kind < 4, whole).when(kind == 4, '{"result":{"data":[]}}').when(kind == 5, F.expr("left('{\"result\":{', 9)"))
+    parsed = payloads.volatility_points_or_rejects(e.select("event_id", body.alias("payload")), ["event_id"])
+    return parsed.rows.unionByName(parsed.rejects.drop("payload"), allowMissingColumns=True)
+
+
 @query(
     "src_19_sentiment_point",
     f"""WITH {EV_CTE} SELECT event_id, ts // 1000 * 1000 AS ts, value, CASE WHEN value > 50 THEN 'Greed' ELSE 'Fear' END AS classification FROM ev""",

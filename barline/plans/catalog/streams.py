@@ -9,6 +9,7 @@ from barline.operators.positions import one_open_position
 from barline.plans.catalog.base import EV_CTE, HOURLY_CTE, R, query, rnd, rounded, table
 from barline.plans.catalog.joins import LABELS_CTE, daily_labels
 from barline.plans.catalog.scalars import FILLS_CTE
+from barline.session import run_dir
 from barline.streaming import pipelines as st
 
 
@@ -142,6 +143,48 @@ def str_08(spark, sf):
     return st.drain(st.live_rule(s, LIVE).select("event_id", "fired"), "live")
 
 
+LIVE_EVENTS = {
+    "when": {
+        "and": [
+            {"time": {"utc_hour_in": list(range(18))}},
+            {"or": [{"event": {"type": "purchase", "min_magnitude": 60}}, {"event": {"type": "error"}}]},
+            {"not": {"regime": {"vol": ["extreme"]}}},
+        ]
+    },
+    "entry": {"delay_bars": 1, "price": "open"},
+    "exit": {"horizon": "6h"},
+    "direction": "long",
+}
+
+
+def landed_to_the_end(spark, df, label):
+    """The rows landed as files and, behind them, one of a far later time: it moves the watermark past all of them."""
+    path = run_dir(spark, label)
+    df.write.parquet(path)
+    last = df.agg(F.max("event_time").alias("event_time"))
+    flush = last.select(*[(F.col(c) + F.expr("INTERVAL 30 DAYS") if c == "event_time" else F.lit(None).cast(t)).alias(c) for c, t in df.dtypes])
+    flush.write.mode("append").parquet(path)
+    return st.landed(spark, path, df.schema)
+
+
+@query(
+    "str_08_live_lookback",
+    f"""WITH {EV_CTE}, {LABELS_CTE}, t AS (SELECT event_id, ts FROM events WHERE event_type = 'view'),
+        m AS (SELECT t.event_id, max(e.value) FILTER (e.event_type = 'purchase') AS p, max(e.value) FILTER (e.event_type = 'error') AS r
+          FROM t JOIN events e ON e.ts <= t.ts AND e.ts >= t.ts - INTERVAL 15 MINUTE WHERE e.event_type IN ('purchase', 'error') GROUP BY 1)
+        SELECT t.event_id AS tick_id, round(p, 6) + 0.0 AS ev_purchase, round(r, 6) + 0.0 AS ev_error,
+          hour(t.ts) < 18 AND (coalesce(p >= 60, false) OR r IS NOT NULL) AND NOT coalesce(dl.vol IN ('extreme'), false) AS fired
+        FROM t LEFT JOIN m USING (event_id) LEFT JOIN dl ON dl.dt = strftime(t.ts, '%Y-%m-%d')""",
+)
+def str_08_lookback(spark, sf):
+    e = table(spark, sf, "events").withColumns({"event_time": st.event_time("ts"), "ts": ms("ts")})
+    t = landed_to_the_end(spark, e.filter("event_type = 'view'").select("event_time", "ts", F.col("event_id").alias("tick_id")), "ticks")
+    seen = e.filter("event_type <> 'view'").select("event_time", "event_type", F.col("value").alias("magnitude"))
+    signals = st.live_signals(t, landed_to_the_end(spark, seen, "seen"), LIVE_EVENTS, regimes=daily_labels(spark, sf))
+    out = st.drain(signals, "signals").filter("tick_id IS NOT NULL")
+    return rounded(out.select("tick_id", "ev_purchase", "ev_error", "fired"), "ev_purchase", "ev_error")
+
+
 @query(
     "str_09_running_moments",
     f"""SELECT event_type, CAST(count(*) AS BIGINT) AS n, {R("avg(value)")} AS mean, {R("var_samp(value)", 4)} AS variance FROM events GROUP BY 1""",

@@ -156,6 +156,50 @@ def dataset_hash(files: DataFrame) -> DataFrame:
     return files.agg(F.sha2(text, 256).alias("dataset_hash"), F.count(F.lit(1)).alias("files"))
 
 
+def folder_hashes(files: DataFrame) -> DataFrame:
+    """A hash tree over (key, size): folder, sha256, files below it; the root is the folder ''.
+
+    A folder's hash covers the sorted names of what is directly in it, with the size of a file and the hash of a
+    folder, so a change shows in the folders above it alone and equal folders have equal hashes. Folders are hashed
+    from the deepest level up; no row holds more than one folder. Files of equal key count each.
+    """
+    spark = files.sparkSession
+    parts = F.split("key", "/")
+    depth = (F.size(parts) - 1).alias("depth")
+    leaves = files.select(
+        F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/").alias("folder"),
+        F.element_at(parts, -1).alias("name"),
+        depth,
+        F.concat(F.lit("file "), F.col("size").cast("string")).alias("content"),
+        F.lit(1).cast("bigint").alias("files"),
+    )
+    leaves = materialize(leaves, "leaves")
+    deepest = leaves.agg(F.max("depth")).first()[0]
+    done, folders = [], None
+    for level in range(deepest if deepest is not None else -1, -1, -1):
+        here = leaves.filter(F.col("depth") == level)
+        if folders is not None:
+            up = F.split("folder", "/")
+            here = here.unionByName(
+                folders.select(
+                    F.array_join(F.slice(up, 1, F.size(up) - 1), "/").alias("folder"),
+                    F.element_at(up, -1).alias("name"),
+                    F.lit(level).alias("depth"),
+                    F.concat(F.lit("folder "), "sha256").alias("content"),
+                    "files",
+                )
+            )
+        entry = F.concat_ws(" ", "content", F.length("name").cast("string"), "name")
+        listed = F.array_join(F.array_sort(F.collect_list(entry)), "\n")
+        folders = here.groupBy("folder").agg(F.sha2(listed, 256).alias("sha256"), F.sum("files").alias("files"))
+        folders = materialize(folders, f"folders-{level}")
+        done.append(folders)
+    out = spark.createDataFrame([], "folder string, sha256 string, files bigint")
+    for part in done:
+        out = out.unionByName(part)
+    return out
+
+
 def content_hash(df: DataFrame) -> DataFrame:
     """Order-free fingerprint of table content: row count and sum of row hashes."""
     h = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
@@ -266,3 +310,57 @@ def archive_manifest(df: DataFrame, ts: str) -> DataFrame:
     )
 
 
+def _by_partition(df: DataFrame, column: str, ts: str) -> DataFrame:
+    """Count, time bounds and content fingerprint of each partition."""
+    h = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
+    return df.groupBy(F.col(column).cast("string").alias("part")).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.min(ts).alias("min_ts"),
+        F.max(ts).alias("max_ts"),
+        F.sum(h.cast("decimal(38,0)")).cast("string").alias("checksum"),
+    )
+
+
+def _copy(df: DataFrame, target: str, column: str) -> None:
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(target)
+
+
+def _agreeing(mine: DataFrame, there: DataFrame) -> DataFrame:
+    """Partitions of which both sides have the same rows, bounds and content."""
+    same = [mine[c].eqNullSafe(there[c]) for c in ("part", "rows", "min_ts", "max_ts", "checksum")]
+    return mine.join(there, reduce(and_, same), "left_semi")
+
+
+def retire(spark: SparkSession, source: str, target: str, column: str, before: str, ts: str = "ts") -> DataFrame:
+    """Move the partitions of a table, partitioned by ``column``, with ``column`` < ``before`` into an archive.
+
+    A partition is copied, read back from the archive and compared with the source by count, time bounds and content;
+    only then is it dropped from the source. Partitions that the archive already holds alike are not copied again,
+    so a repeat after a crash goes on where it stopped, and one that is damaged in the archive is copied once more
+    as long as the source has it. Returns, per old partition of the source: part, rows, min_ts, max_ts, checksum and
+    dropped. Only the names of partitions pass through the driver. Rows of a null ``column`` are never old.
+    """
+    table = read_table(spark, source)
+    old = table.filter(F.col(column) < before)
+    mine = materialize(_by_partition(old, column, ts), "old")
+
+    def archived() -> DataFrame:
+        if not path_exists(spark, target):
+            return mine.limit(0)
+        return _by_partition(read_table(spark, target, table.schema).filter(F.col(column) < before), column, ts)
+
+    missing = mine.join(_agreeing(mine, archived()), "part", "left_anti")
+    if missing.head(1):
+        names = missing.select(F.col("part").alias("_part"))
+        _copy(old.join(names, F.col(column).cast("string") == F.col("_part"), "left_semi"), target, column)
+    # read back: what was written counts, not what was meant to be
+    spark.catalog.refreshByPath(target)
+    good = materialize(_agreeing(mine, archived()), "verified")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for row in good.select("part").collect():
+        path = jvm.org.apache.hadoop.fs.Path(f"{source}/{column}={row['part']}")
+        path.getFileSystem(conf).delete(path, True)
+    spark.catalog.refreshByPath(source)
+    return mine.join(good.select("part", F.lit(True).alias("dropped")), "part", "left").withColumn(
+        "dropped", F.coalesce("dropped", F.lit(False))
+    )

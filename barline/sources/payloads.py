@@ -7,7 +7,8 @@ columns it is told to.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from barline.functions.scalar import UNIT_MS, floor_to
 from barline.operators.bars import CONTRACT_FACE_VALUE, FIVE_MIN_MS, side_buckets
 from barline.operators.series import HOUR_MS
+from barline.session import materialize
 
 ZERO_ADDRESS = "0x0000000000000000000000000000000000000000"
 
@@ -113,22 +115,37 @@ def _need(values: Column, message: str) -> Column:
     )
 
 
-def volatility_points(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Volatility index points, floored to the hour, close only; no points is an error."""
-    data = _need(_json("result struct<data:array<array<double>>>")["result"]["data"], "no volatility points")
+@dataclass(frozen=True)
+class Parsed:
+    """Rows of the good documents, and the others with the reason why they gave none."""
+
+    rows: DataFrame
+    rejects: DataFrame
+
+
+def _split(df: DataFrame, points: Column, shape: Callable[[DataFrame], DataFrame], keep: Sequence[str], nothing: str) -> Parsed:
+    """Good documents as rows, bad ones as (keep, payload, reason); documents are parsed once for both."""
+    parsed = materialize(df.select(*keep, "payload", points.alias("_points")), "parsed")
+    usable = F.exists("_points", lambda p: p.isNotNull())
+    reason = (
+        F.when(F.col("payload").isNull(), "no document")
+        .when(F.get_json_object("payload", "$").isNull(), "not JSON")
+        .when(F.col("_points").isNull() | ~F.coalesce(usable, F.lit(False)), nothing)
+    )
+    judged = parsed.withColumn("reason", reason)
+    good, bad = judged.filter("reason IS NULL"), judged.filter("reason IS NOT NULL")
+    return Parsed(shape(good).filter("ts IS NOT NULL"), bad.select(*keep, "payload", "reason"))
+
+
+def _volatility_rows(keep: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
     p = F.col("_p")
-    return df.select(*keep, F.explode(data).alias("_p")).select(
+    return lambda df: df.select(*keep, F.explode("_points").alias("_p")).select(
         *keep, floor_to(F.get(p, F.lit(0)).cast("bigint"), HOUR_MS).alias("ts"), F.get(p, F.lit(4)).alias("dvol")
     )
 
 
-def sentiment_point(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """First sentiment point, seconds to ms; no point is an error."""
-    data = _need(
-        _json("data array<struct<value:string,value_classification:string,timestamp:string>>")["data"],
-        "no sentiment points",
-    )
-    return df.withColumn("_e", F.get(data, F.lit(0))).select(
+def _sentiment_rows(keep: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
+    return lambda df: df.withColumn("_e", F.get("_points", F.lit(0))).select(
         *keep,
         (_int(F.col("_e.timestamp")) * 1000).alias("ts"),
         _num(F.col("_e.value")).alias("value"),
@@ -136,6 +153,32 @@ def sentiment_point(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     )
 
 
+_VOLATILITY = "result struct<data:array<array<double>>>"
+_SENTIMENT = "data array<struct<value:string,value_classification:string,timestamp:string>>"
+
+
+def volatility_points(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Volatility index points, floored to the hour, close only; a document without points fails the job."""
+    data = _need(_json(_VOLATILITY)["result"]["data"], "no volatility points")
+    return _volatility_rows(keep)(df.select(*keep, data.alias("_points")))
+
+
+def volatility_points_or_rejects(df: DataFrame, keep: Sequence[str] = ()) -> Parsed:
+    """``volatility_points`` of the good documents; one bad document costs no other its points."""
+    return _split(df, _json(_VOLATILITY)["result"]["data"], _volatility_rows(keep), keep, "no volatility points")
+
+
+def sentiment_point(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """First sentiment point, seconds to ms; a document without one fails the job."""
+    data = _need(_json(_SENTIMENT)["data"], "no sentiment points")
+    return _sentiment_rows(keep)(df.select(*keep, data.alias("_points")))
+
+
+def sentiment_point_or_rejects(df: DataFrame, keep: Sequence[str] = ()) -> Parsed:
+    """``sentiment_point`` of the good documents; one bad document costs no other its point."""
+    return _split(df, _json(_SENTIMENT)["data"], _sentiment_rows(keep), keep, "no sentiment points")
+
+
 def daily_bar_arrays(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Daily bars from parallel timestamp/open/close arrays, without padded bars."""
     doc = _json(

@@ -182,6 +182,46 @@ def live_rule(stream: DataFrame, spec: dict[str, Any], out: str = "fired") -> Da
     return stream.withColumn(out, rule_column(when))
 
 
+def live_signals(
+    ticks: DataFrame,
+    events: DataFrame,
+    spec: dict[str, Any],
+    carry: Sequence[str] = (),
+    regimes: DataFrame | None = None,
+    minutes: int = 15,
+    delay: str = "1 hour",
+    out: str = "fired",
+) -> DataFrame:
+    """A rule at every tick, with the events of the ``minutes`` up to it and the regime row of its day.
+
+    ``ticks`` (event_time, ts, tick_id and the columns of ``carry``) and ``events`` (event_time, event_type,
+    magnitude) are streams. Steps of one query: a look-back join, watermarked on both sides; the largest magnitude
+    of each event type the rule names (a missing magnitude counts 0); the daily label; the rule. A tick is given once,
+    when the watermark has passed it, so events that come late by less than ``delay`` count; later ones do not.
+    Ticks and events meet by slots of ``minutes``, of which a tick looks into two, whatever their number.
+    """
+    types = sorted(event_types_of(spec["when"]))
+    slot = F.floor(F.unix_seconds("event_time") / F.lit(60 * minutes))
+    t = ticks.select("event_time", "ts", "tick_id", *carry).withWatermark("event_time", delay)
+    t = t.withColumn("slot", F.explode(F.array(slot, slot - 1))).alias("t")
+    e = events.select("event_time", "event_type", F.coalesce("magnitude", F.lit(0.0)).alias("magnitude"))
+    e = e.withWatermark("event_time", delay)
+    # events of all types move the watermark: the condition names the time, so that it stays above it
+    e = e.filter(F.when(F.col("event_time").isNotNull(), F.col("event_type").isin(types))).withColumn("slot", slot).alias("e")
+    near = F.expr(
+        f"t.slot = e.slot AND e.event_time <= t.event_time AND e.event_time >= t.event_time - INTERVAL {minutes} MINUTES"
+    )
+    met = t.join(e, near, "left_outer")
+    largest = [F.max(F.when(F.col("e.event_type") == k, F.col("e.magnitude"))).alias(f"ev_{k}") for k in types]
+    seen = met.groupBy(*[F.col(f"t.{c}") for c in ("event_time", "ts", "tick_id", *carry)]).agg(
+        F.count(F.lit(1)).alias("_met"), *largest
+    )
+    if regimes is not None:
+        parts = [c for c in regimes.columns if c != "dt"]
+        seen = with_daily_label(seen, regimes).withColumn("regime", F.struct(*parts)).drop(*parts)
+    return live_rule(seen, spec, out).drop("_met")
+
+
 def running_moments(stream: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """n, mean and sample variance per key so far (update mode).
 

@@ -122,3 +122,32 @@ def test_live_rules_are_limited(spark):
     ):
         with pytest.raises(RuleError):
             st.live_rule(df, bad)
+
+
+def test_live_signals_look_back_over_batches_and_take_late_events(spark, tmp_path):
+    minute = 60_000
+    spec = {"when": {"event": {"type": "halt", "min_magnitude": 5}}, "entry": {"delay_bars": 1}, "exit": {"horizon": "1h"}}
+    day = 86_400_000
+    ticks = [(0, 1), (16, 2), (30, 3), (44, 4), (300, 5), (1000, 99)]
+    events = [
+        (1, "halt", 7.0),  # for tick 2, on the border of 15 minutes
+        (29, "halt", 4.0),
+        (30, "other", 9.0),
+        (299, "halt", 9.0),
+        (25, "halt", 6.0),  # late, but no tick behind it has been given yet
+        (1000, "halt", 1.0),
+        (26, "halt", 8.0),  # its ticks have been given
+    ]
+    ticks = [(day + t * minute, k) for t, k in ticks]
+    events = [(day + t * minute, k, v) for t, k, v in events]
+    tick_schema = land(spark, str(tmp_path / "t"), pd.DataFrame(ticks, columns=["ts", "tick_id"]), 6)
+    event_schema = land(spark, str(tmp_path / "e"), pd.DataFrame(events, columns=["ts", "event_type", "magnitude"]), 7)
+
+    def stream(name, schema):
+        s = st.landed(spark, str(tmp_path / name), schema, max_files=1)
+        return s.withColumn("event_time", F.timestamp_millis("ts"))
+
+    out = st.drain(st.live_signals(stream("t", tick_schema), stream("e", event_schema), spec, delay="1 hour"), "live").collect()
+    got = {r.tick_id: (r.ev_halt, r.fired) for r in out}
+    assert len(out) == len(got)
+    assert got == {1: (None, False), 2: (7.0, True), 3: (6.0, True), 4: (4.0, False), 5: (9.0, True)}
