@@ -42,12 +42,16 @@ def _write(records: DataFrame, folder: str, close: str, per_file: int) -> None:
 
 # ------------------------------------------------------------------ ARC
 
+#: the last millisecond of the year 9999
+LAST_MS = 253_402_300_799_999
+
 
 def write_arc(events: DataFrame, folder: str, version: int = 1, per_file: int = RECORDS_PER_FILE) -> None:
     """Write events (event_id, url, ts in epoch ms, payload) as compressed ARC files of version 1 or 2.
 
     A record holds an HTTP response with the payload in UTF-8 (null: empty) and the event_id in a header. Null
-    urls become urn:event:<id>, white space in urls is percent-encoded, null times are the epoch.
+    urls become urn:event:<id>, white space in urls is percent-encoded, null times are the epoch. The format has
+    four digits for a year: times before the epoch or after the year 9999 become the first or last of that span.
     """
     payload = F.coalesce(F.col("payload").cast("string"), F.lit(""))
     url = F.coalesce(
@@ -62,7 +66,8 @@ def write_arc(events: DataFrame, folder: str, version: int = 1, per_file: int =
         F.lit("\r\n\r\n"),
     )
     body = F.concat(head, payload)
-    at = F.date_format(F.timestamp_millis(F.coalesce(F.col("ts").cast("bigint"), F.lit(0))), "yyyyMMddHHmmss")
+    ts = F.least(F.greatest(F.coalesce(F.col("ts").cast("bigint"), F.lit(0)), F.lit(0)), F.lit(LAST_MS))
+    at = F.date_format(F.timestamp_millis(ts), "yyyyMMddHHmmss")
     fields = [url, F.lit("0.0.0.0"), at, F.lit("text/html")]
     if version == 2:
         # result code, checksum, location, offset, file name; unknown ones are dashes
@@ -94,7 +99,7 @@ def parse_arc(data: bytes) -> Iterator[dict]:
     A record that ends early (the file is cut) is marked truncated. A line that is no header is given as an
     error, and reading goes on behind it.
     """
-    at, fields = 0, ARC_FIELDS[1].split()
+    at, fields, begun = 0, ARC_FIELDS[1].split(), False
     while at < len(data):
         end = data.find(b"\n", at)
         end = len(data) if end < 0 else end
@@ -102,8 +107,8 @@ def parse_arc(data: bytes) -> Iterator[dict]:
         if not line:
             at = end + 1
             continue
-        first = line.startswith(b"filedesc://")
-        # the version block tells the version of its own header line, too
+        # only a file's first record is its version block; it tells the version of its own header line, too
+        first, begun = not begun and line.startswith(b"filedesc://"), True
         if first and (m := re.match(rb"([0-9]+) ", data[end + 1 : end + 12])):
             fields = ARC_FIELDS.get(int(m[1]), ARC_FIELDS[1]).split()
         parts = line.rsplit(b" ", len(fields) - 1)
@@ -114,7 +119,7 @@ def parse_arc(data: bytes) -> Iterator[dict]:
         named = dict(zip(fields, (p.decode("utf-8", "replace") for p in parts)))
         length = int(parts[-1])
         body = data[end + 1 : end + 1 + length]
-        yield {"offset": at, "version": 1 if len(fields) == 5 else 2, "body": body, "truncated": len(body) < length, **named}
+        yield {"offset": at, "version": 1 if len(fields) == 5 else 2, "block": first, "body": body, "truncated": len(body) < length, **named}
         at = end + 1 + length
 
 
@@ -185,7 +190,7 @@ def _convert(path: str, data: bytes) -> Iterator[dict]:
             continue
         d = r["Archive-date"].ljust(14, "0")
         head, payload = _split_http(r["body"])
-        kind = "warcinfo" if r["URL"].startswith("filedesc://") else "response" if head else "resource"
+        kind = "warcinfo" if r["block"] else "response" if head else "resource"
         mime = {"warcinfo": "application/warc-fields", "response": "application/http; msgtype=response"}.get(kind, r["Content-type"])
         yield {
             "record_id": record_id,
@@ -230,10 +235,10 @@ def convert_arc(spark: SparkSession, folder: str, id_type: str = "string") -> Da
 # ------------------------------------------------------------------ WARC
 
 
-def write_warc(records: DataFrame, folder: str, per_file: int = RECORDS_PER_FILE) -> None:
+def write_warc(records: DataFrame, folder: str, per_file: int = RECORDS_PER_FILE, skip_errors: bool = False) -> None:
     """Write records as ``convert_arc`` gives them; revisits keep the HTTP head and leave out the payload.
 
-    Rows with an error are left out.
+    A row with an error fails the job, so that nothing is lost unseen; with ``skip_errors`` it is left out.
     """
     block = F.when(F.col("type") == "revisit", F.col("head")).otherwise(F.concat("head", "payload"))
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))).otherwise("")
@@ -254,7 +259,10 @@ def write_warc(records: DataFrame, folder: str, per_file: int = RECORDS_PER_FILE
         line("Content-Length", F.octet_length(block).cast("string")),
         F.lit("\r\n"),
     )
-    ready = records.filter("error IS NULL").select(F.concat(head.cast("binary"), block).cast("string").alias("value"))
+    if skip_errors:
+        records = records.filter("error IS NULL")
+    whole = F.concat(head.cast("binary"), block).cast("string")
+    ready = records.select(F.when(F.col("error").isNull(), whole).otherwise(F.raise_error(F.col("error"))).alias("value"))
     _write(ready, folder, "\r\n\r\n", per_file)
 
 

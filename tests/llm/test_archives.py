@@ -1,5 +1,6 @@
 """ARC and WARC round trips, and files by other hands."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from barline.llm import archives
@@ -80,3 +81,36 @@ def test_repeated_ids_and_null_ids(spark, tmp_path):
     rows = [(None, "u:a", 0, "y" * 200), (4, "u:b", 0, "y" * 200), (4, "u:c", 0, "y" * 200), (None, "u:d", 0, "y" * 200)]
     got = round_trip(spark, tmp_path, rows, 1).filter("type <> 'warcinfo'").groupBy("type").agg(F.count("*").alias("n"), F.max("refers_to").alias("r"))
     assert {r["type"]: (r["n"], r["r"]) for r in got.collect()} == {"response": (1, None), "revisit": (3, 4)}
+
+
+def test_no_page_is_lost_by_its_id_time_or_url(spark, tmp_path):
+    rows = [
+        (5_000_000_000, "http://a.example/", 5_000_000_000 * 60_000, "a"), (1 << 60, "filedesc://b 0", (1 << 62), "b"),
+        (-7, "filedesc://c", -5, "2 0 c"), (8, "filedesc://d.arc 0.0.0.0 19700101000000 text/plain 4", 0, "z" * 200),
+    ]
+    for version in (1, 2):
+        folder = tmp_path / str(version)
+        folder.mkdir()
+        got = {r["event_id"]: r for r in round_trip(spark, folder, rows, version).filter("type = 'response'").collect()}
+        assert {i: bytes(r["payload"]).decode() for i, r in got.items()} == {i: p for i, _, _, p in rows}
+        assert got[1 << 60]["date"] == "9999-12-31T23:59:59Z" and got[-7]["date"] == "1970-01-01T00:00:00Z"
+
+
+def test_ids_of_any_size_in_the_query(spark, tmp_path):
+    from barline.llm.queries import op2_warc
+
+    ids = [1, 2, 4_223_371_200, 5_000_000_000, 1 << 60, (1 << 63) - 1, -3, -(1 << 63), None]
+    pages = spark.createDataFrame([(i, "filedesc://x", f"page {i}") for i in ids], "page_id bigint, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted((r["page_id"] for r in op2_warc(spark, str(tmp_path)).collect()), key=str) == sorted(ids, key=str)
+
+
+def test_errors_of_a_damaged_archive_are_not_swallowed(spark, tmp_path):
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "old.arc").write_bytes(ARC_V1)
+    records = archives.convert_arc(spark, str(tmp_path / "arc"))
+    assert records.filter("error IS NOT NULL").count() == 1
+    with pytest.raises(Exception, match="no header line"):
+        archives.write_warc(records, f"{tmp_path}/strict")
+    archives.write_warc(records, f"{tmp_path}/loose", skip_errors=True)
+    assert archives.read_warc(spark, f"{tmp_path}/loose").count() == 4
