@@ -7,6 +7,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -22,8 +23,8 @@ from barline.session import materialize
 #: pieces that one task packs together; more give fuller sequences, fewer give more tasks
 GROUP_PIECES = 1 << 12
 
-#: words whose ids one task keeps at hand
-CACHE_WORDS = 300_000
+#: chunks whose ids a Python worker keeps at hand
+CACHE_WORDS = 600_000
 
 _PIECES = "output_id {id}, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -57,8 +58,13 @@ class WordTokenizer:
         self.model = self.whole.model
         # byte-level models spell the two UTF-8 bytes of a Latin-1 letter as two characters
         self.spell = {c: "".join(_byte_letter(b) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+        self.clear()
+
+    def clear(self) -> None:
         self.pieces: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, tuple[int, ...]] = {}
+        self.chunks: dict[str, int] = {}  # number of a chunk
+        self.starts = np.zeros(1, np.int64)  # of a chunk's ids
+        self.ids = np.zeros(0, np.uint32)
 
     def _piece(self, piece: str) -> tuple[int, ...]:
         got = self.pieces.get(piece)
@@ -71,15 +77,34 @@ class WordTokenizer:
             return tuple(chain.from_iterable(map(self._piece, self.PRE_TOKENS.findall(chunk.lower()))))
         return tuple(self.whole.encode(chunk, add_special_tokens=False).ids)
 
-    def __call__(self, text: str) -> np.ndarray:
+    def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and where each begins (and the last ends)."""
+        if len(self.chunks) > CACHE_WORDS:
+            self.clear()
         # str.split also cuts at four controls that are no white space to the tokenizer
-        chunks, known = text.split() if not self.CONTROLS.search(text) else re.findall(WORD, text), self.chunks
-        if len(known) > CACHE_WORDS:
-            known.clear()
-            self.pieces.clear()
-        for chunk in set(chunks).difference(known):
-            known[chunk] = self._chunk(chunk)
-        return np.fromiter(chain.from_iterable(map(known.__getitem__, chunks)), np.uint32)
+        cut = [t.split() if not self.CONTROLS.search(t) else re.findall(WORD, t) for t in texts]
+        new = list(set(chain.from_iterable(cut)).difference(self.chunks))
+        if new:
+            made = list(map(self._chunk, new))
+            sizes = np.fromiter(map(len, made), np.int64, len(made))
+            self.chunks.update(zip(new, range(len(self.chunks), len(self.chunks) + len(new))))
+            self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(sizes))
+            self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(made), np.uint32, sizes.sum()))
+        counts = np.fromiter(map(len, cut), np.int64, len(cut))
+        numbers = np.fromiter(map(self.chunks.__getitem__, chain.from_iterable(cut)), np.int64, counts.sum())
+        first, sizes = self.starts[numbers], np.diff(self.starts)[numbers]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(first - ends[:-1], sizes)]
+        return ids, ends[np.concatenate([[0], np.cumsum(counts)])]
+
+    def __call__(self, text: str) -> np.ndarray:
+        return self.texts([text])[0]
+
+
+@lru_cache(maxsize=2)
+def _tokenizer(vocabulary: str) -> WordTokenizer:
+    """One tokenizer for all tasks of a Python worker, with the chunks it has met."""
+    return WordTokenizer(vocabulary)
 
 
 def _byte_letter(b: int) -> str:
@@ -98,13 +123,17 @@ def token_pieces(
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenize = WordTokenizer(vocabulary)
+        tokenizer = _tokenizer(vocabulary)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo, hi in slices([len(t or "") for t in texts]):
                 row, piece, start, length, crc = [], [], [], [], []
+                found, begins = tokenizer.texts([t or "" for t in texts[lo:hi]])
+                # an end id behind each text
+                found = np.insert(found, begins[1:], np.uint32(end_id)).astype("<u4")
+                begins = (begins + np.arange(len(begins))).tolist()
                 for i in range(lo, hi):
-                    ids = np.append(tokenize(texts[i] or ""), np.uint32(end_id)).astype("<u4")
+                    ids = found[begins[i - lo] : begins[i - lo + 1]]
                     for k, at in enumerate(range(0, len(ids), capacity)):
                         part = ids[at : at + capacity]
                         row.append(i)
