@@ -122,7 +122,8 @@ def permutation_test(
     )
     landed = moved.withColumn("_o", F.explode("_offsets")).withColumn("_p", F.col("_at") + F.col("_o")).filter("_p < _n")
     landed = landed.select("_g", "_s", "iter", "_p")
-    drawn = landed.join(known, ["_s", "_p"]).groupBy("_g", "iter").agg(F.avg("_y").alias("_null"))
+    # a left join, so that the landed fires are never what is broadcast; places without a label count nowhere
+    drawn = landed.join(known, ["_s", "_p"], "left").groupBy("_g", "iter").agg(F.avg("_y").alias("_null"))
     nulls = (
         head.select("_g", "fires", "observed", _iterations(iterations))
         .join(drawn, ["_g", "iter"], "left")
@@ -295,6 +296,9 @@ class Summary:
     finish: Callable[[DataFrame, Sequence[str]], DataFrame]
 
 
+#: a tree of up to so many nodes (some 60 MB) is sent to every task, a larger one is shuffled
+BROADCAST_NODES = 1 << 20
+
 #: levels of a tree that one task makes
 _LEVELS = 16
 
@@ -373,10 +377,14 @@ def bootstrap_summaries(
     rows = values.select(F.struct(*group).alias("_key"), seq, value).join(groups.select("_key", "_id"), "_key")
     tree = summary_tree(rows, "_id", value, summary, seq)
     pieces = _drawn(groups, F.col("_id"), avg_block, iterations, seed, nodes=True)
-    # met by one number, which is quicker to look up than three
+    # met by one number, which is quicker to look up than three. Every piece has its node, so a left join loses and adds
+    # nothing; it keeps the pieces, whose number no estimate knows, from being broadcast.
     one = F.xxhash64("_g", "_level", "_node").alias("_h")
     there = tree.select(one, F.col("_g").alias("_tg"), F.col("_level").alias("_tl"), F.col("_node").alias("_tn"), *summary.columns)
-    met = pieces.select("*", one).join(there, "_h").filter("_g = _tg AND _level = _tl AND _node = _tn")
+    if tree.count() <= BROADCAST_NODES:
+        there = F.broadcast(there)
+    same = F.expr("_g - _tg = 0 AND _level - _tl = 0 AND _node - _tn = 0")
+    met = pieces.select("*", one).alias("p").join(there.alias("t"), (F.col("p._h") == F.col("t._h")) & same, "left")
     done = summary.finish(met.select("_g", "iter", "t", *summary.columns), ["_g", "iter"])
     return done.withColumnRenamed("_g", "_id").join(groups.select("_id", "_key"), "_id").drop("_id").select("_key.*", "*").drop("_key")
 

@@ -295,6 +295,43 @@ _CELLS = 1 << 24
 _STRIPE = 1 << 22
 
 
+#: what a pair of a bar costs, in cells of a matrix product: blocks with few rules a bar are counted pair by pair
+_PAIR_COST = 1500
+
+
+def _sparse_sums(row: np.ndarray, col: np.ndarray, x: np.ndarray, sizes: np.ndarray, min_ratio: float, valued: bool):
+    """(i, j, sums) of all i < j that share a column, from the pairs of each column, a few millions at a time."""
+    order = np.lexsort((row, col))
+    row, col, x = row[order].astype(np.int64), col[order], x[order]
+    parts, held = [], 0
+
+    def reduced(pieces: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        code, *values = (np.concatenate(v) for v in zip(*pieces))
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        new = np.flatnonzero(np.append(True, np.diff(code) != 0))[: len(code)]
+        return code[new], *(np.add.reduceat(v[order], new) if len(new) else v for v in values)
+
+    empty = np.zeros(0)
+    parts.append((np.zeros(0, np.int64), *[empty] * (6 if valued else 1)))
+    for d in range(1, len(row)):
+        same = np.flatnonzero(col[d:] == col[:-d])
+        if not len(same):
+            break  # no column is that long
+        i, j = row[same], row[same + d]
+        if min_ratio > 0:
+            near = sizes[i] >= min_ratio * sizes[j]
+            same, i, j = same[near], i[near], j[near]
+        one = np.ones(len(i))
+        a, b = x[same], x[same + d]
+        parts.append((i * len(sizes) + j, one, *((a, b, a * a, b * b, a * b) if valued else ())))
+        held += len(i)
+        if held > _STRIPE:
+            parts, held = [reduced(parts)], 0
+    code, *sums = reduced(parts)
+    return code // len(sizes), code % len(sizes), sums
+
+
 def _co_occurrence(rows: DataFrame, bar: str, min_ratio: float, valued: bool) -> DataFrame:
     """Sums over the bars that two rules share, of rows (_rule, ``bar``, _x, _size): only pairs that share one.
 
@@ -313,7 +350,12 @@ def _co_occurrence(rows: DataFrame, bar: str, min_ratio: float, valued: bool) ->
         row = pc.index_in(piece.column("_rule"), value_set=ids).to_numpy()
         _, col = np.unique(piece.column(bar).to_numpy(), return_inverse=True)
         x = piece.column("_x").to_numpy()
-        width = col.max() + 1
+        width = int(col.max()) + 1
+        held = np.bincount(col)
+        if int((held * held).sum()) // 2 * _PAIR_COST < len(ids) ** 2 * width:
+            i, j, sums = _sparse_sums(row, col, x, sizes, min_ratio, valued)
+            sides = {"rule_a": ids.take(pa.array(i)), "rule_b": ids.take(pa.array(j))}
+            return pa.table(sides | {c: pa.array(v) for c, v in zip(names, sums)})
         there = np.zeros((len(ids), width), np.float32)
         there[row, col] = 1.0
         if valued:
@@ -343,7 +385,8 @@ def _co_occurrence(rows: DataFrame, bar: str, min_ratio: float, valued: bool) ->
         return pa.table({"rule_a": first, "rule_b": second} | sums)
 
     shape = rows.agg(F.count_distinct(bar).alias("bars"), F.count_distinct("_rule").alias("rules")).head()
-    width = max(16, min(BAR_BLOCK, _CELLS // max(1, shape["rules"])))
+    tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    width = max(16, min(BAR_BLOCK, _CELLS // max(1, shape["rules"]), -(-shape["bars"] // tasks)))
     block = F.pmod(F.xxhash64(bar), F.lit(max(1, -(-shape["bars"] // width))))
     met = rows.withColumn("_block", block).groupBy("_block").applyInArrow(multiply, schema)
     # the smaller id comes first, whichever rule is the larger

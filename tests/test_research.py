@@ -10,7 +10,9 @@ from barline.operators.series import add_windowed
 
 @pytest.mark.parametrize("stripe, cells", [(1 << 22, 1 << 24), (500, 2000)])
 @pytest.mark.parametrize("least", [0.0, 0.2])
-def test_overlap_of_many_rules(spark, monkeypatch, stripe, cells, least):
+@pytest.mark.parametrize("pair_cost", [0, 1 << 40])
+def test_overlap_of_many_rules(spark, monkeypatch, stripe, cells, least, pair_cost):
+    monkeypatch.setattr(research, "_PAIR_COST", pair_cost)
     monkeypatch.setattr(research, "_STRIPE", stripe)
     monkeypatch.setattr(research, "_CELLS", cells)
     rng = np.random.default_rng(1)
@@ -45,7 +47,9 @@ def test_no_fires_no_pairs(spark):
 
 
 @pytest.mark.parametrize("cells", [1 << 24, 300])
-def test_correlations_of_common_days(spark, monkeypatch, cells):
+@pytest.mark.parametrize("pair_cost", [0, 1 << 40])
+def test_correlations_of_common_days(spark, monkeypatch, cells, pair_cost):
+    monkeypatch.setattr(research, "_PAIR_COST", pair_cost)
     monkeypatch.setattr(research, "_CELLS", cells)
     rng = np.random.default_rng(2)
     base = rng.normal(size=120)
