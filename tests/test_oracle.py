@@ -20,7 +20,7 @@ def test_query_matches_sql(spark, name):
     assert problem == ("empty result" if name in EMPTY and SF.endswith("sf0.001") else None), problem
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"evl_03_evaluate_rules"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_twin_gives_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
