@@ -23,8 +23,8 @@ from barline.session import materialize
 #: pieces that one task packs together; more give fuller sequences, fewer give more tasks
 GROUP_PIECES = 1 << 12
 
-#: chunks whose ids a Python worker keeps at hand
-CACHE_WORDS = 600_000
+#: chunks whose ids a Python worker keeps at hand; twice as many left a later pipeline stage short of memory
+CACHE_WORDS = 300_000
 
 _PIECES = "output_id {id}, piece int, start bigint, length bigint, ids_crc32 bigint"
 
