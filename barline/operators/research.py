@@ -31,45 +31,71 @@ from barline.operators.series import (
 )
 from barline.session import materialize
 
-PIECES = 64
+#: distinct values of a piece that one task sorts
+PIECE_VALUES = 1 << 18
 
 
-def with_value_piece(df: DataFrame, keys: Sequence[str], value: str, pieces: int = PIECES) -> DataFrame:
-    """Add a piece number that rises with ``value`` within a key.
+def with_value_piece(counts: DataFrame, keys: Sequence[str], value: str, piece_values: int = PIECE_VALUES) -> DataFrame:
+    """Add a piece number that rises with ``value`` within a key; ``counts`` has one row per (key, value).
 
-    Borders are approximate quantiles (a mergeable sketch per key); any border set
-    gives exact ranks, balanced borders give even pieces.
+    Borders are approximate quantiles of the distinct values (a mergeable sketch per key); any border set gives
+    exact ranks, balanced borders give even pieces. There are as many pieces as the largest key needs.
     """
+    most = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).head()[0] or 0
+    pieces = -(-most // piece_values)
+    if pieces <= 1:
+        return counts.withColumn("_piece", F.lit(0).cast("bigint"))
     qs = [i / pieces for i in range(1, pieces)]
-    borders = df.groupBy(*keys).agg(F.percentile_approx(value, qs, 1000).alias("_borders"))
+    borders = counts.groupBy(*keys).agg(F.percentile_approx(value, qs, max(1000, 10 * pieces)).alias("_borders"))
     below = F.size(F.filter("_borders", lambda b: b < F.col(value))).cast("bigint")
-    return df.join(borders, list(keys)).withColumn("_piece", below).drop("_borders")
+    return counts.join(borders, list(keys)).withColumn("_piece", below).drop("_borders")
+
+
+def value_places(df: DataFrame, keys: Sequence[str], value: str, piece_values: int = PIECE_VALUES) -> DataFrame:
+    """(keys, value, _cnt, _upto): how often each distinct value occurs and how many values of the key are at most it.
+
+    Values are counted before anything is sorted, so equal ones are one row however many there are. Rows without a
+    value are left out; a null key is a key like any other.
+    """
+    keys = list(keys)
+    one = F.struct(*keys).alias("_k")
+    counts = df.filter(F.col(value).isNotNull()).groupBy(one, value).agg(F.count(F.lit(1)).alias("_cnt"))
+    pieces = with_value_piece(materialize(counts, "value_counts"), ["_k"], value, piece_values)
+    cum = running(pieces, ["_k"], value, F.col("_piece"), {"_upto": ("sum", F.col("_cnt"))})
+    return cum.select("_k.*", value, "_cnt", "_upto")
 
 
 def rank_table(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """(keys, value, rank) for every distinct value: 1-based, ties share their mean rank."""
-    keys = list(keys)
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_cnt"))
-    pieces = with_value_piece(counts, keys, value)
-    cum = running(pieces, keys, value, F.col("_piece"), {"_upto": ("sum", F.col("_cnt"))})
-    return cum.select(*keys, value, (F.col("_upto") - F.col("_cnt") + (F.col("_cnt") + 1) / 2.0).alias(out))
+    return value_places(df, keys, value).select(
+        *keys, value, (F.col("_upto") - F.col("_cnt") + (F.col("_cnt") + 1) / 2.0).alias(out)
+    )
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float]) -> DataFrame:
-    """Linear-interpolated quantiles per key: rows (keys, q, quantile)."""
+def exact_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], piece_values: int = PIECE_VALUES
+) -> DataFrame:
+    """Linear-interpolated quantiles per key: rows (keys, q, quantile).
+
+    A key without values has none; a null key is a key like any other.
+    """
     keys = list(keys)
-    rows = with_value_piece(df.filter(F.col(value).isNotNull()).select(*keys, value), keys, value)
-    ix = index_rows(rows, keys, value, F.col("_piece"))
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    want = sizes.select(
-        *keys, F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"), (F.col("_n") - 1).alias("_m")
-    ).withColumn("_at", F.col("q") * F.col("_m"))
-    ends = want.withColumn(POS, F.explode(F.array(F.floor("_at"), F.ceil("_at")))).withColumn(POS, F.col(POS).cast("bigint"))
-    found = ends.join(ix.select(*keys, POS, value), [*keys, POS])
-    frac = F.col("_at") - F.floor("_at")
-    low, high = F.min(value), F.max(value)
-    return found.groupBy(*keys, "q", "_at").agg(low.alias("_lo"), high.alias("_hi")).select(
-        *keys, "q", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias("quantile")
+    places = value_places(df, keys, value, piece_values).withColumn("_k", F.struct(*keys))
+    places = materialize(places.select("_k", value, "_cnt", "_upto"), "value_places")
+    sizes = places.groupBy("_k").agg((F.max("_upto") - 1).alias("_m"))
+    at = [F.col("_m") * F.lit(float(q)) for q in qs]
+    ends = F.array(*[F.struct(F.lit(float(q)).alias("q"), a.alias("at"), end(a).alias("pos")) for q, a in zip(qs, at) for end in (F.floor, F.ceil)])
+    # the wanted places of a key go along with each of its values, which keeps those that it covers
+    met = places.join(sizes.select("_k", ends.alias("_ends")), "_k")
+    first = F.col("_upto") - F.col("_cnt")
+    covered = F.filter("_ends", lambda e: (e["pos"] >= first) & (e["pos"] < F.col("_upto")))
+    found = met.select("_k", value, F.explode(covered).alias("_e"))
+    frac = F.col("_e.at") - F.floor("_e.at")
+    part = F.max(frac).alias("_frac")
+    return (
+        found.groupBy("_k", F.col("_e.q").alias("q"))
+        .agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), part)
+        .select("_k.*", "q", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")).alias("quantile"))
     )
 
 
@@ -175,22 +201,26 @@ def newey_west(df: DataFrame, group: Sequence[str], value: str, lags: int, seq:
     return out.withColumn("p_value", 2.0 * (1.0 - norm_cdf(F.abs("t_nw"))))
 
 
-def benjamini_hochberg(tests: DataFrame, batch: Sequence[str], p: str = "p_value", out: str = "q_value") -> DataFrame:
-    """Add the false-discovery-rate q of each test in its batch."""
-    batch = list(batch)
-    rows = with_value_piece(tests, batch, p)
-    ix = index_rows(rows, batch, p, F.col("_piece"), "_rank0")
-    ix = ix.join(tests.groupBy(*batch).agg(F.count(F.lit(1)).alias("_m")), batch)
-    ix = materialize(ix, "ranked_tests")
-    raw = F.col(p) * F.col("_m") / (F.col("_rank0") + 1)
+def benjamini_hochberg(
+    tests: DataFrame, batch: Sequence[str], p: str = "p_value", out: str = "q_value", piece_values: int = PIECE_VALUES
+) -> DataFrame:
+    """Add the false-discovery-rate q of each test in its batch.
+
+    Tests of equal p share their q, so only distinct p are ranked. A test without p has no q and is not counted.
+    A null batch is a batch like any other.
+    """
+    rows = tests.withColumn("_b", F.struct(*batch))
+    places = materialize(value_places(rows.select("_b", p), ["_b"], p, piece_values), "ranked_tests")
+    places = places.join(places.groupBy("_b").agg(F.max("_upto").alias("_m")), "_b")
     rev = running(
-        ix.withColumn("_rev", -F.col("_rank0")),
-        batch,
+        places.withColumn("_rev", -F.col("_upto")),
+        ["_b"],
         "_rev",
         F.floor(F.col("_rev") / F.lit(65_536)).cast("bigint"),
-        {out: ("min", raw)},
+        {out: ("min", F.col(p) * F.col("_m") / F.col("_upto"))},
     )
-    return rev.withColumn(out, F.least(F.col(out), F.lit(1.0))).drop("_rank0", "_m", "_rev", "_piece")
+    q = rev.select("_b", p, F.least(F.col(out), F.lit(1.0)).alias(out))
+    return rows.join(q, ["_b", p], "left").select(*tests.columns, out)
 
 
 # Scan points, lower ones tested as x < threshold, upper ones as x > threshold.

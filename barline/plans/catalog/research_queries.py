@@ -12,8 +12,8 @@ from barline.plans.catalog.base import DAILY_CTE, HOURLY_CTE, R, daily_ix, hourl
 from barline.plans.catalog.evaluation import MANY, RULE_INPUT_CTE, RULE_SQL, RULES, rule_input, verdict_inputs
 from barline.plans.catalog.ops import REVISIONS_CTE, revisions
 from barline.plans.catalog.scalars import cdf_sql
-from barline.plans.catalog.windows import TRADES_CTE, order_trades
-from barline.session import run_dir
+from barline.plans.catalog.windows import LONG_FEATURES_CTE, TRADES_CTE, long_features, order_trades
+from barline.session import materialize, run_dir
 from barline.sources import lake
 
 KEY = ["instrument_id"]
@@ -66,10 +66,27 @@ sl AS (SELECT instrument_id, pos, feature, x, fwd_1, fwd_5 FROM sc UNPIVOT (x FO
 """
 
 
+HORIZONS = [1, 4, 24, 72, 168]
+LABELS = {f"fwd_ret_{h}": h for h in HORIZONS}
+
+
+def registry_scan(spark, sf):
+    """Long bars with every registered feature and the labels of all horizons."""
+    bars, feats = long_features(spark, sf)
+    labelled = labels.multi_horizon_labels(bars, KEY, HORIZONS).select(*KEY, "pos", *[rnd(c).alias(c) for c in LABELS])
+    return materialize(feats.drop("ts").join(labelled, [*KEY, "pos"]), "scan")
+
+
+REGISTRY_SCAN_CTE = f"""{LONG_FEATURES_CTE},
+ly AS (SELECT instrument_id, pos, {", ".join(f"{R(lead_bps(h))} AS fwd_ret_{h}" for h in HORIZONS)} FROM lx WINDOW o AS (PARTITION BY instrument_id ORDER BY pos)),
+sl AS (SELECT instrument_id, pos, feature, x FROM (SELECT * EXCLUDE (ts) FROM lf) UNPIVOT (x FOR feature IN (* EXCLUDE (instrument_id, pos)))),
+sy AS (SELECT instrument_id, pos, horizon, y, CAST(substr(horizon, 9) AS INT) AS lags FROM ly UNPIVOT (y FOR horizon IN (* EXCLUDE (instrument_id, pos))))
+"""
+
+
 @query(
     "ext_03_feature_ic",
-    f"""WITH {SCAN_CTE}, l AS (SELECT instrument_id, feature, 'fwd_5' AS horizon, x, fwd_5 AS y FROM sl WHERE fwd_5 IS NOT NULL UNION ALL
-          SELECT instrument_id, feature, 'fwd_1', x, fwd_1 FROM sl WHERE fwd_1 IS NOT NULL),
+    f"""WITH {REGISTRY_SCAN_CTE}, l AS (SELECT instrument_id, feature, horizon, x, y FROM sl JOIN sy USING (instrument_id, pos)),
         r AS (SELECT *, rank() OVER (PARTITION BY instrument_id, feature, horizon ORDER BY x) + (count(*) OVER (PARTITION BY instrument_id, feature, horizon, x) - 1) / 2.0 AS rx,
           rank() OVER (PARTITION BY instrument_id, feature, horizon ORDER BY y) + (count(*) OVER (PARTITION BY instrument_id, feature, horizon, y) - 1) / 2.0 AS ry,
           count(*) OVER (PARTITION BY instrument_id, feature, horizon) AS n FROM l)
@@ -77,7 +94,7 @@ sl AS (SELECT instrument_id, pos, feature, x, fwd_1, fwd_5 FROM sc UNPIVOT (x FO
           {R("avg(y) FILTER (ceil(rx * 5 / n) = 5) - avg(y) FILTER (ceil(rx * 5 / n) = 1)", 4)} AS q5_q1_spread_bps, any_value(n) >= 500 AS enough FROM r GROUP BY 1, 2, 3""",
 )
 def ext_03(spark, sf):
-    s = research.feature_horizon_stats(scan_input(spark, sf), KEY, ["chg_5", "ratio"], ["fwd_1", "fwd_5"])
+    s = research.feature_horizon_stats(registry_scan(spark, sf), KEY, [f.name for f in ft.registered()], list(LABELS))
     return rounded(rounded(s, "spearman_ic"), "q5_q1_spread_bps", digits=4)
 
 
@@ -104,22 +121,23 @@ def nw_sql(lags: int) -> str:
 
 @query(
     "ext_05_conditional_scan",
-    f"""WITH {SCAN_CTE}, q AS (SELECT instrument_id, feature, unnest([0.1, 0.25, 0.75, 0.9]) AS q, unnest([quantile_cont(x, 0.1), quantile_cont(x, 0.25), quantile_cont(x, 0.75),
+    f"""WITH {REGISTRY_SCAN_CTE}, q AS (SELECT instrument_id, feature, unnest([0.1, 0.25, 0.75, 0.9]) AS q, unnest([quantile_cont(x, 0.1), quantile_cont(x, 0.25), quantile_cont(x, 0.75),
           quantile_cont(x, 0.9)]) AS cut FROM sl GROUP BY 1, 2),
-        h AS (SELECT s.*, q.q, q.cut FROM sl s JOIN q USING (instrument_id, feature) WHERE CASE WHEN q.q < 0.5 THEN x < cut ELSE x > cut END),
-        l AS (SELECT instrument_id, feature, q, 'fwd_1' AS horizon, pos, fwd_1 AS y FROM h WHERE fwd_1 IS NOT NULL UNION ALL
-          SELECT instrument_id, feature, q, 'fwd_5', pos, fwd_5 FROM h WHERE fwd_5 IS NOT NULL),
-        g AS (SELECT *, avg(y) OVER (PARTITION BY instrument_id, feature, q, horizon) AS m, {", ".join(f"lead(y, {k}) OVER o AS y{k}" for k in range(1, 6))} FROM l
-          WINDOW o AS (PARTITION BY instrument_id, feature, q, horizon ORDER BY pos)),
-        t AS (SELECT instrument_id, feature, q, horizon, count(*) AS n, any_value(m) AS mean, any_value(m) / sqrt((CASE horizon WHEN 'fwd_1' THEN {nw_sql(1)} ELSE {nw_sql(5)} END)
-          / count(*)) AS t FROM g GROUP BY 1, 2, 3, 4),
-        p AS (SELECT *, 2 * (1 - {cdf_sql("abs(t)")}) AS p, n >= 100 AS enough FROM t), r AS (SELECT *, row_number() OVER (PARTITION BY instrument_id, enough ORDER BY p) AS rk, count(*) OVER
+        h AS (SELECT s.*, q.q FROM sl s JOIN q USING (instrument_id, feature) WHERE CASE WHEN q.q < 0.5 THEN x < cut ELSE x > cut END),
+        l AS (SELECT instrument_id, feature, q, horizon, lags, pos, y, dense_rank() OVER (ORDER BY instrument_id, feature, q, horizon) AS g FROM h JOIN sy USING (instrument_id, pos)),
+        d AS (SELECT *, avg(y) OVER (PARTITION BY g) AS m, y - avg(y) OVER (PARTITION BY g) AS d, row_number() OVER (PARTITION BY g ORDER BY pos) AS seq FROM l),
+        k AS (SELECT g, seq, d, lags, unnest(range(1, lags + 1)) AS k FROM d),
+        c AS (SELECT k.g, sum((1 - k / (k.lags + 1)::DOUBLE) * k.d * d.d) AS s FROM k JOIN d ON d.g = k.g AND d.seq = k.seq + k.k GROUP BY 1),
+        b AS (SELECT g, instrument_id, feature, q, horizon, count(*) AS n, any_value(m) AS mean, var_pop(d) AS g0 FROM d GROUP BY ALL),
+        v AS (SELECT b.*, g0 + 2 * coalesce(s, 0) / n AS var FROM b LEFT JOIN c USING (g)),
+        t AS (SELECT *, CASE WHEN var > 0 THEN mean / sqrt(var / n) END AS t FROM v),
+        p AS (SELECT *, 2 * (1 - {cdf_sql("abs(t)")}) AS p, n >= 100 AS enough FROM t), r AS (SELECT *, row_number() OVER (PARTITION BY instrument_id, enough ORDER BY p) AS rk, count(p) OVER
           (PARTITION BY instrument_id, enough) AS k FROM p)
         SELECT instrument_id, feature, CAST(q AS DOUBLE) AS q, horizon, CAST(n AS BIGINT) AS n, enough, {R("mean", 4)} AS mean, {R("t", 5)} AS t_nw, {R("p", 5)} AS p_value,
-          CASE WHEN enough THEN {R("least(1, min(p * k / rk) OVER (PARTITION BY instrument_id, enough ORDER BY rk DESC))", 5)} END AS q_value FROM r""",
+          CASE WHEN enough AND p IS NOT NULL THEN {R("least(1, min(p * k / rk) OVER (PARTITION BY instrument_id, enough ORDER BY rk DESC))", 5)} END AS q_value FROM r""",
 )
 def ext_05(spark, sf):
-    s = research.conditional_scan(scan_input(spark, sf), KEY, ["chg_5", "ratio"], {"fwd_1": 1, "fwd_5": 5})
+    s = research.conditional_scan(registry_scan(spark, sf), KEY, [f.name for f in ft.registered()], LABELS)
     out = s.select("instrument_id", "feature", "q", "horizon", "n", "enough", "mean", "t_nw", "p_value", "q_value")
     return rounded(rounded(out, "mean", digits=4), "t_nw", "p_value", "q_value", digits=5)
 

@@ -248,6 +248,89 @@ def win_12(spark, sf):
     )
 
 
+def long_bars(spark, sf):
+    """Orders as hourly bars of a long and of a young instrument: more hours than the longest feature looks back.
+
+    Roots keep sums off the decimal grid, where rounding for the comparison would meet ties.
+    """
+    o = table(spark, sf, "orders")
+    key, cust, price = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_totalprice")
+    volume = 1.0 + F.sqrt(cust % 97)
+    return o.select(
+        F.when(cust % 8 == 0, "young").otherwise("old").alias("instrument_id"),
+        (key * 3_600_000).alias("ts"),
+        (price * (1 - F.sqrt(cust % 11) / 40.0)).alias("open"),
+        (price * (1 + F.sqrt(key % 9) / 30.0)).alias("high"),
+        (price * (1 - F.sqrt(cust % 11) / 40.0 - F.sqrt(key % 3) / 50.0)).alias("low"),
+        price.alias("close"),
+        volume.alias("volume"),
+        (volume * (key % 5) / 4.0).alias("taker_buy_volume"),
+        ((key % 13 - 6) / 10_000.0).alias("funding_rate"),
+        (1000.0 + 10.0 * F.sqrt(cust % 1009)).alias("oi_base"),
+        (1.0 + (key % 17) / 10.0).alias("ls_all_account"),
+        (1.0 + (cust % 19) / 10.0).alias("ls_top_trader_position"),
+        F.when(key % 10 == 0, price).otherwise(0.0).alias("liq_notional_1h"),
+    )
+
+
+LONG_CTE = """
+lb AS (SELECT CASE WHEN o_custkey % 8 = 0 THEN 'young' ELSE 'old' END AS instrument_id, o_orderkey * 3600000 AS ts,
+    o_totalprice * (1 - sqrt(o_custkey % 11) / 40.0::DOUBLE) AS open, o_totalprice * (1 + sqrt(o_orderkey % 9) / 30.0::DOUBLE) AS high,
+    o_totalprice * (1 - sqrt(o_custkey % 11) / 40.0::DOUBLE - sqrt(o_orderkey % 3) / 50.0::DOUBLE) AS low, o_totalprice AS close,
+    1.0::DOUBLE + sqrt(o_custkey % 97) AS volume, (o_orderkey % 13 - 6) / 10000.0::DOUBLE AS funding_rate, 1000.0::DOUBLE + 10.0::DOUBLE * sqrt(o_custkey % 1009) AS oi_base,
+    1.0::DOUBLE + (o_orderkey % 17) / 10.0::DOUBLE AS ls_all, 1.0::DOUBLE + (o_custkey % 19) / 10.0::DOUBLE AS ls_top,
+    CASE WHEN o_orderkey % 10 = 0 THEN o_totalprice ELSE 0 END AS liq, o_orderkey % 5 AS part FROM orders),
+lx AS (SELECT *, volume * part / 4.0::DOUBLE AS taker, CAST(row_number() OVER (PARTITION BY instrument_id ORDER BY ts) - 1 AS BIGINT) AS pos FROM lb)
+"""
+
+
+def zscore(col, n):
+    return f"({col} - ({full('avg', col, n)})) / ({full('stddev_pop', col, n)})"
+
+
+def rank_100(col, n):
+    return f"CASE WHEN count({col}) OVER {rows(n)} = {n} THEN 100 * cume_dist(ORDER BY {col}) OVER {rows(n)} END"
+
+
+LONG_FEATURES_CTE = f"""{LONG_CTE},
+la AS (SELECT *, lag(close) OVER o AS pc, lag(close, 24) OVER o AS c24, lag(funding_rate, 24) OVER o AS f24, lag(oi_base, 24) OVER o AS o24
+  FROM lx WINDOW o AS (PARTITION BY instrument_id ORDER BY pos)),
+lr AS (SELECT *, ln(close / pc) AS lr, greatest(high - low, coalesce(abs(high - pc), 0), coalesce(abs(low - pc), 0)) AS tr FROM la),
+lv AS (SELECT *, {full("stddev_pop", "lr", 720)} AS rv30 FROM lr),
+lf AS (SELECT instrument_id, ts, pos, {R("(close / c24 - 1) * 100", 4)} AS ret_24h,
+  {R(full("stddev_pop", "lr", 24))} AS rv_24h,
+  {R(rank_100("rv30", 8760))} AS rv_30d_pctile_1y,
+  {R(full("avg", "tr", 336), 4)} AS atr_14d,
+  {R(f"(close / ({full('avg', 'close', 4800)}) - 1) * 100", 4)} AS sma200_dist_pct,
+  {R(f"(close / ({full('max', 'high', 24)}) - 1) * 100")} AS high_24h_dist,
+  {R(f"(close / ({full('max', 'high', 168)}) - 1) * 100")} AS weekly_high_dist,
+  {R(f"({full('sum', 'taker', 24)}) / ({full('sum', 'volume', 24)})")} AS taker_buy_ratio_24h,
+  {R(f"({full('avg', 'volume', 168)}) / ({full('avg', 'volume', 720)})")} AS vol_ma_ratio_7_30,
+  {R(zscore("funding_rate", 720))} AS funding_z_30d,
+  {R("funding_rate - f24")} AS funding_chg_24h, {R("(oi_base / o24 - 1) * 100", 4)} AS oi_chg_24h,
+  {R(rank_100("oi_base", 8760))} AS oi_pctile_1y,
+  {R(zscore("ls_all", 720))} AS ls_all_account_z_30d,
+  {R(zscore("ls_top", 720))} AS ls_top_trader_z_30d, {R(full("sum", "liq", 24), 4)} AS liq_notional_24h FROM lv)
+"""
+
+
+def long_features(spark, sf):
+    """The indexed long bars and their rounded features."""
+    from barline.operators.series import DAY_MS, index_rows, time_bucket
+
+    bars = materialize(index_rows(long_bars(spark, sf), KEY, "ts", time_bucket("ts", 3650 * DAY_MS)), "long_bars")
+    four = {"ret_24h", "atr_14d", "sma200_dist_pct", "oi_chg_24h", "liq_notional_24h"}
+    names = [f.name for f in ft.registered()]
+    f = ft.compute_features(bars, KEY)
+    return bars, f.select(*KEY, "pos", "ts", *[rnd(n, 4 if n in four else 6).alias(n) for n in names])
+
+
+@query("win_12_feature_registry_long", f"WITH {LONG_FEATURES_CTE} SELECT * EXCLUDE (pos) FROM lf")
+def win_12_long(spark, sf):
+    # every feature has values here
+    return long_features(spark, sf)[1].drop("pos")
+
+
 REGIME_SQL = f"""WITH {DAILY_CTE}, a AS (SELECT *, ln(close) - lag(ln(close)) OVER (PARTITION BY instrument_id ORDER BY pos) AS lr FROM dx)"""
 
 
@@ -383,20 +466,23 @@ def win_18_dd(spark, sf):
     return d.select("rule_id", rnd("max_dd").alias("max_dd"))
 
 
-NAMES_SQL = ", ".join(f"'{f.name}'" for f in ft.registered())
-NON_NULL_SQL = ", ".join(f"count({f.name})" for f in ft.registered())
+DEFINITIONS_SQL = ", ".join(
+    f"""('{f.name}', '{{"base":"{",".join(f.base)}","feature_set_version":"v1"}}', '{f.lookback}bars', '{f.family}')""" for f in ft.registered()
+)
 
 
 @query(
     "udf_03_feature_definitions",
-    f"""WITH r AS ({REGISTRY_SQL}) SELECT 'v1.' || unnest([{NAMES_SQL}]) AS feature_id,
-        CAST(unnest([{NON_NULL_SQL}]) AS BIGINT) AS non_null FROM r""",
+    f"""WITH {LONG_FEATURES_CTE}, d AS (SELECT * FROM (VALUES {DEFINITIONS_SQL}) AS v(feature, spec, lookback_required, family)),
+        n AS (SELECT feature, count(*) AS non_null FROM (SELECT * EXCLUDE (ts, pos, instrument_id) FROM lf) UNPIVOT (x FOR feature IN (*)) GROUP BY 1)
+        SELECT 'v1.' || feature AS feature_id, CAST(1 AS INT) AS version, spec, '1h' AS cadence, lookback_required, family, CAST(non_null AS BIGINT) AS non_null
+        FROM d JOIN n USING (feature)""",
 )
 def udf_03(spark, sf):
     # the definition table with the number of bars that have a value
-    values = win_12(spark, sf).agg(*[F.count(f.name).alias(f"v1.{f.name}") for f in ft.registered()])
+    values = long_features(spark, sf)[1].agg(*[F.count(f.name).alias(f.name) for f in ft.registered()])
     pairs = F.array(
-        *[F.struct(F.lit(f"v1.{f.name}").alias("feature_id"), F.col(f"`v1.{f.name}`").alias("non_null")) for f in ft.registered()]
+        *[F.struct(F.lit(f"v1.{f.name}").alias("feature_id"), F.col(f.name).alias("non_null")) for f in ft.registered()]
     )
-    counts = values.select(F.explode(pairs).alias("_p")).select("_p.*")
-    return ft.feature_definitions(spark).join(counts, "feature_id").select("feature_id", "non_null")
+    counts = values.select(F.explode(pairs).alias("_p")).select("_p.*").filter("non_null > 0")
+    return ft.feature_definitions(spark).join(counts, "feature_id")

@@ -102,3 +102,51 @@ def test_divergence_is_the_residual_of_a_rolling_regression(spark, w, size):
         else:
             slope = np.cov(a[part], b[part], bias=True)[0, 1] / b[part].var()
             assert r.x == pytest.approx(a[r.pos] - a[part].mean() - slope * (b[r.pos] - b[part].mean()), abs=1e-6)
+
+
+@pytest.mark.parametrize("piece_values", [3, 50, 1 << 18])
+def test_quantiles_and_ranks_with_many_equal_values(spark, piece_values):
+    rng = np.random.default_rng(4)
+    x = np.where(rng.random(3000) < 0.9, 0.0, rng.integers(-40, 40, 3000) / 8.0)
+    rows = [("a", float(v)) for v in x] + [("b", 2.0), ("b", None), ("c", None), (None, 1.0), (None, 4.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    qs = [0.0, 0.03, 0.5, 0.97, 1.0]
+    got = {(r.k, r.q): r.quantile for r in research.exact_quantiles(df, ["k"], "v", qs, piece_values).collect()}
+    for q in qs:
+        assert got.pop(("a", q)) == pytest.approx(np.quantile(x, q))
+        assert got.pop(("b", q)) == 2.0
+        assert got.pop((None, q)) == pytest.approx(1.0 + 3 * q)
+    assert not got  # a key without values has no quantile
+    places = research.value_places(df, ["k"], "v", piece_values).filter("k = 'a'").collect()
+    assert sorted((r.v, r._cnt, r._upto) for r in places) == [(v, int((x == v).sum()), int((x <= v).sum())) for v in np.unique(x)]
+
+
+def test_equal_values_are_one_row_of_a_piece(spark):
+    """A column that is mostly zero has as many rows to sort as it has distinct values."""
+    df = spark.range(20_000).select(F.lit("a").alias("k"), F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(0).cast("double").alias("v"))
+    counts = df.groupBy("k", "v").agg(F.count(F.lit(1)).alias("_cnt"))
+    sizes = [r["count"] for r in research.with_value_piece(counts, ["k"], "v", 100).groupBy("_piece").count().collect()]
+    assert sum(sizes) == 2000 and max(sizes) <= 200
+
+
+@pytest.mark.parametrize("piece_values", [2, 1 << 18])
+def test_benjamini_hochberg_with_ties_and_missing_p(spark, piece_values):
+    rng = np.random.default_rng(5)
+    rows = [(b, i, float(p)) for b in ("a", None) for i, p in enumerate(rng.integers(0, 30, 200) / 40.0)]
+    rows += [("a", 900, None), ("z", 901, None)]
+    df = spark.createDataFrame(rows, "batch string, id bigint, p_value double")
+    got = {(r.batch, r.id): r.q_value for r in research.benjamini_hochberg(df, ["batch"], piece_values=piece_values).collect()}
+    assert got.pop(("a", 900)) is None and got.pop(("z", 901)) is None
+    for b in ("a", None):
+        p = sorted((x, i) for k, i, x in rows if k == b and x is not None)
+        least = 1.0
+        for rank in range(len(p), 0, -1):
+            least = min(least, p[rank - 1][0] * len(p) / rank)
+            assert got.pop((b, p[rank - 1][1])) == pytest.approx(least)
+    assert not got
+
+
+def test_quantiles_of_nothing(spark):
+    df = spark.createDataFrame([], "k string, v double")
+    assert research.exact_quantiles(df, ["k"], "v", [0.5]).count() == 0
+    assert research.benjamini_hochberg(df.withColumnRenamed("v", "p_value"), ["k"]).count() == 0
