@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barline.operators.bars import pivot_mean
-from barline.operators.series import DAY_MS, HOUR_MS, POS, running, time_bucket
+from barline.operators.series import DAY_MS, HOUR_MS, POS, running, suggest_bucket_ms, time_bucket
 
 
 @dataclass(frozen=True)
@@ -29,7 +29,7 @@ def asof_join_many(
     sides: Sequence[Side],
     keys: Sequence[str],
     ts: str = "ts",
-    bucket_ms: int = 24 * HOUR_MS,
+    bucket_ms: int | None = 24 * HOUR_MS,
 ) -> DataFrame:
     """Backward as-of join of several right sides at once: for each the last row with
     right.ts <= left.ts, per key.
@@ -37,7 +37,8 @@ def asof_join_many(
     The last right row wins even when its value is NULL. All sides are merged into one
     series and the last row of each side is carried forward by one ``running`` pass, so
     a hot key is cut into time buckets and the left side is shuffled once however many
-    sides there are.
+    sides there are. Without ``bucket_ms`` the width comes from how dense all sides are together,
+    at the price of one aggregate over their keys and times.
     """
     keys = list(keys)
     kept = [c for c in left.columns if c not in keys and c != ts]
@@ -57,6 +58,8 @@ def asof_join_many(
             ),
             allowMissingColumns=True,
         )
+    if bucket_ms is None:
+        bucket_ms = suggest_bucket_ms(rows, keys, "_ts")
     merged = running(
         rows,
         keys,
@@ -79,7 +82,7 @@ def asof_join(
     columns: Sequence[str],
     ts: str = "ts",
     tiebreak: str | None = None,
-    bucket_ms: int = 24 * HOUR_MS,
+    bucket_ms: int | None = 24 * HOUR_MS,
 ) -> DataFrame:
     """``asof_join_many`` with one right side."""
     return asof_join_many(left, [Side(right, columns, tiebreak)], keys, ts, bucket_ms)
