@@ -22,9 +22,7 @@ def edits(rows):
 
 
 def parts(text):
-    found = {(0, m.rstrip(" ")) for m in re.findall(r"(?:[^\x20\x09-\x0D]+[\x20\x09\x0B-\x0D]*){1,32}", text)}
-    head = re.match(r"\s*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){1,32}", text)
-    return found | {(1, m.rstrip(" ")) for m in re.findall(r"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){1,4}", head[0] if head else "")}
+    return {m.rstrip(" ") for m in re.findall(r"(?:[^\x20\x09-\x0D]+[\x20\x09\x0B-\x0D]*){1,16}", text)}
 
 
 def alike(a, b):
@@ -58,6 +56,42 @@ def test_peeling_counts_the_differing_digests(spark):
     assert small[1] > 0 and small[3] == 0  # too small: entangled
 
 
+def test_recovered_digests_are_the_set_differences(spark):
+    own, other = set(range(0, 60)), set(range(5, 70))
+    df = spark.createDataFrame([(1, 1, k) for k in own] + [(1, -1, k) for k in other], "i bigint, sign bigint, key bigint")
+    got = {(r["sign"], r["digest"]) for r in fingerprints.recover(df, ["i"], 96).collect()}
+    assert got == {(1, k) for k in own - other} | {(-1, k) for k in other - own}
+
+
+def test_differences_of_versions(spark, documents):
+    rows = [*list(documents.items())[:60], (20_000, "one line " * 3000), (20_001, ""), (20_002, None)]
+    df = spark.createDataFrame([(i, t, "") for i, t in rows], VERSIONS)
+    of = {}
+    for r in fingerprints.differences(df).collect():
+        of.setdefault((r["version_id"], r["pair"]), set()).add((r["sign"], r["digest"]))
+    wanted = edits([(i, t or "") for i, t in rows])
+    for i, text in rows:
+        own = parts(text or "")
+        for pair, other in zip(("edited", "next"), map(parts, wanted[i])):
+            got = of.get((i, pair), set())
+            assert (sum(s == 1 for s, _ in got), sum(s == -1 for s, _ in got)) == (len(own - other), len(other - own))
+
+
+def test_texts_are_exchanged_once(spark, documents):
+    df = spark.createDataFrame([(i, t, "") for i, t in documents.items()], VERSIONS)
+    seen, write = [], fingerprints.materialize
+    fingerprints.materialize = lambda rows, name: (seen.append((name, rows)), write(rows, name))[1]
+    try:
+        fingerprints.fingerprints(df)
+    finally:
+        fingerprints.materialize = write
+    rows = dict(seen)["digests"]
+    rows.collect()
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    assert "ReusedExchange" in final
+
+
 def test_repeated_single_null_and_no_rows(spark):
     same = spark.createDataFrame([(1, "a b c", ""), (1, "a b c", ""), (None, "d e f", "")], VERSIONS)
     got = fingerprints.fingerprints(same).collect()
