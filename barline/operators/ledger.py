@@ -165,7 +165,13 @@ def readiness(
 
     ``rule_inputs`` is one row per edge with a current version: edge_id, version_id,
     features array, event_types array, uses_regime. The defined features and known
-    event types are joined by name, not collected.
+    event types are joined by name, not collected. ``edges`` may have plan_blockers, an
+    array of what is yet to be built for an edge of class C or D.
+
+    ``missing`` names what keeps an edge from its next state, as a struct whose fields are
+    null where they do not apply: data and event (DATA_PENDING; absent regimes count as the
+    table regimes_daily), feature (FEATURE_PENDING), build (BUILD_PENDING; empty without
+    blockers) and signalSpec (SIGNAL_SPEC_PENDING). From READY on it is all null.
     """
     done = runs.filter(F.col("status") == "done").groupBy("edge_version_id").agg(
         F.max(F.col("run_kind") == "screen").alias("_screen"), F.max(F.col("run_kind") == "full").alias("_full")
@@ -216,7 +222,19 @@ def readiness(
         .when(F.col("readiness_class").isin("C", "D"), "BUILD_PENDING")
         .otherwise("SIGNAL_SPEC_PENDING")
     )
+    blockers = F.col("plan_blockers") if "plan_blockers" in edges.columns else F.lit(None)
+    regimes = F.when(regime_missing, F.array(F.lit("regimes_daily"))).otherwise(F.array().cast("array<string>"))
+    data = F.concat(F.coalesce("pending_features", F.array().cast("array<string>")), regimes)
+    is_state = lambda name: F.col("state") == name
+    missing = F.struct(
+        F.when(is_state("DATA_PENDING") & (F.size(data) > 0), data).alias("data"),
+        F.when(is_state("DATA_PENDING") & some("pending_events"), F.col("pending_events")).alias("event"),
+        F.when(is_state("FEATURE_PENDING"), F.col("undefined_features")).alias("feature"),
+        F.when(is_state("BUILD_PENDING"), F.coalesce(blockers.cast("array<string>"), F.array().cast("array<string>"))).alias("build"),
+        F.when(is_state("SIGNAL_SPEC_PENDING"), F.lit(True)).alias("signalSpec"),
+    )
     return rows.withColumn("state", state).select(
+        missing.alias("missing"),
         "edge_id",
         "status",
         "version_id",

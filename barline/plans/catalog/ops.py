@@ -375,13 +375,13 @@ rs AS (SELECT e.edge_id, e.title, e.status, CASE WHEN e.status IN ('VALIDATED','
 """
 
 
-def readiness(spark, sf):
+def readiness(spark, sf, of=None):
     from barline.operators.features import feature_definitions
 
     defs = feature_definitions(spark).withColumn("status", F.lit("active"))
     types = table(spark, sf, "events").select("event_type").distinct()
     have = ["funding_rates", "open_interest", "long_short_ratios"]
-    return ledger.readiness(edges(spark, sf), rule_inputs(spark, sf), runs(spark, sf), defs, types, have, False)
+    return ledger.readiness(edges(spark, sf) if of is None else of, rule_inputs(spark, sf), runs(spark, sf), defs, types, have, False)
 
 
 @query("qry_04_readiness", f"WITH {READY_CTE} SELECT edge_id, status, state FROM rs")
@@ -389,6 +389,21 @@ def qry_04(spark, sf):
     return readiness(spark, sf).select("edge_id", "status", "state")
 
 
+@query(
+    "qry_04_readiness_missing",
+    f"""WITH {READY_CTE}, m AS (SELECT rs.edge_id, rs.state, CASE WHEN feat = 'liq_notional_24h' AND reg THEN '"liq_notional_24h","regimes_daily"'
+          WHEN feat = 'liq_notional_24h' THEN '"liq_notional_24h"' WHEN reg THEN '"regimes_daily"' END AS d, miss_event,
+          CASE WHEN readiness_class = 'D' THEN '"' || category || '"' ELSE '' END AS b FROM rs LEFT JOIN ri USING (edge_id) JOIN edges USING (edge_id))
+        SELECT edge_id, state, CASE state WHEN 'DATA_PENDING' THEN '{{' || concat_ws(',', '"data":[' || d || ']', CASE WHEN miss_event THEN '"event":["refund"]' END) || '}}'
+          WHEN 'FEATURE_PENDING' THEN '{{"feature":["made_up"]}}' WHEN 'BUILD_PENDING' THEN '{{"build":[' || b || ']}}'
+          WHEN 'SIGNAL_SPEC_PENDING' THEN '{{"signalSpec":true}}' ELSE '{{}}' END AS missing FROM m""",
+)
+def qry_04_missing(spark, sf):
+    """Readiness with what is missing, as a JSON document; a plan of class D is blocked by its category."""
+    blocked = F.when(F.col("readiness_class") == "D", F.array("category")).alias("plan_blockers")
+    return readiness(spark, sf, edges(spark, sf).select("*", blocked)).select("edge_id", "state", F.to_json("missing").alias("missing"))
+
+
 @query(
     "agg_11_readiness_tally",
     f"""WITH {READY_CTE}, st AS (SELECT unnest(['VALIDATED_PLUS','FULL_DONE','SCREEN_DONE','READY','DATA_PENDING','FEATURE_PENDING','SIGNAL_SPEC_PENDING',
